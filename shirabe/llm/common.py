@@ -67,9 +67,9 @@ def make_room(df: DataFrame, outputs) -> DataFrame:
     return df
 
 
-def row_key(*cols: str) -> list:
+def row_key(*cols) -> list:
     """Two 64-bit hashes of the columns: a null-safe 128-bit key of a row's content."""
-    each = [x for c in cols for x in (F.col(c), F.col(c).isNull())]
+    each = [x for c in (F.col(c) if isinstance(c, str) else c for c in cols) for x in (c, c.isNull())]
     return [F.xxhash64(*each), F.xxhash64(F.lit(0x5EED), *reversed(each))]
 
 
