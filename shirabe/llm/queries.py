@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, token_count
+from . import bpe, secrets, simhash, token_count
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,8 +21,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(_documents(spark, sf_dir))
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every secret in the documents."""
+    return secrets.scan(_documents(spark, sf_dir))
+
+
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document of a group of near duplicates, with the one that stays."""
+    return simhash.near_duplicates(_documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op5_byte_bpe": op5_byte_bpe,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_token_counts": op10_token_counts,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_secret_scan": secrets.scan_sql(),
+}

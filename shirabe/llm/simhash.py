@@ -193,7 +193,7 @@ def forest(n: int, pairs) -> tuple[np.ndarray, np.ndarray]:
     return child, parent[child]
 
 
-def _bucket(key, table: pa.Table) -> pa.Table:
+def _bucket(key, table):
     i, first, role = key[0].as_py(), key[1].as_py(), table.column("role").to_numpy()
     sig = _matrix(table.column("sig"))
     v = segments(sig)

@@ -1,6 +1,6 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
-Each word enters as a word vector beside the mean of its character-trigram vectors, so unknown and misspelt
+Each word enters as a word vector beside the scaled sum of vectors of its 3- and 5-byte sequences, so unknown and misspelt
 words still say something. Gated recurrent units run over a window of words in both directions, attention
 pools their states, and a logistic unit scores the window. A text is scored over all its overlapping windows
 (``WINDOW`` words, a new one every ``STRIDE``) and counts as toxic if its worst window reaches the threshold.
@@ -30,10 +30,12 @@ from pyspark.sql import types as T
 from .common import fresh, map_text, ragged, spans_encoded, utf8_parts, with_nulls, words
 from .simhash import EDGES_PUNCT
 
-WINDOW, STRIDE = 32, 16
+WINDOW, STRIDE = 64, 32
 #: Labelled rows of either class from which the classifier is fitted, at most.
 PER_CLASS = 1500
-VOCABULARY, TRIGRAMS, WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8192, 4096, 8, 8, 8, 8
+VOCABULARY, BUCKETS, WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8192, 1 << 14, 8, 8, 8, 8
+#: Lengths of the byte sequences of a word, its two ends included, that have vectors.
+GRAMS = (3, 5)
 
 
 # --- reading ---------------------------------------------------------------------------------------------
@@ -96,27 +98,38 @@ class Network:
         r = np.random.default_rng(seed)
         d, h = WORD_DIM + CHAR_DIM, HIDDEN
         g = lambda *s, k=0.3: (r.standard_normal(s) * k).astype(np.float32)
-        p = {"word": g(len(vocabulary) + 1, WORD_DIM, k=0.1), "char": g(TRIGRAMS, CHAR_DIM, k=0.05), "x": g(2, d, 3 * h), "u": g(2, h, 3 * h), "b": np.zeros((2, 1, 3 * h), np.float32), "a": g(2 * h, ATTENTION), "v": g(ATTENTION), "o": g(2 * h), "c": np.full(1, -1, np.float32)}
+        p = {"word": g(len(vocabulary) + 1, WORD_DIM, k=0.1), "char": g(BUCKETS, CHAR_DIM, k=0.05), "x": g(2, d, 3 * h), "u": g(2, h, 3 * h), "b": np.zeros((2, 1, 3 * h), np.float32), "a": g(2 * h, ATTENTION), "v": g(ATTENTION), "o": g(2 * h), "c": np.full(1, -1, np.float32)}
         p["word"][1:, 0] = odds
         return Network(vocabulary, p)
 
     def features(self, plain: list[bytes]):
-        """(word id of each, its trigram buckets one after another, how many)."""
+        """(word id of each; for each of GRAMS, the buckets of the words one after another and how many)."""
         get = self.vocabulary.get
         ids = np.fromiter((get(w, 0) for w in plain), np.int64, len(plain))
-        raw = np.frombuffer(b"".join(b"\x02" + w + b"\x03" for w in plain), np.uint8).astype(np.uint32)
-        size = np.fromiter(map(len, plain), np.int64, len(plain))  # trigrams of a word with its two ends
-        code = (raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]) * np.uint32(2654435761) >> np.uint32(20) if len(raw) > 2 else np.zeros(0, np.uint32)
-        first = np.cumsum(size + 2) - (size + 2)
-        return ids, code[ragged(first, size)].astype(np.int64), size
-
-    def embed(self, ids, grams, size):
+        raw = np.frombuffer(b"".join(b"\x02" + w + b"\x03" for w in plain), np.uint8).astype(np.uint64)
+        size = np.fromiter(map(len, plain), np.int64, len(plain)) + 2
+        first = np.cumsum(size) - size
+        grams = []
+        for n in GRAMS:
+            code = np.zeros(max(0, len(raw) - n + 1), np.uint64)
+            for k in range(n):
+                code = code << np.uint64(8) | raw[k : k + len(code)]
+            bucket = (code * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 14)).astype(np.int32)
+            count = np.maximum(0, size - n + 1)
+            grams.append((bucket[ragged(first, count)], count))
+        return ids, grams
+
+    def embed(self, ids, grams):
         char = np.zeros((len(ids), CHAR_DIM), np.float32)
-        some = np.flatnonzero(size)
-        if len(some):
-            at = (np.cumsum(size) - size)[some]
-            char[some] = np.add.reduceat(self.p["char"][grams], at, axis=0) / size[some, None]
-        return np.concatenate([self.p["word"][ids], char], 1)
+        for bucket, count in grams:
+            some = np.flatnonzero(count)
+            if len(some):
+                char[some] += np.add.reduceat(self.p["char"][bucket], (np.cumsum(count) - count)[some], axis=0)
+        return np.concatenate([self.p["word"][ids], char * self.scale(grams)], 1)
+
+    @staticmethod
+    def scale(grams):
+        return (1 / np.sqrt(np.maximum(1, sum(c for _, c in grams)))).astype(np.float32)[:, None]
 
     def forward(self, gates, idx, live=None, keep=False):
         """Logits of windows. gates: (2, words, 3 H) inputs of both directions; idx: (windows, T) words;
@@ -232,18 +245,17 @@ class _Adam:
             self.p[k] -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(s / (1 - 0.99**self.t)) + 1e-6)
 
 
-def _fit(net: Network, b: Batch, idx, live, y, epochs, adam, r):
-    feats = net.features(b.plain)
-    starts = np.cumsum(feats[2]) - feats[2]
+def _fit(net: Network, plain, idx, live, y, epochs, adam, r):
+    feats = net.features(plain)
+    starts = [np.cumsum(c) - c for _, c in feats[1]]
     for _ in range(epochs):
         order = r.permutation(len(y))
         for at in range(0, len(order), 256):
             rows = order[at : at + 256]
             used, local = np.unique(idx[rows], return_inverse=True)
             local = local.reshape(len(rows), -1)
-            size = feats[2][used]
-            grams = feats[1][ragged(starts[used], size)]
-            e = net.embed(feats[0][used], grams, size)
+            grams = [(b[ragged(s[used], c[used])], c[used]) for (b, c), s in zip(feats[1], starts)]
+            e = net.embed(feats[0][used], grams)
             logit, kept = net.forward(net.gates(e), local, live[rows], keep=True)
             dy = ((_sigmoid(logit) - y[rows]) / len(rows)).astype(np.float32)
             grad, dx = net.backward(kept, dy, local, live[rows])
@@ -256,7 +268,9 @@ def _fit(net: Network, b: Batch, idx, live, y, epochs, adam, r):
             grad["word"] = np.zeros_like(net.p["word"])
             np.add.at(grad["word"], feats[0][used], de[:, :WORD_DIM])
             grad["char"] = np.zeros_like(net.p["char"])
-            np.add.at(grad["char"], grams, np.repeat(de[:, WORD_DIM:] / np.maximum(size, 1)[:, None], size, axis=0))
+            share = de[:, WORD_DIM:] * net.scale(grams)
+            for bucket, count in grams:
+                np.add.at(grad["char"], bucket, np.repeat(share, count, axis=0))
             for k in ("char", "word"):
                 grad[k] += np.float32(2e-5) * net.p[k]
             adam.step(grad)
@@ -304,7 +318,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 7, rounds: int = 3, ep
         neg = np.unique(np.concatenate([neg_head, hard, r.choice(clean, min(len(clean), 3000), replace=False)]))
         rows = np.concatenate([pos, neg])
         idx, live = _reference_window(b, text[rows], first[rows])
-        _fit(net, b, idx, live, np.append(np.ones(len(pos)), np.zeros(len(neg))).astype(np.float32), epochs, adam, r)
+        _fit(net, b.plain, idx, live, np.append(np.ones(len(pos)), np.zeros(len(neg))).astype(np.float32), epochs, adam, r)
         score = net.score_windows(b)[2]
         adam.rate *= 0.6
     best = np.full(len(y), -np.inf)
