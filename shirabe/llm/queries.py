@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, secrets, simhash, token_count
+from . import bpe, fingerprint, secrets, simhash, token_count, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,15 +26,28 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_documents(spark, sf_dir))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its toxicity, by a network fitted on the labels."""
+    net = toxicity.fitted(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(_documents(spark, sf_dir), net)
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document of a group of near duplicates, with the one that stays."""
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The locally consistent parse of every document."""
+    return fingerprint.fingerprints(_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op3_toxicity": op3_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_document_fingerprints": op9_document_fingerprints,
     "op10_token_counts": op10_token_counts,
 }
 ORACLE: dict[str, str] = {

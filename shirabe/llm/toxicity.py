@@ -135,10 +135,10 @@ class Network:
         """Logits of windows. gates: (2, words, 3 H) inputs of both directions; idx: (windows, T) words;
         live: which of them are there (None: all). keep: also what :meth:`backward` needs."""
         n, t = idx.shape
-        h = np.zeros((2, n, HIDDEN), np.float32)
-        states = np.empty((t, 2, n, HIDDEN), np.float32)
-        trace = []
         u = self.p["u"]
+        h = np.zeros((2, n, HIDDEN), u.dtype)
+        states = np.empty((t, 2, n, HIDDEN), u.dtype)
+        trace = []
         for s in range(t):
             x = np.stack([gates[0][idx[:, s]], gates[1][idx[:, t - 1 - s]]])
             m = h @ u
@@ -158,7 +158,7 @@ class Network:
         k = np.tanh(both @ self.p["a"])
         e = k @ self.p["v"]
         if live is not None:
-            e = np.where(live.T, e, np.float32(-1e9))
+            e = np.where(live.T, e, u.dtype.type(-1e9))
         w = np.exp(e - e.max(0))
         w /= w.sum(0)
         pooled = (w[..., None] * both).sum(0)
@@ -178,9 +178,9 @@ class Network:
         grad["a"] = np.einsum("tnh,tna->ha", both, dk)
         dboth += dk @ self.p["a"].T
         dstate = np.stack([dboth[:, :, :HIDDEN], dboth[::-1, :, HIDDEN:]], 1)  # by step
-        dh = np.zeros((2, n, HIDDEN), np.float32)
         du = np.zeros_like(self.p["u"])
-        dx = np.zeros((2, n, t, 3 * HIDDEN), np.float32)
+        dh = np.zeros((2, n, HIDDEN), du.dtype)
+        dx = np.zeros((2, n, t, 3 * HIDDEN), du.dtype)
         for s in range(t - 1, -1, -1):
             h, z, q, c, mc, on = trace[s]
             g = dh + dstate[s]
@@ -276,8 +276,9 @@ def _fit(net: Network, plain, idx, live, y, epochs, adam, r):
             adam.step(grad)
 
 
-def train(texts: list[str], toxic: list[int], seed: int = 7, rounds: int = 3, epochs: int = 4) -> Network:
-    """Fit a network on labelled texts; see the module's text."""
+def train(texts: list[str], toxic: list[int], clean_weight: float = 1.0, seed: int = 7, rounds: int = 3, epochs: int = 4) -> Network:
+    """Fit a network on labelled texts; see the module's text. clean_weight: how many clean labels one of the
+    sample stands for, against a toxic one, when the threshold is set."""
     r = np.random.default_rng(seed)
     y = np.asarray(toxic, bool)
     if y.all() or not y.any():
@@ -324,15 +325,15 @@ def train(texts: list[str], toxic: list[int], seed: int = 7, rounds: int = 3, ep
     best = np.full(len(y), -np.inf)
     np.maximum.at(best, text, score)
     sample = np.flatnonzero((held if held.any() else ~held) & (n > 0))
-    net.threshold, net.held_out = _threshold(best[sample], y[sample])
+    net.threshold, net.held_out = _threshold(best[sample], y[sample], clean_weight)
     return net
 
 
-def _threshold(score, y):
+def _threshold(score, y, clean_weight):
     """The logit of best F1, in the middle of the widest gap that has it."""
     order = np.argsort(-score, kind="stable")
     s, hit = score[order], np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(s) + 1) + y.sum())
+    f1 = 2 * hit / (hit + clean_weight * np.cumsum(~y[order]) + y.sum())
     low = np.append(s[1:], s[-1] - 2)
     gap = np.where(f1 >= f1.max() - 1e-12, s - low, -1)
     k = int(np.argmax(gap))
@@ -340,15 +341,18 @@ def _threshold(score, y):
 
 
 # --- Spark ---------------------------------------------------------------------------------------------------
-def labelled_sample(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[list[str], list[int]]:
-    """At most ``per_class`` labelled texts of either class, chosen by a hash of their id."""
-    one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    chosen = [one.where(F.col("toxic") == c).orderBy(*order).limit(per_class) for c in (0, 1)]
+def fitted(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Network:
+    """A network fitted on at most ``per_class`` labelled texts of either class, chosen by a hash of their id."""
+    one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    total = {r.toxic: r["count"] for r in one.groupBy("toxic").count().collect()}
+    chosen = [one.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
     few = chosen[0].unionByName(chosen[1])  # 2 * per_class rows at most, so it can be broadcast
-    rows = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
+    texts = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(few), "doc_id")
+    rows = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
     rows = sorted(rows, key=lambda r: r.doc_id)
-    return [r.text for r in rows], [int(r.toxic > 0) for r in rows]
+    used = [sum(r.toxic == c for r in rows) for c in (0, 1)]
+    weight = (total.get(0, 0) / max(1, used[0])) / (total.get(1, 0) / max(1, used[1])) if all(used) else 1.0
+    return train([r.text for r in rows], [r.toxic for r in rows], weight)
 
 
 def score_arrow(text: pa.Array, net: Network):
