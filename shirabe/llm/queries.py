@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, secrets, simhash, token_count, toxicity
+from . import bpe, fingerprint, secrets, simhash, telephony, token_count, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +33,16 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_documents(spark, sf_dir), net)
 
 
+def op6_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes as a telephony payload, decoded and resampled to 16 kHz.
+
+    The tables hold no audio. Any bytes are a valid payload of these codecs, so the bytes of each text stand
+    for one; the codec goes by doc_id."""
+    kinds = F.array(*map(F.lit, telephony.CODECS))
+    media = _documents(spark, sf_dir).select("doc_id", F.element_at(kinds, (F.pmod("doc_id", F.lit(3)) + 1).cast("int")).alias("codec"), F.encode("text", "utf-8").alias("payload"))
+    return telephony.decode_audio(media)
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document of a group of near duplicates, with the one that stays."""
     return simhash.near_duplicates(_documents(spark, sf_dir))
@@ -46,6 +57,7 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op3_toxicity": op3_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_telephony_audio": op6_telephony_audio,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_token_counts": op10_token_counts,
