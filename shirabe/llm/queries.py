@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, secrets, simhash, telephony, token_count, toxicity
+from . import bpe, chat, fingerprint, mixing, secrets, simhash, telephony, token_count, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_documents(spark, sf_dir), net)
 
 
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every copy of a document in a mix of sources and languages as large as the corpus."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
+    return mixing.mix_decisions(docs, mixing.source_and_language())
+
+
 def op6_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's bytes as a telephony payload, decoded and resampled to 16 kHz.
 
@@ -48,6 +54,11 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op7_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trees of the conversations."""
+    return chat.prefix_tree(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The locally consistent parse of every document."""
     return fingerprint.fingerprints(_documents(spark, sf_dir))
@@ -56,8 +67,10 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op3_toxicity": op3_toxicity,
+    "op4_source_mix": op4_source_mix,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_telephony_audio": op6_telephony_audio,
+    "op7_chat_prefix_tree": op7_chat_prefix_tree,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_token_counts": op10_token_counts,
