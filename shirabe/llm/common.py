@@ -191,6 +191,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def sorted_unique(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order; by sorting, which numpy does much faster than hashing them."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Indexes of the concatenation of the ranges [start, start + count)."""
     total = int(counts.sum())

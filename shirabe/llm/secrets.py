@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, map_text, slices, utf8_parts
+from .common import fresh, map_text, slices, sorted_unique, utf8_parts
 
 MASK = "[SECRET]"
 
@@ -216,7 +216,7 @@ class Scanner:
         doc = np.searchsorted(off, at, "right") - 1
         inside = at + 2 < off[doc + 1]
         at, doc = at[inside], doc[inside]
-        pairs = np.unique(found[at].astype(np.int64) << 40 | doc)
+        pairs = sorted_unique(found[at].astype(np.int64) << 40 | doc)
         gram, doc = pairs >> 40, pairs & ((1 << 40) - 1)
         cut = np.flatnonzero(np.diff(gram, prepend=-1))
         return {self.wanted[g - 1]: d for g, d in zip(gram[cut], np.split(doc, cut[1:]))} if len(cut) else {}

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_table, fresh, map_text, mix64, row_key, spans_encoded, utf8_parts, words, write_table
+from .common import drop_table, fresh, map_text, mix64, ragged, row_key, sorted_unique, spans_encoded, utf8_parts, words, write_table
 
 BITS, MOST = 128, 21
 M = MOST + 1
@@ -57,16 +57,27 @@ def word_hashes(distinct: pa.Array) -> np.ndarray:
     return np.fromiter((h(p) if p else h(r) for p, r in zip(plain, distinct.to_pylist())), np.uint64, len(plain))
 
 
+_SPREAD = np.array([sum((b >> k & 1) << 8 * k for k in range(8)) for b in range(256)], np.uint64)
+
+
 def _signs(key: np.ndarray, n: int, acc: list[np.ndarray], weight: int) -> None:
-    """Add the features (document index above, 48 bits of hash below) to the sums of 2 x 64 bits."""
+    """Add the features (document index above, 48 bits of hash below, sorted) to the sums of 2 x 64 bits.
+
+    The 8 bits of a byte are spread over the lanes of a word; runs of 255 at most are summed without a carry."""
+    if not len(key):
+        return
     doc, h = (key >> np.uint64(48)).astype(np.int64), key & np.uint64((1 << 48) - 1)
-    table = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64) * 2 - 1
-    base = doc << 8
+    head = np.flatnonzero(np.diff(doc, prepend=-1))
+    size = np.diff(np.append(head, len(doc)))
+    runs = -(-size // 255)
+    start = ragged(np.zeros(len(head), np.int64), runs) * 255 + np.repeat(head, runs)
+    first = np.cumsum(runs) - runs
     for half, salt in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
         b = mix64(h + np.uint64(salt)).view(np.uint8).reshape(-1, 8)
         for j in range(8):
-            seen = np.bincount(base + b[:, j], minlength=n << 8)
-            acc[half][:, 8 * j : 8 * j + 8] += weight * (seen.reshape(n, 256) @ table)
+            lanes = np.add.reduceat(_SPREAD[b[:, j]], start).view(np.uint8).reshape(-1, 8)
+            ones = np.add.reduceat(lanes.astype(np.int64), first, axis=0)
+            acc[half][doc[head], 8 * j : 8 * j + 8] += weight * (2 * ones - size[:, None])
 
 
 def signatures(text: pa.Array) -> pa.Array:
@@ -79,9 +90,9 @@ def signatures(text: pa.Array) -> pa.Array:
     doc = np.repeat(np.arange(n, dtype=np.uint64), np.diff(at)) << np.uint64(48)
     low = np.uint64((1 << 48) - 1)
     acc = [np.zeros((n, 64), np.int64), np.zeros((n, 64), np.int64)]
-    _signs(np.unique(doc | (mix64(h) & low)), n, acc, 2)
+    _signs(sorted_unique(doc | (mix64(h) & low)), n, acc, 2)
     pair = np.flatnonzero(doc[1:] == doc[:-1])
-    _signs(np.unique(doc[pair] | (mix64(mix64(h[pair]) + h[pair + 1]) & low)), n, acc, 1)
+    _signs(sorted_unique(doc[pair] | (mix64(mix64(h[pair]) + h[pair + 1]) & low)), n, acc, 1)
     weight = np.uint64(1) << np.arange(64, dtype=np.uint64)
     sig = np.stack([((a > 0) * weight).sum(1, dtype=np.uint64) for a in acc], 1) if n else np.zeros((0, 2), np.uint64)
     short = np.flatnonzero(np.diff(at) < SHORT)
@@ -137,7 +148,7 @@ def chain_pairs(va: np.ndarray, vb: np.ndarray, i: int, taken: int, used: int, s
     if not len(va) or not len(vb):
         return
     n, bits = 0, 0
-    while n < 3 and len(vb) > (1 << bits):
+    while n < 3 and len(vb) > (4 << bits):
         bits += SIZES[(i + taken + n) % M]
         n += 1
     key = [np.zeros(len(v), np.int64) for v in (va, vb)]
@@ -148,11 +159,13 @@ def chain_pairs(va: np.ndarray, vb: np.ndarray, i: int, taken: int, used: int, s
             kk |= v[:, c].astype(np.int64) << shift
         shift += SIZES[c]
     order = np.argsort(key[1], kind="stable")
-    kb = key[1][order]
+    begin = np.append(0, np.cumsum(np.bincount(key[1], minlength=1 << bits)))  # of each key in that order
     for diff, bits_used in allowed((i + taken) % M, n, taken, used):
         want = key[0] ^ diff
-        lo = np.searchsorted(kb, want, "left")
-        hits = np.searchsorted(kb, want, "right") - lo
+        lo = begin[want]
+        hits = begin[want + 1] - lo
+        if same and diff:  # either of two rows would find the other: let that without the lowest bit
+            hits = np.where(key[0] & (diff & -diff), 0, hits)
         rows = np.flatnonzero(hits)
         for block in np.array_split(rows, max(1, int(hits.sum()) >> 20)):  # about a million candidates at once
             c = hits[block]
@@ -161,7 +174,7 @@ def chain_pairs(va: np.ndarray, vb: np.ndarray, i: int, taken: int, used: int, s
                 continue
             a = np.repeat(block, c)
             b = order[np.repeat(lo[block] - (np.cumsum(c) - c), c) + np.arange(total)]
-            if same:
+            if same and not diff:
                 ok = a < b
                 a, b = a[ok], b[ok]
             u = np.full(len(a), bits_used, np.int16)

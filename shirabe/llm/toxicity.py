@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, map_text, ragged, spans_encoded, utf8_parts, with_nulls, words
+from .common import fresh, map_text, ragged, sorted_unique, spans_encoded, utf8_parts, with_nulls, words
 from .simhash import EDGES_PUNCT
 
 WINDOW, STRIDE = 64, 32
@@ -291,7 +291,7 @@ def train(texts: list[str], toxic: list[int], clean_weight: float = 1.0, seed: i
     # in how many texts of either class each word stands
     plain, same = np.unique(np.array(b.plain, object), return_inverse=True)
     doc = np.repeat(np.arange(len(y)), n)
-    pair = np.unique(doc.astype(np.int64) * len(plain) + same[b.codes])
+    pair = sorted_unique(doc.astype(np.int64) * len(plain) + same[b.codes])
     doc, word = pair // max(1, len(plain)), pair % max(1, len(plain))
     use = ~held[doc]
     hit = [np.bincount(word[use & (y[doc] == c)], minlength=len(plain)) for c in (False, True)]
