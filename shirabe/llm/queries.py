@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, mixing, secrets, simhash, telephony, token_count, toxicity
+from . import bpe, chat, fingerprint, mixing, secrets, simhash, suffix_dedup, telephony, token_count, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_documents(spark, sf_dir))
 
 
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of 50 words or more that repeats across documents."""
+    return suffix_dedup.repeated_passages(_documents(spark, sf_dir))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its toxicity, by a network fitted on the labels."""
     net = toxicity.fitted(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -66,6 +71,7 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_repeated_passages": op2_repeated_passages,
     "op3_toxicity": op3_toxicity,
     "op4_source_mix": op4_source_mix,
     "op5_byte_bpe": op5_byte_bpe,
@@ -77,4 +83,5 @@ QUERIES = {
 }
 ORACLE: dict[str, str] = {
     "op1_secret_scan": secrets.scan_sql(),
+    "op2_repeated_passages": suffix_dedup.SQL,
 }
