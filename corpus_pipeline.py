@@ -1,10 +1,58 @@
-"""The training-data pipeline (stages are added below)."""
-STAGES = []
+"""The training-data pipeline: reject toxic documents, keep one of each group of near duplicates, blank out
+secrets, mix sources and languages to target weights, and encode.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Each is written as Parquet and read again as the next one's docs, in the shared folder of the session.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from shirabe.llm import bpe, mixing, secrets, simhash, toxicity
+from shirabe.llm.common import write_table
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier, fitted on the labelled documents of ``sf_dir``, doesn't reject."""
+    net = toxicity.fitted(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.drop_toxic(docs, net)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, and all others."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with their secrets blanked out and n_chars brought up to date."""
+    return secrets.redact(docs, length_col="n_chars")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in the mix, once for each copy; as large as what comes in."""
+    return mixing.mix(docs, mixing.source_and_language()).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids and character offsets of every document."""
+    return bpe.encode(docs, keep_text=False)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("secrets", blank_secrets),
+    ("mixing", mix_sources),
+    ("byte_bpe", encode),
+]
+
+#: SQL can express neither the network nor the signatures; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs, _ = write_table(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

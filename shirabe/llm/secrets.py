@@ -299,9 +299,9 @@ def redact_arrow(text: pa.Array, s: Scanner) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def redact(df: DataFrame, text_col: str = "text", rules: dict[str, str] | None = None) -> DataFrame:
-    """``df`` with every secret in ``text_col`` replaced by ``[SECRET]``; columns, their order and all other
-    values stay as they are."""
+def redact(df: DataFrame, text_col: str = "text", rules: dict[str, str] | None = None, length_col: str | None = None) -> DataFrame:
+    """``df`` with every secret in ``text_col`` replaced by ``[SECRET]``; columns and their order stay.
+    length_col: a column that holds the text's length in characters, changed where the text is."""
     rules = RULES if rules is None else rules
     new = fresh(df.columns, "__redacted")
 
@@ -310,7 +310,11 @@ def redact(df: DataFrame, text_col: str = "text", rules: dict[str, str] | None =
         return lambda text: [redact_arrow(text, s)]
 
     done = map_text(df, text_col, [(new, T.StringType())], start)
-    return done.select(*[F.col(new).alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])
+    replaced = {text_col: F.col(new).alias(text_col)}
+    if length_col:
+        size = F.when(F.col(new) == F.col(text_col), F.col(length_col)).otherwise(F.length(new).cast(df.schema[length_col].dataType))
+        replaced[length_col] = F.when(F.col(new).isNull(), F.col(length_col)).otherwise(size).alias(length_col)
+    return done.select(*[replaced.get(c, F.col(f"`{c}`")) for c in df.columns])
 
 
 def scan_sql(rules: dict[str, str] | None = None) -> str:
