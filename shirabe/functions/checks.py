@@ -126,7 +126,7 @@ def phone_valid(c: Column, area_codes: list[str] | None = None) -> Column:
     """A number as it is written: mobile, fixed (with a separator any area, else a known one), or +81."""
     from ..detect.dictionaries import area_codes as known
 
-    d = strip_separators(F.ltrim(F.lit("+"), c))
+    d = strip_separators(F.regexp_replace(c, "\\A\\+", ""))
     rest = F.substring(d, 3, 99)
     abroad = ((F.length(rest) == 9) & ~rest.startswith("0")) | ((F.length(rest) == 10) & rest.rlike("\\A[5-9]0"))
     codes = "|".join(sorted(known() if area_codes is None else area_codes))

@@ -60,7 +60,7 @@ def resolve_overlaps(df: DataFrame, line: list[str], order: str) -> DataFrame:
         return F.when(lost, kept).otherwise(F.concat(F.filter(kept, lambda k: ~touch(k, x)), F.array(x)))
 
     kept = F.aggregate("f", F.slice("f", 1, 0), step)
-    return listed.select(*line, F.explode(kept).alias("k")).select(*line, *(f"k.{c}" for c in rest))
+    return listed.select(*line, F.explode(kept).alias("__kept")).select(*line, *(f"__kept.{c}" for c in rest))
 
 
 def dedup(df: DataFrame, key: list[str]) -> DataFrame:

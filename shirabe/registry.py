@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from .plans import checks, relations
+
+QUERIES: dict = {**checks.QUERIES, **relations.QUERIES}
+ORACLE: dict = {**checks.ORACLE, **relations.ORACLE}

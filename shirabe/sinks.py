@@ -59,7 +59,7 @@ def annotations(df: DataFrame, unmask: bool = False) -> DataFrame:
 
 def sarif_results(df: DataFrame) -> DataFrame:
     """SARIF results by row: region, ordinal of the finding within its rule and file, and the hash of these."""
-    w = Window.partitionBy("rule_id", "file").orderBy("line", "column", "end")
+    w = Window.partitionBy("rule_id", "file").orderBy("line", "column", "end", "match")
     out = df.withColumn("ordinal", F.row_number().over(w) - 1)
     zero = F.unhex(F.lit("00"))
     ident = F.concat(F.encode("rule_id", "utf-8"), zero, F.encode("file", "utf-8"), zero, F.encode(F.col("ordinal").cast("string"), "utf-8"))
