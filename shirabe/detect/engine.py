@@ -134,6 +134,28 @@ def is_test_path(path: str) -> bool:
     return any(p in ("testdata", "fixtures", "__tests__", "spec", "mocks", "seed", "seeds") for p in parts) or bool(re.search(r"_test\.go\Z|\.spec\.|\.test\.", parts[-1]))
 
 
+_NO_DIGITS = str.maketrans("", "", "0123456789")
+#: Fewer digits than these make no valid value of a rule.
+_LEAST = {"jp-my-number": 12, "jp-phone-number": 9, "jp-postal-code": 7, "credit-card": 13, "jp-drivers-license": 12, "jp-passport": 7, "jp-pension-number": 10, "jp-residence-card": 8, "jp-bank-account": 7, "jp-yucho-account": 12, "jp-health-insurance": 6, "jp-employment-insurance": 11, "jp-kaigo-insurance": 10, "jp-juminhyo-code": 11, "jp-invoice-number": 13}
+
+
+class _Plan:
+    """What a line must have, by cheap tests, for a rule to find anything in it."""
+
+    def __init__(self, r: R.Rule):
+        self.least = _LEAST.get(r.id, 0)
+        self.required = bool(r.shapes) and all(s.required for s in r.shapes)
+        self.needles = tuple({X.tokens(w)[0] if w.isascii() and X.tokens(w) else w for w in r.context})
+        self.literals = tuple(w for e in r.evidence for w in e.literals)
+        self.patterns = tuple(e.pattern for e in r.evidence if not e.literals)
+        self.hints = {"jp-birthdate": ("生年月日", "誕生日", "生まれ", "dob", "birth")}.get(r.id) or (tuple("市区町村") if r.id.startswith("jp-address") else ())
+
+    def hopeful(self, norm: str, low: str, n_digits: int, line: S.Line) -> bool:
+        if n_digits < self.least or (self.hints and not any(w in low for w in self.hints)):
+            return False
+        return not self.required or bool(line.spans) or any(w in low for w in self.needles) or any(w in norm for w in self.literals) or any(p.search(norm) for p in self.patterns)
+
+
 class Detector:
     def __init__(self, config: Config | None = None):
         c = self.config = config or Config()
@@ -149,6 +171,7 @@ class Detector:
         for r in self.rules:
             self.by_id.setdefault(r.id, r)
         self.drops: list[Drop] = []
+        self.plans = [_Plan(r) for r in self.rules]
         # What a line needs for any rule at all; the same as gate_pattern says in a plan.
         self.gate = re.compile("[0-9@]|[^\\x00-\u2fff]" + ("|" if any(not r.gate and not r.literals for r in self.rules) else "".join(f"|(?i:{re.escape(w)})" for r in self.rules if not r.gate for w in r.literals)))
 
@@ -197,8 +220,9 @@ class Detector:
         low = norm.lower()
         gates = {"": True, "digit": any("0" <= c <= "9" for c in norm), "at": "@" in norm, "cjk": not norm.isascii() and any(c >= "　" for c in norm)}
         found: list[Finding] = []
-        for r in self.rules:
-            if gates[r.gate] and (not r.literals or any(w in norm or w in low for w in r.literals)):
+        n_digits = len(norm) - len(norm.translate(_NO_DIGITS)) if gates["digit"] else 0
+        for r, plan in zip(self.rules, self.plans):
+            if gates[r.gate] and (not r.literals or any(w in norm or w in low for w in r.literals)) and (self.config.log_drops or plan.hopeful(norm, low, n_digits, line)):
                 for shape in r.shapes:
                     self._matches(r, shape, text, norm, number, line, near, budget, found)
         out = resolve(found)

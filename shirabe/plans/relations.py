@@ -436,7 +436,8 @@ _CK = f"(CASE WHEN {sql_sum('b', _MY)} % 11 <= 1 THEN 0 ELSE 11 - {sql_sum('b',
 )
 def scan_derived_texts(spark, sf_dir):
     """The matcher over derived texts: check digits, a label on the line before, a price, a name near anchors."""
-    found = sinks.masked(S.scan_documents(_japanese(spark, sf_dir)))
+    # The derived texts are one small file's worth of rows that cost much each: spread over the cores.
+    found = sinks.masked(S.scan_documents(_japanese(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)))
     return found.select("k", "rule_id", "line", "column", "match", "confidence")
 
 
@@ -447,7 +448,7 @@ def scan_hunks(spark, sf_dir):
     number = F.concat(F.lit("090-1234-"), _pad(k % 10000, 4))
     texts = F.array(F.concat(F.lit("電話 "), number), number)
     t = table(spark, sf_dir, "orders").select(k.alias("k"), F.lit("a.txt").alias("file"), (k % 100 + 1).cast("int").alias("first_line"), texts.alias("texts"), F.array(F.lit(False), k % 2 == 0).alias("added"))
-    return S.scan_hunks(t).select("k", "rule_id", "line")
+    return S.scan_hunks(t.repartition(spark.sparkContext.defaultParallelism)).select("k", "rule_id", "line")
 
 
 @query("dropped_reasons")

@@ -8,7 +8,10 @@ from __future__ import annotations
 import re
 
 SNIFF = 8192
-_JA = re.compile("[ぁ-ヺー一-鿿｡-ﾟ]")
+#: Characters of the scripts Hiragana, Katakana and Han.
+_JA = re.compile("[ぁ-ゖゝ-ゟァ-ヺヽ-ヿㇰ-ㇿ㐀-䶿一-鿿豈-\ufaff々〇〻ｦ-ｯｱ-ﾝ]")
+#: What the codec makes of single bytes that Shift_JIS doesn't have.
+_STRAY = re.compile("[\x80\uf8f0-\uf8f3\ufffd]")
 
 
 def utf16_by_mark(raw: bytes) -> str | None:
@@ -53,7 +56,7 @@ def legacy_japanese(raw: bytes) -> str | None:
         except UnicodeDecodeError:
             continue
         n = len(_JA.findall(text))
-        if n > most and "�" not in text:
+        if n > most and not _STRAY.search(text):
             best, most = text, n
     return best
 
