@@ -23,10 +23,12 @@ _ASCII_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 # --- tables in the shared folder --------------------------------------------------------------
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; only where that is unset (tests
-    on one machine) a temporary one, removed at exit."""
+    """The folder all executors share, from ``spark.checkpoint.dir``; only where that is unset and all runs
+    in one process (tests) a temporary one, removed at exit."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="shirabe-")
         atexit.register(shutil.rmtree, where, True)
         spark.conf.set("spark.checkpoint.dir", where)
