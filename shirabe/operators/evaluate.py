@@ -107,3 +107,66 @@ def trend(old: DataFrame, new: DataFrame, threshold: float = 20.0) -> DataFrame:
     both = both.select("rule_id", F.coalesce("was", F.lit(0.0)).alias("was"), F.coalesce("now", F.lit(0.0)).alias("now"))
     change = F.when(F.col("was") > 0, (F.col("now") - F.col("was")) / F.col("was") * 100)
     return both.withColumn("change", change).withColumn("warns", F.when(F.col("was") > 0, change > threshold).otherwise(F.col("now") > 0))
+
+
+CASE = "id string, line string, content string, diff array<struct<text:string,added:boolean>>, file string, want array<string>, spans array<struct<rule_id:string,line:int,start:int,end:int>>, tags array<string>"
+
+
+def scan_cases(cases: DataFrame, config=None) -> DataFrame:
+    """Findings of labelled cases (schema CASE): a line by itself, a content as a file, a diff as a hunk.
+    Returns id, rule_id, line, start, end and confidence."""
+    from ..detect.engine import Config, Detector
+    from .scan import FINDING, _rows_of, as_row
+
+    config = config or Config()
+    slim = cases.select("id", "line", "content", F.coalesce("file", F.lit("dataset")).alias("file_name"), F.col("diff.text").alias("texts"), F.col("diff.added").alias("added"))
+
+    def make():
+        d = Detector(config)
+
+        def f(line, content, file, texts, added):
+            if line is not None:
+                found = d.scan_line(line)
+            elif content is not None:
+                found = d.scan(content, file)
+            else:
+                found = d.scan_hunk(file, 1, texts or [], added or [])
+            return [as_row(x) for x in found]
+
+        return f
+
+    return _rows_of(slim, ["line", "content", "file_name", "texts", "added"], FINDING, make).select("id", "rule_id", "line", "start", "end", "confidence")
+
+
+def case_kind(cases: DataFrame) -> DataFrame:
+    """Add ``kind``: line, content or diff."""
+    return cases.withColumn("kind", F.when(F.col("line").isNotNull(), "line").when(F.col("content").isNotNull(), "content").otherwise("diff"))
+
+
+def evaluate_cases(cases: DataFrame, config=None) -> dict[str, DataFrame]:
+    """Scores of labelled cases: ``rules`` and ``strata`` (by kind and tag) of (case, rule) pairs, ``spans`` by
+    rule of matched spans, ``averages`` over the rules."""
+    found = scan_cases(cases, config)
+    kinds = case_kind(cases).select("id", "kind", F.explode_outer("tags").alias("tag"))
+    wanted = cases.select("id", F.explode("want").alias("rule_id"))
+    rows = outcomes(wanted, found, ["id", "rule_id"])
+    rules = totals(rows, "rule_id")
+    tagged = rows.join(kinds, "id")
+    by_kind = totals(rows.join(kinds.select("id", "kind").distinct(), "id"), "kind").withColumnRenamed("kind", "stratum")
+    by_tag = totals(tagged.where("tag is not null"), "tag").withColumnRenamed("tag", "stratum")
+    spans = cases.select("id", F.explode("spans").alias("s")).select("id", "s.rule_id", "s.start", "s.end")
+    matched = span_matches(spans, found, ["id", "rule_id"]).groupBy("rule_id").agg(*(F.sum(c).alias(c) for c in ("n_wanted", "n_found", "exact", "containment", "relaxed")))
+    return {"rules": rules, "strata": by_kind.unionByName(by_tag), "spans": matched, "averages": averages(rules)}
+
+
+def dataset_quality(cases: DataFrame, known_rules: list[str]) -> DataFrame:
+    """One row: rule ids that no rule has, cases that repeat another but for their id, and expected (case, rule)
+    pairs without a span."""
+    spark = cases.sparkSession
+    rules = spark.createDataFrame([(r,) for r in known_rules], "rule_id string")
+    named = cases.select(F.explode(F.array_union("want", F.coalesce(F.transform("spans", lambda s: s["rule_id"]), F.array().cast("array<string>")))).alias("rule_id"))
+    unknown = named.join(rules, "rule_id", "left_anti").select(F.countDistinct("rule_id").alias("unknown_rules"))
+    body = F.sha2(F.to_json(F.struct(*[c for c in cases.columns if c != "id"])), 256)
+    repeats = cases.groupBy(body.alias("h")).count().select(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("repeated_cases"))
+    pairs = cases.select("id", F.explode("want").alias("rule_id"), "spans").where(~F.exists(F.coalesce("spans", F.array().cast("array<struct<rule_id:string,line:int,start:int,end:int>>")), lambda s: s["rule_id"] == F.col("rule_id")))
+    return unknown.crossJoin(repeats).crossJoin(pairs.agg(F.count("*").alias("pairs_without_span")))
