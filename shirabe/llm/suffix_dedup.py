@@ -11,8 +11,9 @@ in another document as well, split where the document that has the window first
    suffix array of its words by Larsson-Sadakane refinement (prefix doubling that sorts unfinished groups only)
    and the common prefixes of neighbours by Kasai's algorithm, run in lanes side by side; suffixes that share 50
    words fall into one class.
-3. Shards are merged: their classes, keyed by a hash of the 50 words, are exchanged by key, and the sorted runs
-   of the shards are merged by binary search; classes found in two documents give the repeats.
+3. Shards are merged: each hands on one row a class, keyed by a hash of its 50 words, however many members it
+   has; rows are exchanged by key, and the sorted runs of the shards are merged by binary search. Classes that
+   stand in two documents are joined to their members (a join that Spark can split where it is skewed).
 
 Nothing is sampled or capped. Defined results: null and short texts have no passages; a passage that repeats
 inside one document only isn't reported; rows equal in id and text are one document, and rows of one id with
@@ -25,6 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -173,7 +175,18 @@ def merge_runs(runs: list[np.ndarray]) -> np.ndarray:
 
 
 # --- Spark ---------------------------------------------------------------------------------------------------------
-MEMBER = T.StructType([T.StructField("h", T.LongType()), T.StructField("shard", T.LongType()), T.StructField("rid", T.LongType()), T.StructField("id", T.LongType()), T.StructField("pos", T.IntegerType())])
+MEMBER = T.StructType([T.StructField("h", T.LongType()), T.StructField("shard", T.LongType()), T.StructField("rid", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("head", T.BooleanType()), T.StructField("two", T.BooleanType()), T.StructField("least", T.LongType())])
+
+
+def _packed(text) -> list[pa.Array]:
+    """Texts compressed: what a join moves and keeps on disk is a third of what it were."""
+    z = zstandard.ZstdCompressor(level=1)
+    return [pa.array([z.compress(t) for t in text.cast(pa.binary()).to_pylist()], pa.binary())]
+
+
+def _unpacked(packed) -> pa.Array:
+    z = zstandard.ZstdDecompressor()
+    return pa.array([z.decompress(b) for b in packed.to_pylist()], pa.binary())
 
 
 def _names(text) -> list[pa.Array]:
@@ -194,8 +207,8 @@ class _Shard:
         self.number, self.words, self.parts = number, 0, []
 
     def add(self, batch: pa.RecordBatch) -> None:
-        rid, ids, text, hot = batch.columns
-        w = Hashed(text)
+        rid, ids, packed, hot = batch.columns
+        w = Hashed(_unpacked(packed))
         doc, first, name = w.windows()
         off = hot.offsets.to_numpy()
         listed = hot.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]].view(np.uint64)
@@ -226,22 +239,32 @@ class _Shard:
         self.words += len(flat)
 
     def members(self) -> pa.RecordBatch | None:
+        """(h, shard, rid, pos) of each member of a class, in the order of the documents; of its first member
+        also head: true, two: whether the class has two documents here, and least: their smallest id."""
         if not self.parts:
             return None
         word, size, h, rid, ids, has_id, pos, wanted = (np.concatenate(x) for x in zip(*self.parts))
         cls = shard_classes(word, np.append(0, np.cumsum(size)))
-        keep = (cls >= 0) & wanted
-        h = h[cls[keep]].view(np.int64)  # the class's hash, of one of its members
-        order = np.argsort(h, kind="stable")
-        take = np.flatnonzero(keep)[order]
-        return pa.RecordBatch.from_arrays([pa.array(h[order]), pa.array(np.full(len(take), self.number, np.int64)), pa.array(rid[take]), pa.array(ids[take], mask=~has_id[take]), pa.array(pos[take].astype(np.int32))], names=MEMBER.names)
+        take = np.flatnonzero((cls >= 0) & wanted)
+        cls, rid, pos, h = cls[take], rid[take], pos[take], h[cls[take]].view(np.int64)  # the hash of one of them
+        ids = np.where(has_id[take], ids[take], np.iinfo(np.int64).max)
+        order = np.argsort(cls, kind="stable")
+        begin = np.flatnonzero(np.diff(cls[order], prepend=-1))
+        head, two, least = np.zeros(len(take), bool), np.zeros(len(take), bool), np.zeros(len(take), np.int64)
+        if len(begin):
+            first = order[begin]
+            head[first] = True
+            two[first] = np.minimum.reduceat(rid[order], begin) != np.maximum.reduceat(rid[order], begin)
+            least[first] = np.minimum.reduceat(ids[order], begin)
+        known = head & (least != np.iinfo(np.int64).max)
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(take), self.number, np.int64)), pa.array(rid), pa.array(pos.astype(np.int32)), pa.array(head), pa.array(two, mask=~head), pa.array(least, mask=~known)], names=MEMBER.names)
 
 
 def _members(batches):
     n = 0
     shard = _Shard(TaskContext.get().partitionId() << 24)
     for batch in batches:
-        for part in slices(batch, 2, 4 << 20):
+        for part in slices(batch, 2, 1 << 20):
             shard.add(part)
             if shard.words >= SHARD_WORDS:
                 yield shard.members()
@@ -253,26 +276,24 @@ def _members(batches):
 
 
 def _merged(batches):
-    """Members whose class stands in two documents, with the smallest id of the class."""
-    rows = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+    """(h, first) of the classes that stand in two documents: in two of one shard, or in two shards, since a
+    document is in one shard only."""
+    batches = list(batches)
+    rows = pa.Table.from_batches(batches) if batches else None
     if rows is None or not rows.num_rows:
         return
-    h, shard, rid = (rows.column(c).combine_chunks().to_numpy() for c in ("h", "shard", "rid"))
+    cell = lambda c, null: rows.column(c).combine_chunks().fill_null(null).to_numpy(zero_copy_only=False)
+    none = np.iinfo(np.int64).max
+    h, shard, two, least = cell("h", 0), cell("shard", 0), cell("two", False), cell("least", none)
     by_shard = np.lexsort((h, shard))
     cut = np.flatnonzero(np.diff(shard[by_shard])) + 1
     order = by_shard[merge_runs(np.split(h[by_shard], cut))]
-    h, rid = h[order], rid[order]
-    ids = rows.column("id").combine_chunks().take(pa.array(order))
-    null = np.asarray(ids.is_null())
-    id_value = np.where(null, np.iinfo(np.int64).max, ids.fill_null(0).to_numpy())
+    h = h[order]
     head = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
     size = np.diff(np.append(head, len(h)))
-    two = np.repeat(np.minimum.reduceat(rid, head) != np.maximum.reduceat(rid, head), size)
-    first = np.repeat(np.minimum.reduceat(id_value, head), size)
-    none = first == np.iinfo(np.int64).max
-    pos = rows.column("pos").combine_chunks().take(pa.array(order))
-    keep = pa.array(np.flatnonzero(two))
-    yield pa.RecordBatch.from_arrays([pa.array(rid).take(keep), ids.take(keep), pos.take(keep), pa.array(first, mask=none).take(keep)], names=["rid", "id", "pos", "first"])
+    twice = (size > 1) | np.logical_or.reduceat(two[order], head)
+    first = np.minimum.reduceat(least[order], head)[twice]
+    yield pa.RecordBatch.from_arrays([pa.array(h[head][twice]), pa.array(first, mask=first == none)], names=["h", "first"])
 
 
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", merge_rows: int = 1_000_000) -> DataFrame:
@@ -280,17 +301,22 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and first_doc is the smallest id that has them."""
     slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("t is not null")
     slim = slim.withColumn("rid", row_key("id", "t")[0])
-    named = map_text(slim.select("rid", "t"), "t", [("names", T.ArrayType(T.LongType()))], lambda: _names, drop=("t",))
-    pairs = named.select("rid", F.explode("names").alias("name"))
+    named = map_text(slim, "t", [("names", T.ArrayType(T.LongType()))], lambda: _names, drop=("t",))
+    pairs = named.select("rid", "id", F.explode("names").alias("name"))
     w = Window.partitionBy("name")
     shared = pairs.withColumn("a", F.min("rid").over(w)).withColumn("b", F.max("rid").over(w)).where("a != b")
-    hot, _ = write_table(shared.groupBy("rid").agg(F.collect_set("name").alias("hot")), "windows")
-    both = slim.join(hot, "rid")
-    members, _ = write_table(both.select("rid", "id", "t", "hot").mapInArrow(_members, MEMBER), "members")
+    hot, _ = write_table(shared.groupBy("rid").agg(F.min("id").alias("id"), F.collect_set("name").alias("hot")), "windows")
+    packed = map_text(slim.select("rid", "t"), "t", [("packed", T.BinaryType())], lambda: _packed, drop=("t",))
+    # Equal rows have one rid: one of them is enough. The join has brought them together.
+    both = packed.join(hot, "rid").withColumn("n", F.row_number().over(Window.partitionBy("rid").orderBy("rid"))).where("n = 1")
+    members, _ = write_table(both.select("rid", "id", "packed", "hot").mapInArrow(_members, MEMBER), "members")
+    classes = members.where("head").select("h", "shard", "two", "least")
     parts = max(1, -(-members.count() // merge_rows))
-    repeats = members.repartition(parts, "h").mapInArrow(_merged, "rid long, id long, pos int, first long").distinct()
-    v = Window.partitionBy("rid", "id", "first").orderBy("pos")
-    runs = repeats.withColumn("run", F.col("pos") - F.row_number().over(v)).groupBy("rid", "id", "first", "run").agg(F.min("pos").alias("a"), F.max("pos").alias("z"))
+    twice = classes.repartition(parts, "h").mapInArrow(_merged, "h long, first long")
+    repeats = members.select("h", "rid", "pos").join(twice, "h").select("rid", "first", "pos")
+    v = Window.partitionBy("rid", "first").orderBy("pos")
+    runs = repeats.withColumn("run", F.col("pos") - F.row_number().over(v)).groupBy("rid", "first", "run").agg(F.min("pos").alias("a"), F.max("pos").alias("z"))
+    runs = runs.join(hot.select("rid", "id"), "rid")
     return runs.select(F.col("id").alias("doc_id"), F.col("a").alias("start_word"), (F.col("z") + LEAST).alias("end_word"), (F.col("z") + LEAST - F.col("a")).alias("n_words"), F.col("first").alias("first_doc"))
 
 
