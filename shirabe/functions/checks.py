@@ -100,8 +100,8 @@ def credit_card(c: Column) -> Column:
     return _ok(c.rlike("\\A[0-9]{13,19}\\z") & ~all_same(c) & card_brand(c).isNotNull() & luhn(c) & ~known_test_card(c))
 
 
-def yucho_account(symbol: Column, number: Column) -> Column:
-    """A postal account: the fourth digit of its symbol checks the others and the number, in 8 digits."""
+def yucho_check(symbol: Column, number: Column) -> Column:
+    """The check digit of a postal account: of its symbol without the fourth digit, and its number in 8 digits."""
     double = lambda c, i: _folded(2 * _digit(c, i))
     n = F.lpad(number, 8, "0")
     total = _digit(symbol, 0) + 3 * _digit(symbol, 1) + double(symbol, 2) + 3 * _digit(symbol, 4)
@@ -111,8 +111,13 @@ def yucho_account(symbol: Column, number: Column) -> Column:
         total = total + 3 * _digit(n, i)
     for i in (0, 3, 6):
         total = total + double(n, i)
+    return total % 10
+
+
+def yucho_account(symbol: Column, number: Column) -> Column:
+    """A postal account: the fourth digit of its symbol checks the others and the number."""
     shape = symbol.rlike("\\A[0-9]{5}\\z") & number.rlike("\\A[0-9]{1,8}\\z")
-    return _ok(shape & (_digit(symbol, 3) == total % 10))
+    return _ok(shape & (_digit(symbol, 3) == yucho_check(symbol, number)))
 
 
 def phone_kind(c: Column) -> Column:

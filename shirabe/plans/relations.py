@@ -456,7 +456,7 @@ def dropped_reasons(spark, sf_dir):
     return S.dropped(table(spark, sf_dir, "documents").select("doc_id", "text")).groupBy("rule_id", "reason").agg(F.count("*").alias("n"))
 
 
-@query("external_candidates")
+@query("external_candidates", "SELECT 'x-license' AS rule_id, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line LIKE 'Licensed%'")
 def external_candidates(spark, sf_dir):
     """A recognizer of the user's own beside the rules."""
 

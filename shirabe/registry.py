@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import checks, relations
+from .plans import checks, relations, structures
 
-QUERIES: dict = {**checks.QUERIES, **relations.QUERIES}
-ORACLE: dict = {**checks.ORACLE, **relations.ORACLE}
+QUERIES: dict = {**checks.QUERIES, **relations.QUERIES, **structures.QUERIES}
+ORACLE: dict = {**checks.ORACLE, **relations.ORACLE, **structures.ORACLE}
