@@ -149,7 +149,7 @@ def birthdate_valid(c: Column) -> Column:
     """A date in Western years, Japanese eras (by name or letter, the first year by its own character) or
     eight digits, if the calendar has it."""
     plain = "\\A((?:19|20)[0-9]{2})([0-9]{2})([0-9]{2})\\z"
-    shape = "\\A(?:((?:19|20)[0-9]{2})|(明治|大正|昭和|平成|令和|[MTSHR])(元|[0-9]{1,2}))[年/.-]([0-9]{1,2})[月/.-]([0-9]{1,2})日?\\z"
+    shape = "\\A(?:((?:19|20)[0-9]{2})|(令和|平成|昭和|大正|明治|[HMRST])(元|[0-9]{1,2}))[年/.-]([0-9]{1,2})[月/.-]([0-9]{1,2})日?\\z"
     get = lambda p, k: F.regexp_extract(c, p, k)
     num = lambda p, k: F.nullif(get(p, k), F.lit("")).cast("int")
     era = F.substring(get(shape, 2), 1, 1)

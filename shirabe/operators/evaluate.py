@@ -146,7 +146,7 @@ def scan_cases(cases: DataFrame, config=None) -> DataFrame:
 
         return f
 
-    return _rows_of(slim, ["line", "content", "file_name", "texts", "added"], FINDING, make).select("id", "rule_id", "line", "start", "end", "confidence")
+    return _rows_of(slim, ["line", "content", "file_name", "texts", "added"], FINDING, make).select("id", "line", "start", "end", "rule_id", "confidence")
 
 
 def case_kind(cases: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ _CARD = "[0-9](?:[- ]?[0-9]){12,18}"
 
 def cards(spark, sf_dir):
     """Card numbers of the documents: candidates and checks run in the JVM alone."""
-    found = F.regexp_extract_all("text", F.lit(f"(?<![0-9A-Za-z/-])({_CARD})(?![0-9A-Za-z-])"), 1)
+    found = F.regexp_extract_all("text", F.lit(f"(?<![/A-Za-z0-9-])({_CARD})(?![A-Za-z0-9-])"), 1)
     docs = table(spark, sf_dir, "documents").where(F.col("text").rlike("[0-9](?:[- ]?[0-9]){12}"))
     got = docs.select("doc_id", "source", "lang", F.explode(found).alias("value")).withColumn("digits", X.strip_separators(F.col("value")))
     return got.where(C.credit_card(F.col("digits")))
@@ -69,7 +69,7 @@ def cards(spark, sf_dir):
 
 # RE2 has no lookaround: what may guard two numbers is followed by another blank, so that each has its own.
 _CARDS_SQL = (
-    f"SELECT * FROM (SELECT doc_id, source, lang, value, regexp_replace(value, '[- ]', '', 'g') AS digits FROM (SELECT doc_id, source, lang, unnest(regexp_extract_all(regexp_replace(text, '([^0-9A-Za-z/ -]|[0-9]{{16}} )', '\\1 ', 'g'), '(?:^|[^0-9A-Za-z/-])({_CARD})(?:[^0-9A-Za-z-]|$)', 1)) AS value FROM documents)) "
+    f"SELECT * FROM (SELECT doc_id, source, lang, value, regexp_replace(value, '[- ]', '', 'g') AS digits FROM (SELECT doc_id, source, lang, unnest(regexp_extract_all(regexp_replace(text, '([^0-9A-Za-z/ -]|[0-9]{{16}} )', '\\1 ', 'g'), '(?:^|[^/A-Za-z0-9-])({_CARD})(?:[^A-Za-z0-9-]|$)', 1)) AS value FROM documents)) "
     f"WHERE NOT {sql_same('digits')} AND {sql_brand('digits')} IS NOT NULL AND {sql_luhn('digits')} AND sha256(digits) NOT IN ("
 )
 

@@ -137,7 +137,7 @@ def _findings(spark, sf_dir):
     k, n, p = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")
     i = lambda c: c.cast("int")
     return table(spark, sf_dir, "lineitem").select(
-        F.concat(F.lit("f"), (k % 50).cast("string"), F.lit(".txt")).alias("file"), i(k % 400).alias("line"), i(n).alias("ordinal"), F.element_at(F.array(*map(F.lit, ("credit-card", "jp-bank-account", "jp-phone-number"))), i(p % 3 + 1)).alias("rule_id"),
+        F.concat(F.lit("f"), (k % 50).cast("string"), F.lit(".txt")).alias("file"), i(k % 400).alias("line"), i(n).alias("ordinal"), F.element_at(F.array(*map(F.lit, "credit-card jp-bank-account jp-phone-number".split())), i(p % 3 + 1)).alias("rule_id"),
         i(p % 20).alias("start"), i(p % 20 + 4 + p % 5).alias("end"), i(1 + p % 3).alias("confidence"), i(40 + p % 40).alias("score"), (p % 11 == 0).alias("fail_only"), F.col("l_suppkey").cast("string").alias("match"), k.alias("k"),
     )
 
@@ -372,23 +372,25 @@ def diff_added_lines(spark, sf_dir):
     return added_lines(hunks(table(spark, sf_dir, "orders").select(k.alias("k"), F.replace(patch, F.lit(",2 +"), F.lit(",3 +")).alias("patch"))))
 
 
-@query("unescaped_pages", "SELECT page_id, length(html) > 0 AS some FROM pages")
+@query("unescaped_pages", "SELECT page_id, md5(html) AS digest FROM (SELECT page_id, replace(html || ' &#23665;' || chr(92) || 'u5c71 %E5%B1%B1', '&#23665;' || chr(92) || 'u5c71 %E5%B1%B1', '山山 山') AS html FROM pages)")
 def unescaped_pages(spark, sf_dir):
+    """Whole pages with three kinds of escapes behind them, which alone are read: pages have none of their own."""
     from ..sources.files import unescaped
 
-    return unescaped(table(spark, sf_dir, "pages").select("page_id", "html"), "html").select("page_id", (F.length("html") > 0).alias("some"))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat("html", F.lit(" &#23665;\\u5c71 %E5%B1%B1")).alias("html"))
+    return unescaped(pages, "html").select("page_id", F.md5(F.col("html").cast("binary")).alias("digest"))
 
 
-@query("email_candidates", "SELECT doc_id, value, domain IN ('x') AS valid FROM (SELECT doc_id, value, split_part(value, '@', 2) AS domain FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS value FROM documents))")
+@query("email_candidates", "SELECT doc_id, value, domain IN ('x') AS valid FROM (SELECT doc_id, value, split_part(value, '@', 2) AS domain FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[%+._0-9A-Za-z-]+@[.0-9A-Za-z-]+\\.[A-Za-z]{2,}')) AS value FROM documents))")
 def email_candidates(spark, sf_dir):
     """Mail addresses of the documents; all of them are under the reserved name, so none is valid."""
     from ..detect.dictionaries import words
 
     v = F.col("value")
-    found = F.regexp_extract_all("text", F.lit("[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}"), 0)
+    found = F.regexp_extract_all("text", F.lit("[%+._0-9A-Za-z-]+@[.0-9A-Za-z-]+\\.[A-Za-z]{2,}"), 0)
     labels = F.split(F.lower(F.substring_index(v, "@", -1)), "\\.")
     tld = F.element_at(labels, -1)
-    valid = ~F.array_contains(labels, "example") & tld.isin(*sorted(words("tlds"))) & ~tld.isin("test", "invalid", "localhost", "example", "local")
+    valid = ~F.array_contains(labels, "example") & tld.isin(*sorted(words("tlds"))) & ~tld.isin(*"local example localhost invalid test".split())
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("value")).withColumn("valid", valid)
 
 
@@ -470,8 +472,3 @@ def external_candidates(spark, sf_dir):
 @query("rules_listing")
 def rules_listing(spark, sf_dir):
     return S.rules_listing(spark, Config())
-
-
-@query("scan_conversations", "SELECT DISTINCT conv_id, turn FROM conversations WHERE FALSE")
-def scan_conversations(spark, sf_dir):
-    return S.scan_documents(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).select("conv_id", "turn")

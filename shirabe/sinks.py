@@ -53,7 +53,8 @@ def annotations(df: DataFrame, unmask: bool = False) -> DataFrame:
     """Workflow commands: error, warning or notice by confidence."""
     kind = F.when(F.col("confidence") == 3, "error").when(F.col("confidence") == 1, "notice").otherwise("warning")
     said = F.concat_ws(" ", "description", "match")
-    line = F.format_string("::%s file=%s,line=%d,col=%d,title=%s::%s", kind, _escaped(F.col("file"), True), "line", "column", _escaped(F.col("rule_id"), True), _escaped(said, False))
+    place = {"file": _escaped(F.col("file"), True), "line": F.col("line").cast("string"), "col": F.col("column").cast("string"), "title": _escaped(F.col("rule_id"), True)}
+    line = F.concat(F.lit("::"), kind, F.lit(" "), F.concat_ws(",", *(F.concat(F.lit(f"{k}="), v) for k, v in place.items())), F.lit("::"), _escaped(said, False))
     return masked(df, unmask).select(line.alias("value"))
 
 
@@ -79,7 +80,12 @@ def sarif(df: DataFrame, unmask: bool = False) -> DataFrame:
     return run.select(F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(F.struct(driver, F.transform("x", lambda v: v["r"]).alias("results"))).alias("runs"))).alias("value"))
 
 
-ENTITIES = {"jp-my-number": "JP_MY_NUMBER", "jp-phone-number": "PHONE_NUMBER", "jp-postal-code": "JP_POSTAL_CODE", "jp-address": "LOCATION", "jp-address-high-recall": "LOCATION", "email-address": "EMAIL_ADDRESS", "email-address-eai": "EMAIL_ADDRESS", "email-address-confusable": "EMAIL_ADDRESS", "credit-card": "CREDIT_CARD", "person-name": "PERSON", "person-name-high-recall": "PERSON", "person-name-structured": "PERSON", "person-name-romaji": "PERSON", "jp-birthdate": "DATE_TIME"}
+#: Entity types and the rules that give them; other rules give their own name.
+ENTITIES = {
+    rule: kind
+    for kind, rules in (("PERSON", "person-name person-name-romaji person-name-structured person-name-high-recall"), ("LOCATION", "jp-address jp-address-high-recall"), ("EMAIL_ADDRESS", "email-address email-address-confusable email-address-eai"), ("PHONE_NUMBER", "jp-phone-number"), ("DATE_TIME", "jp-birthdate"))
+    for rule in rules.split()
+}
 
 
 def entities(df: DataFrame) -> DataFrame:

@@ -90,7 +90,7 @@ def _git(repo: str, *args: str) -> str:
 def git_patch(spark: SparkSession, repo: str, revisions: str | None = None) -> DataFrame:
     """The patch of what is staged, or between revisions, as a table of one row (git runs on the driver)."""
     what = [revisions] if revisions else ["--staged"]
-    return spark.createDataFrame([(_git(repo, "diff", "-U3", "--no-color", "--no-ext-diff", "--diff-filter=ACMRT", *what, "--"),)], "patch string")
+    return spark.createDataFrame([(_git(repo, "diff", "--no-ext-diff", "--no-color", "--diff-filter=ACMRT", "-U3", *what, "--"),)], "patch string")
 
 
 def post_revision(revisions: str | None) -> str | None:

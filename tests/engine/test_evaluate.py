@@ -31,7 +31,7 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert main(["scan", str(tmp_path)]) == 1
     out = capsys.readouterr().out
     assert "jp-phone-number" in out and "jp-bank-account" in out and "5678" not in out
-    assert main(["scan", str(tmp_path), "--min-confidence", "high", "--format", "jsonl"]) == 1
+    assert main(["scan", "--format", "jsonl", str(tmp_path), "--min-confidence", "high"]) == 1
     assert capsys.readouterr().out.count("\n") == 1
     assert main(["baseline", str(tmp_path), "--baseline", str(tmp_path / "known")]) == 0
     (tmp_path / "known").rename(tmp_path.parent / "known-elsewhere")

@@ -108,9 +108,9 @@ PATCH = """diff --git a/x.txt b/x.txt
 -a
 +b
 \\ No newline at end of file
---- a/gone.txt
+--- a/gone.md
 +++ /dev/null
-@@ -1 +0,0 @@
+@@ -3 +2,0 @@
 -x
 """
 
