@@ -172,16 +172,22 @@ class Detector:
             self.by_id.setdefault(r.id, r)
         self.drops: list[Drop] = []
         self.plans = [_Plan(r) for r in self.rules]
-        # What a line needs for any rule at all; the same as gate_pattern says in a plan.
-        self.gate = re.compile("[0-9@]|[^\\x00-\u2fff]" + ("|" if any(not r.gate and not r.literals for r in self.rules) else "".join(f"|(?i:{re.escape(w)})" for r in self.rules if not r.gate for w in r.literals)))
+        self.gate = re.compile("|".join(["[^\\x00-\u2fff]", *self._gates()]))
+
+    def _gates(self) -> list[str]:
+        """Regexes (for Python and Java alike) of which one matches every text with a finding, if it has nothing
+        from U+3000 on: an @, a number of six digits however written, a date's label, a word that an ungated
+        rule asks for. Rules of the user's own may find anything."""
+        own = [r for r in self.rules if not r.gate]
+        if any(not r.literals for r in own):
+            return [""]
+        words = {"dob", "birth", *(w for r in own for w in r.literals)}
+        return ["@", "[0-9](?:[^0-9]{0,3}[0-9]){5}", *(f"(?i:{re.escape(w)})" for w in sorted(words))]
 
     def gate_pattern(self) -> str:
-        """A Java regex that every text with a finding matches."""
-        extra = [r for r in self.rules if not r.gate]
-        if any(not r.literals for r in extra):
-            return ""
-        words = sorted({w for r in extra for w in r.literals})
-        return "(?i)[0-9@\\x{3000}-\\x{10FFFF}]" + "".join("|" + re.escape(w) for w in words)
+        """A Java regex that every text with a finding matches; empty if there is none."""
+        gates = self._gates()
+        return "" if "" in gates else "|".join(["[\\x{3000}-\\x{10FFFF}]", *gates])
 
     # --- one line --------------------------------------------------------------------------------------------
     def _drop(self, rule_id, line, column, reason, confidence):

@@ -180,3 +180,16 @@ def test_cheap_tests_lose_nothing():
     for _ in range(1500):
         text = "".join(r.choice(parts) + r.choice(["", " ", "\n"]) for _ in range(r.randint(1, 7)))
         assert [(f.rule_id, f.line, f.start, f.end, f.confidence, f.score) for f in ALL.scan(text)] == [(f.rule_id, f.line, f.start, f.end, f.confidence, f.score) for f in slow.scan(text)]
+
+
+def test_gates_lose_nothing():
+    import random
+    import re
+
+    r = random.Random(11)
+    open_ = Detector(Config(high_recall=True))
+    open_.gate = re.compile("")
+    parts = "dob: H1/2/3 birthday 1990-1-2 tel (0123) 45-6789 +81 90 1234 5678 card 4000-0012-3456-7899 passport TK 1234567 full_name: Taro Yamada 090.1234.5678 pension 1234.567890 zip code 150-0043 kouza 123/4567 hokensha 1234 5678 x a@b.jp 12 3 45".split(" ")
+    for _ in range(3000):
+        text = "".join(r.choice(parts) + r.choice(["", " ", " ", "\n"]) for _ in range(r.randint(1, 6)))
+        assert [(f.rule_id, f.line, f.start, f.end, f.score) for f in ALL.scan(text)] == [(f.rule_id, f.line, f.start, f.end, f.score) for f in open_.scan(text)]

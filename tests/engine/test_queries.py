@@ -22,7 +22,7 @@ def test_entry(spark):
 
 
 def test_scan_of_documents_finds_the_cards(spark):
-    """All findings of the default rules in these documents are the cards that built-in functions find."""
-    scanned = registry.QUERIES["scan_documents"](spark, DIR).select("doc_id", "match").collect()
+    """The matcher and built-in functions find the same cards."""
+    scanned = registry.QUERIES["scan_documents"](spark, DIR).where("rule_id = 'credit-card'").select("doc_id", "match").collect()
     cards = registry.QUERIES["card_findings"](spark, DIR).select("doc_id", "masked").collect()
     assert sorted(map(tuple, scanned)) == sorted(map(tuple, cards))
