@@ -165,3 +165,33 @@ def birthdate_valid(c: Column) -> Column:
 def drivers_license_valid(c: Column) -> Column:
     d = strip_separators(c)
     return _ok((F.length(d) > 0) & ~d.startswith("0") & ~all_same(d) & ~sequential(d))
+
+
+def address_tail_is_no_date(c: Column) -> Column:
+    """Whether the numbers that end an address, joined by hyphens, aren't a date of 1900 to 2100."""
+    tail = F.regexp_extract(c, "([0-9]{1,4}(?:-[0-9]{1,4})+)\\z", 1)
+    parts = F.split(tail, "-")
+    n = lambda i: F.get(parts, F.lit(i)).cast("int")
+    date = (F.size(parts) == 3) & n(0).between(1900, 2100) & calendar_date(n(0), n(1), n(2))
+    return F.coalesce(~date, F.lit(True))
+
+
+def email_valid(c: Column, tlds=None) -> Column:
+    """An ASCII mail address that isn't a placeholder, under a known top-level domain."""
+    from ..detect.dictionaries import words
+
+    local, domain = F.regexp_extract(c, "\\A(.+)@([^@]+)\\z", 1), F.lower(F.regexp_extract(c, "\\A(.+)@([^@]+)\\z", 2))
+    labels = F.split(domain, "\\.")
+    tld, dummy = F.element_at(labels, -1), "(?i)hoge|fuga|dummy|sample|foo|bar"
+    plain = (local != "") & ~local.rlike("\\A\\.|\\.\\z|\\.\\.") & local.rlike("[0-9A-Za-z]")
+    named = ~F.exists(labels, lambda x: (x == "") | x.startswith("-") | x.endswith("-") | (x == "example"))
+    known = tld.isin(*sorted(words("tlds") if tlds is None else tlds)) & ~tld.isin(*"local localhost invalid test".split())
+    return _ok(plain & named & ~local.rlike(dummy) & ~F.get(labels, F.lit(0)).rlike(dummy) & known)
+
+
+def no_digit_group(line: Column, value: str, separators: str, *widths: int) -> Column:
+    """Whether no occurrence of the value's pattern has, after a separator, a run of digits of such a width
+    beside it."""
+    sep = "[" + "".join("\\" + x for x in separators) + "]"
+    runs = "|".join(f"[0-9]{{{w}}}" for w in widths)
+    return _ok(~line.rlike(f"(?<![0-9])(?:{runs}){sep}(?:{value})|(?:{value}){sep}(?:{runs})(?![0-9])"))

@@ -131,3 +131,11 @@ def line_offset(text: Column, line_no: Column, column: Column) -> Column:
 def path_is_test(c: Column) -> Column:
     """Whether a path looks like tests or fixtures."""
     return c.rlike("(?:^|/)(?:testdata|fixtures|__tests__|spec|mocks|seeds?)(?:/|$)") | F.element_at(F.split(c, "/"), -1).rlike("(?:_test\\.go\\z|\\.spec\\.|\\.test\\.)")
+
+
+def compose_kana(c: Column) -> Column:
+    """Kana and a combining voice mark in one character."""
+    from ..detect.dictionaries import _PAIRS
+
+    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in sorted(_PAIRS.items())))
+    return F.aggregate(pairs, c, lambda acc, x: F.replace(acc, x["a"], x["b"]))

@@ -78,3 +78,16 @@ def test_markers_and_lines(spark):
     assert column(spark, text, X.ignored) == [True, False, False, True]
     assert column(spark, ["a\r\nb\n\nc\r"], X.lines) == [["a", "b", "", "c"]]
     assert column(spark, ["a\r\nbc"], lambda c: X.line_offset(c, F.lit(2), F.lit(2))) == [4]
+
+
+def test_mail_and_addresses_agree(spark):
+    mails = ["taro@gmail.com", ".a@gmail.com", "a.@gmail.com", "a..b@gmail.com", "___@gmail.com", "taro@EXAMPLE.com", "taro@a.example", "taro@-a.jp", "taro@a-.jp", "taro@a..jp", "fooled@gmail.com", "taro@BAR.jp", "taro@x.nosuch", "taro@x.local", "@gmail.com", "taro@", "a@b@gmail.com", "x@y.co.jp"]
+    assert column(spark, mails, C.email_valid) == [V.email_valid(m) for m in mails]
+    tails = ["渋谷区1-2-3", "渋谷区2025-07-02", "渋谷区2025-13-02", "渋谷区1899-1-1", "渋谷区2025-7", "渋谷区", "2024-2-30", "12-2025-07-02"]
+    assert column(spark, tails, C.address_tail_is_no_date) == [V.tail_is_no_date(t) for t in tails]
+    licences = ["305012345678", "005012345678", "1111-1111-1111", "1234.5678.9012", ""]
+    assert column(spark, licences, C.drivers_license_valid) == [V.drivers_license_valid(x) for x in licences]
+    from shirabe.detect.dictionaries import compose_kana
+
+    kana = ["ヤマタ゛", "ヤマダ パア゙", "ヴ", ""]
+    assert column(spark, kana, X.compose_kana) == [compose_kana(x) for x in kana]
