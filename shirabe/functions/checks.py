@@ -15,7 +15,7 @@ _UP, _DOWN = "0123456789", "9876543210"
 
 def _digit(c: Column, i: int) -> Column:
     """The digit at place i from 0."""
-    return F.substring(c, i + 1, 1).cast("int")
+    return F.substring(c, i + 1, 1).try_cast("int")
 
 
 def _weighted(c: Column, weights) -> Column:
@@ -62,9 +62,9 @@ def corporate_number(c: Column) -> Column:
 def modulus10_weight21(c: Column) -> Column:
     """The last digit tops the digit sums of the others, times 2 and 1 from the right, up to a ten."""
     chars = F.reverse(F.split(F.substring(c, F.lit(1), F.length(c) - 1), ""))
-    terms = F.transform(F.filter(chars, lambda x: x != ""), lambda x, i: _folded(x.cast("int") * F.when(i % 2 == 0, 2).otherwise(1)))
+    terms = F.transform(F.filter(chars, lambda x: x != ""), lambda x, i: _folded(x.try_cast("int") * F.when(i % 2 == 0, 2).otherwise(1)))
     rest = F.aggregate(terms, F.lit(0), lambda a, x: a + x) % 10
-    return _ok(c.rlike("\\A[0-9]{2,}\\z") & (F.substring(c, -1, 1).cast("int") == (10 - rest) % 10))
+    return _ok(c.rlike("\\A[0-9]{2,}\\z") & (F.substring(c, -1, 1).try_cast("int") == (10 - rest) % 10))
 
 
 def _folded(x: Column) -> Column:
@@ -78,7 +78,7 @@ def luhn(c: Column) -> Column:
 def card_brand(c: Column) -> Column:
     """The brand that a card number's prefix and length belong to, or null."""
     n = F.length(c)
-    p = lambda k: F.substring(c, 1, k).cast("int")
+    p = lambda k: F.substring(c, 1, k).try_cast("int")
     return (
         F.when(c.startswith("4") & n.isin(16, 19), "visa")
         .when((p(2).between(51, 55) | p(4).between(2221, 2720)) & (n == 16), "mastercard")
@@ -151,7 +151,7 @@ def birthdate_valid(c: Column) -> Column:
     plain = "\\A((?:19|20)[0-9]{2})([0-9]{2})([0-9]{2})\\z"
     shape = "\\A(?:((?:19|20)[0-9]{2})|(令和|平成|昭和|大正|明治|[HMRST])(元|[0-9]{1,2}))[年/.-]([0-9]{1,2})[月/.-]([0-9]{1,2})日?\\z"
     get = lambda p, k: F.regexp_extract(c, p, k)
-    num = lambda p, k: F.nullif(get(p, k), F.lit("")).cast("int")
+    num = lambda p, k: get(p, k).try_cast("int")
     era = F.substring(get(shape, 2), 1, 1)
     year = F.when(get(shape, 3) == "元", 1).otherwise(num(shape, 3))
     first, last = F.lit(None).cast("int"), F.lit(None).cast("int")
@@ -171,7 +171,7 @@ def address_tail_is_no_date(c: Column) -> Column:
     """Whether the numbers that end an address, joined by hyphens, aren't a date of 1900 to 2100."""
     tail = F.regexp_extract(c, "([0-9]{1,4}(?:-[0-9]{1,4})+)\\z", 1)
     parts = F.split(tail, "-")
-    n = lambda i: F.get(parts, F.lit(i)).cast("int")
+    n = lambda i: F.get(parts, F.lit(i)).try_cast("int")
     date = (F.size(parts) == 3) & n(0).between(1900, 2100) & calendar_date(n(0), n(1), n(2))
     return F.coalesce(~date, F.lit(True))
 

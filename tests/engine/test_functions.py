@@ -91,3 +91,10 @@ def test_mail_and_addresses_agree(spark):
 
     kana = ["ヤマタ゛", "ヤマダ パア゙", "ヴ", ""]
     assert column(spark, kana, X.compose_kana) == [compose_kana(x) for x in kana]
+
+
+def test_odd_values_are_false(spark):
+    odd = ["x", "12a456789012", "日本", "-", " ", "4111x11111111111", "１２３"]
+    for f in (C.my_number_valid, C.corporate_number, C.modulus10_weight21, C.credit_card, C.phone_valid, C.birthdate_valid, C.email_valid):
+        assert column(spark, odd, f) == [False] * len(odd), f.__name__
+    assert column(spark, odd, C.card_brand)[:5] == [None] * 5
