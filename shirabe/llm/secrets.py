@@ -37,6 +37,14 @@ def nocase(word: str) -> str:
 
 
 _NAMES = "|".join(map(nocase, ("api_key", "apikey", "api-key", "secret_key", "client_secret", "secret", "access_token", "auth_token", "token", "password", "passwd")))
+_KEY_LABEL = "[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+_BREAK = r"(?:\r?\n|(?:\\r)?\\n)[ \t]*"
+#: What follows a key's first line if no last line does: headers and lines of base64, of which those that aren't
+#: long or after a written ``\n`` must be alone on their line.
+_KEY_CUT = (
+    rf"(?:{_BREAK}(?:Proc-Type|DEK-Info|Version|Comment|Charset|Hash|MessageID): [^\r\n\\]*)*(?:{_BREAK})?"
+    rf"(?:(?:{_BREAK}|[ \t]*)[A-Za-z0-9+/]{{32,}}={{0,2}}|(?:\\r)?\\n=?[A-Za-z0-9+/]+={{0,2}}|{_BREAK}=?[A-Za-z0-9+/]+={{0,2}}[ \t\r]*(?m:$))*"
+)
 RULES: dict[str, str] = {
     "aws-access-key": r"\b(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{16}\b",
     "github-token": r"\bgh[pousr]_[A-Za-z0-9]{36,255}\b",
@@ -45,7 +53,7 @@ RULES: dict[str, str] = {
     "google-api-key": r"\bAIza[0-9A-Za-z_-]{35}",
     "stripe-key": r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,250}\b",
     "sk-key": r"\bsk-[A-Za-z0-9_-]{20,250}",
-    "private-key": r"-----BEGIN (?:[A-Z]{2,10} ){0,2}PRIVATE KEY-----",
+    "private-key": rf"-----BEGIN {_KEY_LABEL}(?:[^-]*(?:-{{1,4}}[^-]+)*-{{5,}}END {_KEY_LABEL}|{_KEY_CUT})",
     "json-web-token": r"\beyJ[A-Za-z0-9_-]{10,900}\.eyJ[A-Za-z0-9_-]{10,900}\.[A-Za-z0-9_-]{10,900}",
     "url-password": r"\b[a-z][a-z0-9+.-]{1,20}://[^ \t\r\n/:@]{1,64}:[^ \t\r\n/:@]{3,64}@",
     "assigned-secret": rf"\b(?:{_NAMES})[\"']?[ \t]{{0,4}}[:=][ \t]{{0,4}}[\"']?[A-Za-z0-9_/+.-]{{16,200}}[\"']?",
