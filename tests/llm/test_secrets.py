@@ -109,3 +109,10 @@ def test_private_keys_same_as_sql():
     con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
     got = sorted((i, k, n, a, b) for i, k, n, a, b, _ in S.Scanner(S.RULES).find(pa.array(texts, pa.string())))
     assert got == sorted(r[:5] for r in con.execute(S.scan_sql()).fetchall())
+
+
+def test_secrets_of_any_length_go_whole():
+    for n in (40, 300, 1200, 5000):
+        w = "q7" * (n // 2)
+        for text in (f"ghp_{w}", f"github_pat_{w}", f"xoxb-{w}", f"sk_live_{w}", f"sk-{w}", f"eyJ{w}.eyJ{w}.{w}", f"postgres://{w}:{w}@", f"a{'b' * 40}://u:{w}@", f"api-key='{w}'", f"token{' ' * 30}={' ' * 30}{w}"):
+            assert redacted(f"é {text} end") == "é [SECRET] end", text[:20]
