@@ -6,6 +6,7 @@ intersect and unite postings, and the regex runs over the candidates only. A rul
 trigram scans every document. Trigrams are of bytes in ASCII lower case, so folding never loses a match.
 
 Patterns are in the syntax that Python and RE2 share, without capturing groups; ``\\b`` and classes are ASCII.
+An assigned secret is found from the known name on, whatever stands before it: of ``DB_PASSWORD=...``, ``DB_`` stays.
 
 Defined results: null and empty texts have no findings; matches of one rule don't overlap (leftmost first);
 each of several equal rows has its own findings; different rules may find overlapping spans, which redaction
@@ -36,7 +37,7 @@ def nocase(word: str) -> str:
     return "".join(f"[{c.upper()}{c.lower()}]" if c.isalpha() else re.escape(c) for c in word)
 
 
-_NAMES = "|".join(map(nocase, ("api_key", "apikey", "api-key", "secret_key", "client_secret", "secret", "access_token", "auth_token", "token", "password", "passwd")))
+_NAMES = "|".join(map(nocase, ("api_key", "apikey", "api-key", "secret_access_key", "secretaccesskey", "secret-access-key", "secret_key", "client_secret", "secret", "access_token", "auth_token", "token", "password", "passwd")))
 _KEY_LABEL = "[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
 _BREAK = r"(?:\r?\n|(?:\\r)?\\n)[ \t]*"
 #: What follows a key's first line if no last line does: headers and lines of base64, of which those that aren't
@@ -56,7 +57,7 @@ RULES: dict[str, str] = {
     "private-key": rf"-----BEGIN {_KEY_LABEL}(?:[^-]*(?:-{{1,4}}[^-]+)*-{{5,}}END {_KEY_LABEL}|{_KEY_CUT})",
     "json-web-token": r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
     "url-password": r"\b[a-z][a-z0-9+.-]+://[^ \t\r\n/:@]+:[^ \t\r\n/:@]{3,}@",
-    "assigned-secret": rf"\b(?:{_NAMES})[\"']?[ \t]*[:=][ \t]*[\"']?[A-Za-z0-9_/+.-]{{16,}}[\"']?",
+    "assigned-secret": rf"(?:{_NAMES})[\"']?[ \t]*[:=][ \t]*[\"']?[A-Za-z0-9_/+.-]{{16,}}[\"']?",
     "bot-token": r"\b[0-9]{8,10}:[A-Za-z0-9_-]{35}\b",  # needs no trigram: scans fully
 }
 

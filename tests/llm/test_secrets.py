@@ -116,3 +116,13 @@ def test_secrets_of_any_length_go_whole():
         w = "q7" * (n // 2)
         for text in (f"ghp_{w}", f"github_pat_{w}", f"xoxb-{w}", f"sk_live_{w}", f"sk-{w}", f"eyJ{w}.eyJ{w}.{w}", f"postgres://{w}:{w}@", f"a{'b' * 40}://u:{w}@", f"api-key='{w}'", f"token{' ' * 30}={' ' * 30}{w}"):
             assert redacted(f"é {text} end") == "é [SECRET] end", text[:20]
+
+
+def test_names_with_prefixes():
+    value = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    for name in ("DB_PASSWORD", "GITHUB_TOKEN", "MY_API_KEY", "AWS_SECRET_ACCESS_KEY", "aws.secret-access-key", "secretAccessKey", "dbPassword", "x2token"):
+        for sign in ("=", ": ", '" : "'):
+            assert value not in redacted(f"é {name}{sign}{value} end"), name
+            assert redacted(f"é {name}{sign}{value} end").endswith("[SECRET] end")
+    assert redacted(f"AWS_SECRET_ACCESS_KEY={value}") == "AWS_[SECRET]"
+    assert redacted(f"PASSWORD_HINT={value}") == f"PASSWORD_HINT={value}"
