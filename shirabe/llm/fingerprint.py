@@ -7,8 +7,8 @@ neighbours; a phrase begins at each local maximum of the colours. A phrase's nam
 lengths. Where a phrase begins depends on a few symbols to either side only, so equal substrings, wherever they
 stand, get equal names but for some phrases at their edges.
 
-Defined results: null text, nulls; empty text, root 0, no phrases, 0 levels; a text with fewer levels than asked
-for has its root as its only phrase. Equal texts have equal fingerprints; rows are handled one by one; other
+Defined results: null text, nulls; empty text, root 0, no phrases, 0 levels, no lists; a text with fewer levels than
+asked for has its root as its only phrase. Equal texts have equal fingerprints; rows are handled one by one; other
 columns are carried (``<name>_in`` where they bear an output's name).
 """
 
@@ -19,10 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import int_lists, map_text, mix64, utf8_parts, with_nulls
+from .common import int_lists, map_text, mix64, ragged, utf8_parts, with_nulls
 
-#: The level whose phrases are returned: they have about 80 bytes each.
+#: The level whose phrases are returned as ``phrases``: they have about 80 bytes each. Some 150 to 250 bytes at the
+#: edges of a shared passage have no common name there, so a short passage may have none.
 LEVEL = 5
+#: The finest level of ``hierarchy``: of periodic passages, only this one may keep a name that doesn't reach into
+#: what stands around them.
+FINEST = 1
+#: Names take some six times a text's bytes, so steps are shorter than those of other operators.
+STEP_BYTES = 1 << 19
 _LOW = np.zeros(256, np.uint8)
 for _i in range(1, 256):
     _LOW[_i] = (_i & -_i).bit_length() - 1
@@ -107,12 +113,12 @@ def _level(x: np.ndarray, first: np.ndarray):
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
 
 
-def parse(data: np.ndarray, off: np.ndarray, level: int = LEVEL):
-    """(root of each text, number of its levels, phrase names at ``level``, their offsets)."""
+def hierarchy(data: np.ndarray, off: np.ndarray, finest: int = FINEST):
+    """(root of each text, number of its levels, phrase names, offsets of the lists of them, list offsets of the
+    texts): for each text a list for each level from ``finest`` to its root's, or of its root alone."""
     n = len(off) - 1
     root, levels = np.zeros(n, np.uint64), np.zeros(n, np.int32)
-    count = np.zeros(n, np.int64)
-    kept: list[tuple[np.ndarray, np.ndarray]] = []
+    owner, size_of, kept = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     docs = np.flatnonzero(np.diff(off))
     x, first = data, off[:-1][docs]
     depth = 0
@@ -122,37 +128,50 @@ def parse(data: np.ndarray, off: np.ndarray, level: int = LEVEL):
         size = np.diff(np.append(first, len(x)))
         done = size == 1
         root[docs[done]], levels[docs[done]] = x[first[done]], depth
-        if depth == level:
-            count[docs] = size
-            kept.append((np.repeat(docs, size), x))
-        elif depth < level and done.any():
-            count[docs[done]] = 1
-            kept.append((docs[done], x[first[done]]))
+        if depth >= finest:
+            owner.append(docs), size_of.append(size), kept.append(x)
+        elif done.any():
+            owner.append(docs[done]), size_of.append(size[done]), kept.append(x[first[done]])
         if done.any():
             live = np.repeat(~done, size)
             x, docs = x[live], docs[~done]
             first = np.cumsum(size[~done]) - size[~done]
-    if kept:
-        owner = np.concatenate([a for a, _ in kept])
-        names = np.concatenate([b for _, b in kept])[np.argsort(owner, kind="stable")]
-    else:
-        names = np.zeros(0, np.uint64)
-    return root, levels, names, np.append(0, np.cumsum(count))
+    whose, size = np.concatenate(owner), np.concatenate(size_of)
+    order = np.argsort(whose, kind="stable")
+    names = np.concatenate(kept)[ragged((np.cumsum(size) - size)[order], size[order])]
+    return root, levels, names, np.append(0, np.cumsum(size[order])), np.append(0, np.cumsum(np.bincount(whose, minlength=n)))
+
+
+def _at(level: int, finest: int, levels: np.ndarray, names: np.ndarray, edges: np.ndarray, lists: np.ndarray):
+    """(phrase names at ``level``, their offsets) of a hierarchy from ``finest``."""
+    which = np.where(levels > 0, lists[:-1] + np.clip(np.minimum(level, levels) - finest, 0, None), 0)
+    count = np.where(levels > 0, np.diff(edges)[which], 0) if len(edges) > 1 else np.zeros(len(levels), np.int64)
+    return names[ragged(edges[which], count)], np.append(0, np.cumsum(count))
+
+
+def parse(data: np.ndarray, off: np.ndarray, level: int = LEVEL):
+    """(root of each text, number of its levels, phrase names at ``level``, their offsets)."""
+    root, levels, *rest = hierarchy(data, off, level)
+    return root, levels, *_at(level, level, levels, *rest)
 
 
-OUTPUTS = [("root", T.LongType()), ("levels", T.IntegerType()), ("n_phrases", T.IntegerType()), ("phrases", T.ArrayType(T.LongType()))]
+OUTPUTS = [("root", T.LongType()), ("levels", T.IntegerType()), ("n_phrases", T.IntegerType()), ("phrases", T.ArrayType(T.LongType())), ("hierarchy", T.ArrayType(T.ArrayType(T.LongType())))]
 
 
 def fingerprints(df: DataFrame, text_col: str = "text", level: int = LEVEL, keep_text: bool = False) -> DataFrame:
-    """Add ``root`` (the name of the whole text), ``levels``, and ``phrases``: the names at ``level`` in order,
-    ``n_phrases`` of them."""
+    """Add ``root`` (the name of the whole text), ``levels``, ``phrases``: the names at ``level`` in order,
+    ``n_phrases`` of them, and ``hierarchy``: a list of names for each level from FINEST to the root's."""
 
     def start():
         def f(text):
             data, off, valid = utf8_parts(text)
-            root, levels, names, at = parse(data, off, level)
-            return [with_nulls(pa.array(root.view(np.int64)), valid), with_nulls(pa.array(levels), valid), with_nulls(pa.array(np.diff(at).astype(np.int32)), valid), int_lists(names.view(np.int64), at, valid)]
+            root, levels, *rest = hierarchy(data, off, FINEST)
+            names, at = _at(level, FINEST, levels, *rest)
+            flat, edges, lists = rest
+            inner = int_lists(flat.view(np.int64), edges, np.ones(len(edges) - 1, bool))
+            nested = pa.ListArray.from_arrays(pa.array(lists.astype(np.int32), mask=np.append(~valid, False) if not valid.all() else None), inner)
+            return [with_nulls(pa.array(root.view(np.int64)), valid), with_nulls(pa.array(levels), valid), with_nulls(pa.array(np.diff(at).astype(np.int32)), valid), int_lists(names.view(np.int64), at, valid), nested]
 
         return f
 
-    return map_text(df, text_col, OUTPUTS, start, drop=() if keep_text else (text_col,))
+    return map_text(df, text_col, OUTPUTS, start, drop=() if keep_text else (text_col,), step_bytes=STEP_BYTES)

@@ -93,3 +93,33 @@ def test_spark(spark):
     assert len(got) == 6 and by[1].levels == 1 and by[2].root == 0 and by[2].phrases == [] and by[3].root is None and by[3].phrases is None
     assert by[1].root_in == 5 and len({(r.root, tuple(r.phrases)) for r in got if r.doc_id == 4}) == 1
     assert L.fingerprints(df.limit(0)).count() == 0
+
+
+def test_hierarchy_same_as_symbol_by_symbol(spark):
+    texts = ["", "a", "aaaa b", "é" * 9, "one two three " * 40, "abc de " * 3 + "x" * 50 + " fgh" * 30, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in L.fingerprints(df).collect():
+        t = texts[r.doc_id]
+        if t is None:
+            assert r.hierarchy is None
+            continue
+        want = [[x - 2**64 if x >= 2**63 else x for x in brute(t.encode(), level)[2]] for level in range(L.FINEST, r.levels + 1)]
+        assert r.hierarchy == want and (not t or r.hierarchy[-1] == [r.root])
+        assert r.phrases == (want[min(L.LEVEL, r.levels) - L.FINEST] if t else [])
+
+
+def test_short_passages_share_names_as_registered(spark):
+    """50 words in differing surroundings, and benchmark texts, have a name in common in what op9 returns."""
+    folder, r = "/root/testdata/sf0.01", random.Random(3)
+    words = [x.text.split() for x in spark.read.parquet(f"{folder}/documents.parquet").select("text").collect() if len(x.text.split()) >= 120]
+    passages = [" ".join(w[i : i + 50]) for w in r.choices(words, k=400) for i in [r.randrange(len(w) - 49)]]
+    passages += ["= " * 50, "no no no yes " * 12 + "no no", *(x.text for x in spark.read.parquet(f"{folder}/benchmark.parquet").collect())]
+
+    def around(p):
+        w = r.choice(words)
+        return " ".join(w[: r.randint(1, 40)]) + " " + p + " " + " ".join(w[-r.randint(1, 40) :])
+
+    df = spark.createDataFrame([(i, side, around(p)) for i, p in enumerate(passages) for side in (0, 1)], "doc_id long, side int, text string")
+    names = {(x.doc_id, x.side): x for x in L.fingerprints(df).collect()}
+    assert all(any(set(a) & set(b) for a, b in zip(names[i, 0].hierarchy, names[i, 1].hierarchy)) for i in range(len(passages)))
+    assert not all(set(names[i, 0].phrases) & set(names[i, 1].phrases) for i in range(len(passages)))
