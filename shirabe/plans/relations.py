@@ -164,6 +164,13 @@ def resolve_overlaps(spark, sf_dir):
     return K.resolve_overlaps(both, ["k"], "ordinal").select("k", "start", "end", "rule_id")
 
 
+@query("resolve_all_overlaps")
+def resolve_all_overlaps(spark, sf_dir):
+    """All candidates of every line, resolved by the fold; pairwise SQL can't state it."""
+    every = _findings(spark, sf_dir).select("k", "ordinal", "start", "end", "rule_id", "confidence", "fail_only", "score")
+    return K.resolve_overlaps(every, ["k"], "ordinal").select("k", "ordinal", "start", "end", "rule_id")
+
+
 _SALT = "00112233445566778899aabbccddeeff"
 _KEY = bytes.fromhex(_SALT).ljust(64, b"\0")
 _HMAC_SQL = f"sha256(unhex('{bytes(b ^ 0x5C for b in _KEY).hex()}') || unhex(sha256(unhex('{bytes(b ^ 0x36 for b in _KEY).hex()}') || encode(rule_id) || unhex('00') || encode(file) || unhex('00') || encode(match))))"

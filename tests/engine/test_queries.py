@@ -26,3 +26,23 @@ def test_scan_of_documents_finds_the_cards(spark):
     scanned = registry.QUERIES["scan_documents"](spark, DIR).where("rule_id = 'credit-card'").select("doc_id", "match").collect()
     cards = registry.QUERIES["card_findings"](spark, DIR).select("doc_id", "masked").collect()
     assert sorted(map(tuple, scanned)) == sorted(map(tuple, cards))
+
+
+def test_fold_over_all_candidates_same_as_brute_force(spark):
+    from shirabe.plans import relations
+
+    lines, evictions = {}, []
+    for r in relations._findings(spark, DIR).collect():
+        lines.setdefault(r.k, []).append(r)
+    rank = lambda x: (-x.confidence, x.fail_only, -x.score, x.start - x.end, x.rule_id)
+    want = []
+    for found in lines.values():
+        kept = []
+        for x in sorted(found, key=lambda x: (x.ordinal, x.start, x.end, x.rule_id, x.confidence, x.fail_only, x.score)):
+            touched = [y for y in kept if y.start < x.end and x.start < y.end]
+            if all(rank(x) < rank(y) for y in touched):
+                kept = [y for y in kept if y not in touched] + [x]
+                evictions.append(len(touched))
+        want += [(x.k, x.ordinal, x.start, x.end, x.rule_id) for x in kept]
+    assert sorted(map(tuple, registry.QUERIES["resolve_all_overlaps"](spark, DIR).collect())) == sorted(want)
+    assert max(map(len, lines.values())) > 2 and min(map(len, lines.values())) == 1 and max(evictions) > 1
