@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,15 +36,41 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Tables written inside of each open scope, the innermost last.
+_SCOPES: list[list[str]] = []
+
+
 def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it again: lineage ends there, so that a lost
-    executor costs its running tasks only."""
+    executor costs its running tasks only. The table goes when the :func:`scratch` around it ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/shirabe/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside are deleted at the end. Operators put it round their intermediate tables;
+    put it round an operator and the writing of its result to delete what that result reads as well."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            drop_table(spark, path)
+
+
+def keep_table(path: str) -> None:
+    """Let a table outlive the innermost scope: it goes with the scope around that, if there is one."""
+    if _SCOPES and path in _SCOPES[-1]:
+        _SCOPES[-1].remove(path)
+        if len(_SCOPES) > 1:
+            _SCOPES[-2].append(path)
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     """Delete a table that :func:`write_table` made and no plan needs any more."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,6 +1,6 @@
 import random
 
-from shirabe.llm import bpe, chat
+from shirabe.llm import bpe, chat, common
 
 TOK = bpe.codec(bpe.DEFAULT_TOKENIZER).tok
 
@@ -24,11 +24,13 @@ def brute(convs):
 
 def run(spark, rows):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, tree_id string")
-    return chat.prefix_tree(df).collect()
+    return chat.prefix_tree(df.repartition(3)).collect()
 
 
 def check(spark, rows, convs):
-    got, want = run(spark, rows), brute(convs)
+    """convs: turns by conversation; each row without an id is one, of the key (None, n)."""
+    whole, want = run(spark, rows), brute(convs)
+    got = [r for r in whole if r.kind == "node"]
     assert len(got) == len(want) == len({r.node_id for r in got})
     by = {r.node_id: r for r in got}
     children, paths = {}, {}
@@ -60,10 +62,15 @@ def check(spark, rows, convs):
         for r in mine:
             assert r.token_start == at
             at += r.n_tokens
-    key = lambda x: tuple((v is None, v) for v in x)
-    shape = lambda p, i, n, e: (p, tuple(i), n, tuple(sorted(e, key=lambda v: (v is None, v or 0))))
-    assert sorted(map(repr, (shape(r.position_start, r.token_ids, r.n_conversations, r.ends) for r in got))) == sorted(map(repr, (shape(*v) for v in want.values())))
-    return key
+    ends = {}
+    for r in whole:
+        if r.kind == "conversation":
+            ends.setdefault(r.node_id, []).append(r.conv_id)
+            assert (by[r.node_id].tree_id, by[r.node_id].depth) == (r.tree_id, r.depth)
+    ids = {chat.path_of(p)[-1]: (at, tuple(i), n, sorted(e, key=repr)) for p, (at, i, n, e) in want.items()}
+    one = lambda c: None if isinstance(c, tuple) else c
+    assert {r.node_id: (r.position_start, tuple(r.token_ids), r.n_conversations, sorted(ends.get(r.node_id, []), key=repr)) for r in got} == {k: (at, i, n, sorted(map(one, e), key=repr)) for k, (at, i, n, e) in ids.items()}
+    assert all(r.n_ends == len(ends.get(r.node_id, [])) for r in got)
 
 
 def test_random_conversations(spark):
@@ -76,6 +83,35 @@ def test_random_conversations(spark):
 
 
 def test_odd_rows(spark):
-    rows = [(1, 0, "user", "a", None), (1, 0, "user", "a", None), (1, None, None, None, None), (2, 5, "user", "b" * 50_000, None), (2, 4, "user", None, None), (None, 1, "user", "a", None), (3, 1, "user", "a", None), (4, 1, "b", "x", None), (4, 1, "a", "x", None)]
-    check(spark, rows, {1: [("", ""), ("user", "a"), ("user", "a")], 2: [("user", ""), ("user", "b" * 50_000)], None: [("user", "a")], 3: [("user", "a")], 4: [("a", "x"), ("b", "x")]})
+    rows = [(1, 0, "user", "a", None), (1, 0, "user", "a", None), (1, None, None, None, None), (2, 5, "user", "b" * 50_000, None), (2, 4, "user", None, None), (None, 1, "user", "a", None), (None, 1, "user", "a", None), (3, 1, "user", "a", None), (4, 1, "b", "x", None), (4, 1, "a", "x", None)]
+    check(spark, rows, {1: [("", ""), ("user", "a"), ("user", "a")], 2: [("user", ""), ("user", "b" * 50_000)], (None, 0): [("user", "a")], (None, 1): [("user", "a")], 3: [("user", "a")], 4: [("a", "x"), ("b", "x")]})
     assert run(spark, []) == []
+
+
+def test_one_system_prompt_over_many_ranges(spark):
+    """All conversations in one tree, some deep: the layout is put together from ranges, no task has the tree."""
+    r = random.Random(9)
+    convs = {c: [("system", "be kind")] + [("user", r.choice("abcdefgh")) for _ in range(r.choice([0, 1, 2, 3, 6]))] for c in range(600)}
+    convs |= {1000 + c: [("system", "be kind"), *(("user", "a") for _ in range(90 + c))] for c in range(8)}
+    rows = [(c, i, *t, "x") for c, turns in convs.items() for i, t in enumerate(turns)]
+    with_ranges = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        check(spark, rows, convs)
+        df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, tree_id string")
+        with common.scratch(spark):
+            told = chat.prefix_tree(df)
+            sizes = {}
+            for path in common._SCOPES[-1]:
+                if "/nodes-" in path:
+                    sizes = {x["range"]: x["count"] for x in spark.read.parquet(path).groupBy("range").count().collect()}
+            assert told.count() and len(sizes) > 10 and max(sizes.values()) < 0.4 * sum(sizes.values())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", with_ranges)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_ids_of_any_type(spark):
+    df = spark.createDataFrame([("x", 1, "user", "a"), ("y", 1, "user", "a")], "conv_id string, turn long, role string, text string")
+    assert sorted(r.conv_id for r in chat.prefix_tree(df).collect() if r.kind == "conversation") == ["x", "y"]
