@@ -1,23 +1,28 @@
 """Near duplicates by SimHash and pigeonring filtering.
 
-A text's signature has 128 bits: the signs of summed feature hashes over its set of words (weight 2) and
-its set of neighbouring word pairs (weight 1), in lower case and without punctuation at the ends. Two
-texts are near duplicates if their signatures differ in at most ``T`` = 21 bits; groups are the connected
-components of that relation.
+A text's signature has 128 bits: the signs of summed feature hashes over its set of words (weight 4) and
+its set of neighbouring word pairs (weight 2), in lower case and without punctuation at the ends; the smallest
+word hash counts once more, so that no sum is 0. Two texts are near duplicates if their signatures differ in at
+most ``T`` = 21 bits; groups are the connected components of that relation.
 
 Candidates come from the pigeonring principle. The bits are cut into m = T + 1 segments on a ring. If two
 signatures differ in at most T bits, then from some segment on, every chain of the next j segments differs
 in at most floor(j * T / m) bits, for j = 1 to m. The first segment of such a chain is equal, so rows meet
-by (segment, value); inside a bucket the next segments are looked up with every difference that the budgets
-allow, as many of them as make a lookup return about one row, and the rest of the chain prunes what is
-left; a chain over the whole ring is the full Hamming check. This loses no pair. For many signatures the
-bucket key takes the second segment too (same pairs, smaller buckets). Equal signatures are joined once, and a bucket returns a spanning forest instead
-of its pairs, so thousands of copies don't square.
-
-Defined results: a null text is in no group; texts without any word form one group; texts of fewer than 8
-words are near duplicates only if their normalised words are the same; of a group the row with the smallest
-doc_id stays (null last; ties by content), and of rows that are equal in id and text one stays; columns of
-any other name are carried. Empty tables give empty results.
+by (segment, value). A bucket of more than ``LIMIT`` signatures is parted by the segment after, and so on, at any
+size of the table and each bucket by itself; there, a row also looks into the buckets that the budgets allow. Inside
+a bucket the next segments are looked up with every difference that the budgets allow, as many of them as make
+a lookup return about one row, and the rest of the chain prunes what is left; a chain over the whole ring is the
+full Hamming check. This loses no link.
+
+Equal signatures are joined once, and a bucket returns a spanning forest instead of its pairs. Where a bucket is
+dense (thousands of near copies), all rows within T bits of one are linked to it and set aside; of the others, only
+those within 2 T bits of it are looked up among these, in blocks, and each until one link is found. So neither
+copies nor near copies square.
+
+Defined results: a null text is in no group; texts without any word form one group; texts of a few words are
+compared like all others; of a group the row with the smallest doc_id stays (null last; ties by content), and of
+rows that are equal in id and text one stays; :func:`drop_near_duplicates` carries all columns, :func:`near_duplicates`
+none but the id. Empty tables give empty results. A text of any length is a set of words and pairs, read whole.
 """
 
 from __future__ import annotations
@@ -32,15 +37,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_table, fresh, map_text, mix64, ragged, row_key, sorted_unique, spans_encoded, utf8_parts, words, write_table
+from .common import drop_table, fresh, keep_table, map_text, mix64, ragged, row_key, scratch, sorted_unique, spans_encoded, utf8_parts, words, write_table
 
 BITS, MOST = 128, 21
 M = MOST + 1
 SIZES = [6] * (BITS - 5 * M) + [5] * (6 * M - BITS)
 STARTS = np.cumsum([0, *SIZES[:-1]])
-SHORT = 8
-#: Signatures from which on the bucket key takes two segments: buckets of one hold about n / 56 rows.
-TWO_FROM = 8_000_000
+#: Signatures of a bucket from which on it is parted by one more segment: what one worker handles at once.
+LIMIT = 1 << 20
+#: Segments of a bucket's key at most.
+DEEPEST = 8
 EDGES_PUNCT = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…–—¡¿、。「」（）！？"
 
 
@@ -80,6 +86,11 @@ def _signs(key: np.ndarray, n: int, acc: list[np.ndarray], weight: int) -> None:
             acc[half][doc[head], 8 * j : 8 * j + 8] += weight * (2 * ones - size[:, None])
 
 
+def _heads(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+
+
 def signatures(text: pa.Array) -> pa.Array:
     """The 16-byte signature of each text; null for null."""
     data, off, valid = utf8_parts(text)
@@ -90,16 +101,13 @@ def signatures(text: pa.Array) -> pa.Array:
     doc = np.repeat(np.arange(n, dtype=np.uint64), np.diff(at)) << np.uint64(48)
     low = np.uint64((1 << 48) - 1)
     acc = [np.zeros((n, 64), np.int64), np.zeros((n, 64), np.int64)]
-    _signs(sorted_unique(doc | (mix64(h) & low)), n, acc, 2)
+    single = sorted_unique(doc | (mix64(h) & low))
+    _signs(single, n, acc, 4)
+    _signs(single[_heads(single >> np.uint64(48))], n, acc, 1)
     pair = np.flatnonzero(doc[1:] == doc[:-1])
-    _signs(sorted_unique(doc[pair] | (mix64(mix64(h[pair]) + h[pair + 1]) & low)), n, acc, 1)
+    _signs(sorted_unique(doc[pair] | (mix64(mix64(h[pair]) + h[pair + 1]) & low)), n, acc, 2)
     weight = np.uint64(1) << np.arange(64, dtype=np.uint64)
     sig = np.stack([((a > 0) * weight).sum(1, dtype=np.uint64) for a in acc], 1) if n else np.zeros((0, 2), np.uint64)
-    short = np.flatnonzero(np.diff(at) < SHORT)
-    for i in short:  # fewer than 8 words each
-        w = h[at[i] : at[i + 1]]
-        place = np.arange(1, len(w) + 1, dtype=np.uint64)
-        sig[i] = [mix64(np.array([(mix64(w + s) * (place * np.uint64(2) + np.uint64(1))).sum(dtype=np.uint64)]))[0] for s in (np.uint64(3), np.uint64(11))] if len(w) else 0
     return pa.array([x if v else None for x, v in zip(_cells(sig), valid)], pa.binary())
 
 
@@ -148,7 +156,7 @@ def chain_pairs(va: np.ndarray, vb: np.ndarray, i: int, taken: int, used: int, s
     if not len(va) or not len(vb):
         return
     n, bits = 0, 0
-    while n < 3 and len(vb) > (4 << bits):
+    while taken + n < M and len(vb) > (4 << bits):
         bits += SIZES[(i + taken + n) % M]
         n += 1
     key = [np.zeros(len(v), np.int64) for v in (va, vb)]
@@ -206,54 +214,153 @@ def forest(n: int, pairs) -> tuple[np.ndarray, np.ndarray]:
     return child, parent[child]
 
 
+def links(sig: np.ndarray, v: np.ndarray, base: np.ndarray, probes: list[tuple[int, np.ndarray]], i: int, taken: int, dense: int = 2048):
+    """Index pairs within T bits that connect, as all such pairs of a bucket would: of base rows, which share the
+    chain's first ``taken`` segments, and of probes (bits used so far, rows) with them."""
+    apart = lambda rows, p: np.bitwise_count(sig[rows] ^ sig[p]).sum(1, dtype=np.int16)
+    r, rest, misses = np.random.default_rng(0), base, 0
+    while len(rest) >= dense and misses < 6:
+        p = rest[r.integers(len(rest))]
+        d = apart(rest, p)
+        ball = rest[d <= MOST]
+        if len(ball) * 64 < len(rest):
+            misses += 1
+            continue
+        misses = 0
+        yield ball, np.full(len(ball), p)
+        round_it = [(0, rest[(d > MOST) & (d <= 2 * MOST)])]
+        for used, rows in probes:
+            d_probe = apart(rows, p)
+            near = rows[d_probe <= MOST]
+            yield near, np.full(len(near), p)
+            round_it.append((used, rows[(d_probe > MOST) & (d_probe <= 2 * MOST)]))
+        rest = rest[d > MOST]
+        for used, rows in round_it:  # farther ones have no link to the ball
+            for at in range(0, len(ball), 512):
+                block, found = ball[at : at + 512], np.zeros(len(rows), bool)
+                for a, b in chain_pairs(v[rows], v[block], i, taken, used, False):
+                    yield rows[a], block[b]
+                    found[a] = True
+                rows = rows[~found]
+                if not len(rows):
+                    break
+    for a, b in chain_pairs(v[rest], v[rest], i, taken, 0, True):
+        yield rest[a], rest[b]
+    for used, rows in probes:
+        for a, b in chain_pairs(v[rows], v[rest], i, taken, used, False):
+            yield rows[a], rest[b]
+
+
+# A bucket's key: in base 65, the chain's first segment and the values of the segments known, each plus 1.
+def _place(key: int) -> tuple[int, int]:
+    """(first segment of the chain, segments known)."""
+    digits = []
+    while key:
+        key, x = divmod(key, 65)
+        digits.append(x)
+    return digits[-1] - 1, len(digits) - 1
+
+
 def _bucket(key, table):
-    i, first, role = key[0].as_py(), key[1].as_py(), table.column("role").to_numpy()
+    i, taken = _place(key[0].as_py())
+    role = table.column("role").to_numpy()
     sig = _matrix(table.column("sig"))
-    v = segments(sig)
-    if first < 64:  # one segment is the key
-        child, root = forest(len(v), chain_pairs(v, v, i, 1, 0, True))
-    else:
-        base, probe = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
-        near = [(base[a], base[b]) for a, b in chain_pairs(v[base], v[base], i, 2, 0, True)]
-        near += [(probe[a], base[b]) for a, b in chain_pairs(v[probe], v[base], i, 2, 1, False)]
-        child, root = forest(len(v), near)
+    probes = [(int(u), np.flatnonzero(role == u)) for u in np.unique(role) if u]
+    child, root = forest(len(sig), links(sig, segments(sig), np.flatnonzero(role == 0), probes, i, taken))
     cells = table.column("sig").combine_chunks() if isinstance(table.column("sig"), pa.ChunkedArray) else table.column("sig")
     return pa.table({"u": cells.take(pa.array(child)), "v": cells.take(pa.array(root))}, schema=pa.schema([("u", pa.binary()), ("v", pa.binary())]))
 
 
-def _rows(sig: np.ndarray, cells: pa.Array, depth: int) -> pa.RecordBatch:
+def _known(keys: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    if not len(hot):
+        return np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
+    return hot[at] == keys
+
+
+def base_keys(v: np.ndarray, i: int, hot: np.ndarray) -> np.ndarray:
+    """The bucket of each row for chains from segment i. hot: the keys, sorted, of buckets that are parted."""
+    key = (i + 1) * 65 + v[:, i].astype(np.int64) + 1
+    rows, d = np.flatnonzero(_known(key, hot)), 1
+    while len(rows):
+        key[rows] = key[rows] * 65 + v[rows, (i + d) % M] + 1
+        rows, d = rows[_known(key[rows], hot)], d + 1
+    return key
+
+
+def probe_keys(v: np.ndarray, i: int, hot: np.ndarray):
+    """(rows, their keys, bits used) of other buckets to look into. Of two rows that part at a segment, the one
+    without the lowest bit in which they differ there looks up the other."""
+    key = (i + 1) * 65 + v[:, i].astype(np.int64) + 1
+    rows, d = np.flatnonzero(_known(key, hot)), 1
+    front = (rows, key[rows], np.zeros(len(rows), np.int32))
+    out = []
+    while len(front[0]):
+        c, nxt = (i + d) % M, []
+        for diff in range(1 << SIZES[c]):
+            rows, key, used = front
+            ok = used + diff.bit_count() <= budget(d + 1)
+            if diff:
+                ok &= (used > 0) | (v[rows, c] & (diff & -diff) == 0)
+            rows, key, used = rows[ok], key[ok], used[ok]
+            nxt.append((rows, key * 65 + (v[rows, c] ^ diff) + 1, used + diff.bit_count()))
+        rows, key, used = (np.concatenate(x) for x in zip(*nxt))
+        deeper = _known(key, hot)
+        ends = ~deeper & (used > 0)
+        out.append((rows[ends], key[ends], used[ends]))
+        front, d = (rows[deeper], key[deeper], used[deeper]), d + 1
+    return (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+
+
+def _rows(sig: np.ndarray, cells: pa.Array, hot: np.ndarray) -> pa.RecordBatch:
     v, n = segments(sig), len(sig)
-    seg, val, src, role = [], [], [], []
+    key, src, role = [], [], []
     for i in range(M):
-        here = v[:, i].astype(np.int32)
-        if depth == 1:
-            parts = [(here, np.arange(n), 0)]
-        else:
-            nxt, w = v[:, (i + 1) % M].astype(np.int32), SIZES[(i + 1) % M]
-            code = lambda x: 64 + (here << 6 | x)  # noqa: E731, B023
-            parts = [(code(nxt), np.arange(n), 0)]
-            for b in range(w):  # of two rows that differ in one bit, the one without it looks up the other
-                off = np.flatnonzero(nxt >> b & 1 == 0)
-                parts.append((code(nxt | 1 << b)[off], off, 1))
-        for val_i, rows, r in parts:
-            seg.append(np.full(len(rows), i, np.int32))
-            val.append(val_i)
-            src.append(rows)
-            role.append(np.full(len(rows), r, np.int32))
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(seg)), pa.array(np.concatenate(val)), pa.array(np.concatenate(role)), cells.take(pa.array(np.concatenate(src)))], names=["seg", "val", "role", "sig"])
-
-
-def near_edges(sigs: DataFrame, depth: int) -> DataFrame:
+        rows, keys, used = probe_keys(v, i, hot)
+        key += [base_keys(v, i, hot), keys]
+        src += [np.arange(n), rows]
+        role += [np.zeros(n, np.int32), used.astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(key)), pa.array(np.concatenate(role)), cells.take(pa.array(np.concatenate(src)))], names=["key", "role", "sig"])
+
+
+def _matrices(batches, most: int):
+    for batch in batches:
+        for at in range(0, batch.num_rows, most):
+            cells = batch.column(0).slice(at, most)
+            yield _matrix(cells), cells
+
+
+def parted(sigs: DataFrame, limit: int = LIMIT) -> np.ndarray:
+    """The keys, sorted, of buckets with more than ``limit`` signatures. What is counted and collected is one row
+    a bucket of the depth: 22 x 64 at first, then 64 for each that is parted, of which there are at most 22 n / limit."""
+    hot = np.zeros(0, np.int64)
+    for depth in range(1, DEEPEST):
+        known = hot
+
+        def run(batches, depth=depth, known=known):
+            for sig, _ in _matrices(batches, 1 << 16):
+                v = segments(sig)
+                keys = np.concatenate([base_keys(v, i, known) for i in range(M)])
+                keys, n = np.unique(keys[keys >= 65**depth], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
+
+        found = sigs.select("sig").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > limit).select("key").collect()
+        if not found:
+            break
+        hot = np.unique(np.concatenate([hot, np.array([r.key for r in found], np.int64)]))
+    return hot
+
+
+def near_edges(sigs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Edges (u, v) that connect exactly the distinct signatures ``sig`` within T bits of each other."""
+    hot = parted(sigs, limit)
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                cells = batch.column(0).slice(at, 2000)
-                yield _rows(_matrix(cells), cells, depth)
+        for sig, cells in _matrices(batches, 2000):
+            yield _rows(sig, cells, hot)
 
-    rows = sigs.select("sig").mapInArrow(run, "seg int, val int, role int, sig binary")
-    return rows.groupBy("seg", "val").applyInArrow(_bucket, "u binary, v binary")
+    rows = sigs.select("sig").mapInArrow(run, "key long, role int, sig binary")
+    return rows.groupBy("key").applyInArrow(_bucket, "u binary, v binary")
 
 
 # --- groups ----------------------------------------------------------------------------------------------
@@ -278,7 +385,7 @@ def components(edges: DataFrame) -> tuple[DataFrame, str]:
         state = seen
 
 
-def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", two_from: int = TWO_FROM) -> DataFrame:
+def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """Every row of a group of at least two: (k1, k2: its content key, ``id_col``, group_id, group_size, kept).
 
     group_id is the id of the row that stays."""
@@ -286,16 +393,19 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", two_fr
     k1, k2 = row_key("id", "t")
     slim = slim.withColumn("k1", k1).withColumn("k2", k2)
     signed = map_text(slim, "t", [("sig", T.BinaryType())], lambda: lambda text: [signatures(text)], drop=("t",))
-    table, _ = write_table(signed.where("sig is not null"), "signatures")
-    first = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")
-    uniq, _ = write_table(table.groupBy("sig").agg(F.count("*").alias("n"), F.min(first).alias("first")), "distinct")
-    edges = near_edges(uniq, 2 if uniq.count() >= two_from else 1)
-    linked, _ = components(edges)
-    rooted = uniq.join(linked, uniq["sig"] == linked["node"], "left").select("sig", "n", "first", F.coalesce("root", "sig").alias("root"))
-    whole = rooted.groupBy("root").agg(F.sum("n").alias("group_size"), F.min("first").alias("stays")).where("group_size > 1")
-    named, _ = write_table(rooted.select("sig", "root").join(whole, "root").select("sig", "group_size", "stays"), "groups")
-    kept = (F.col("k1") == F.col("stays.k1")) & (F.col("k2") == F.col("stays.k2"))
-    return table.join(named, "sig").select("k1", "k2", F.col("id").alias(id_col), F.col("stays.id").alias("group_id"), "group_size", kept.alias("kept"))
+    with scratch(df.sparkSession):
+        table, _ = write_table(signed.where("sig is not null"), "signatures")
+        first = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")
+        uniq, _ = write_table(table.groupBy("sig").agg(F.count("*").alias("n"), F.min(first).alias("first")), "distinct")
+        linked, made = components(near_edges(uniq, limit))
+        rooted = uniq.join(linked, uniq["sig"] == linked["node"], "left").select("sig", "n", "first", F.coalesce("root", "sig").alias("root"))
+        whole = rooted.groupBy("root").agg(F.sum("n").alias("group_size"), F.min("first").alias("stays")).where("group_size > 1")
+        named = rooted.select("sig", "root").join(whole, "root").select("sig", "group_size", "stays")
+        kept = (F.col("k1") == F.col("stays.k1")) & (F.col("k2") == F.col("stays.k2"))
+        out, path = write_table(table.join(named, "sig").select("k1", "k2", F.col("id").alias(id_col), F.col("stays.id").alias("group_id"), "group_size", kept.alias("kept")), "groups")
+        drop_table(df.sparkSession, made)
+        keep_table(path)
+    return out
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -306,8 +416,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``df`` with one of each group; columns as they are."""
     a, b, r, kept = (fresh(df.columns, x) for x in ("__k1", "__k2", "__rank", "__kept"))
-    decided = groups(df, id_col, text_col, **how).groupBy("k1", "k2").agg(F.max("kept").alias(kept))
-    in_group, _ = write_table(decided.select(F.col("k1").alias(a), F.col("k2").alias(b), kept), "decisions")
+    with scratch(df.sparkSession):
+        decided = groups(df, id_col, text_col, **how).groupBy("k1", "k2").agg(F.max("kept").alias(kept))
+        in_group, path = write_table(decided.select(F.col("k1").alias(a), F.col("k2").alias(b), kept), "decisions")
+        keep_table(path)
     k1, k2 = row_key(id_col, F.col(text_col).cast("string"))
     joined = df.withColumn(a, k1).withColumn(b, k2).join(in_group, [a, b], "left")
     ranked = joined.withColumn(r, F.row_number().over(Window.partitionBy(a, b).orderBy(a)))

@@ -38,20 +38,52 @@ def components(n, pairs):
     return [find(i) for i in range(n)]
 
 
-@pytest.mark.parametrize("depth", [1, 2])
-def test_no_pair_is_lost(depth):
-    sig = some_signatures(40, depth)
+def bucketed(sig, limit):
+    """Components and rows of the buckets that :func:`S.near_edges` would make."""
     cells = pa.array(S._cells(sig), pa.binary())
-    rows = pa.Table.from_batches([S._rows(sig, cells, depth)])
-    got, place = [], {c: i for i, c in enumerate(cells.to_pylist())}
-    keys = {}
-    for n, (s, v) in enumerate(zip(rows["seg"].to_pylist(), rows["val"].to_pylist())):
-        keys.setdefault((s, v), []).append(n)
-    for (s, v), at in keys.items():
+    v, hot = S.segments(sig), np.zeros(0, np.int64)
+    for depth in range(1, S.DEEPEST):
+        keys, n = np.unique(np.concatenate([S.base_keys(v, i, hot) for i in range(S.M)]), return_counts=True)
+        more = keys[(n > limit) & (keys >= 65**depth)]
+        if not len(more):
+            break
+        hot = np.unique(np.append(hot, more))
+    rows = pa.Table.from_batches([S._rows(sig, cells, hot)])
+    got, place, keys = [], {c: i for i, c in enumerate(cells.to_pylist())}, {}
+    for n, k in enumerate(rows["key"].to_pylist()):
+        keys.setdefault(k, []).append(n)
+    for k, at in keys.items():
         if len(at) > 1:
-            out = S._bucket((pa.scalar(s), pa.scalar(v)), rows.take(pa.array(at)))
+            out = S._bucket((pa.scalar(k),), rows.take(pa.array(at)))
             got += [(place[a], place[b]) for a, b in zip(out["u"].to_pylist(), out["v"].to_pylist())]
-    assert components(len(sig), got) == components(len(sig), brute(sig))
+    return components(len(sig), got), hot
+
+
+@pytest.mark.parametrize("limit", [10**6, 12, 4])
+def test_no_link_is_lost(limit):
+    for seed in (1, 2):
+        sig = some_signatures(40, seed)
+        got, hot = bucketed(sig, limit)
+        assert got == components(len(sig), brute(sig)) and (len(hot) > 0) == (limit < 100)
+
+
+def test_dense_buckets_lose_no_link():
+    """Thousands of near copies at all distances from their centre, and a chain that leads away from them."""
+    r = np.random.default_rng(8)
+    flip = lambda row, bits: row ^ np.array([sum(1 << int(b) for b in bits if b < 64), sum(1 << int(b) - 64 for b in bits if b >= 64)], np.uint64)
+    for spread in (6, 12, 18):
+        centre = r.integers(0, 2**64, 2, dtype=np.uint64)
+        rows = [flip(centre, r.choice(128, r.integers(0, spread), replace=False)) for _ in range(250)]
+        far = centre
+        for _ in range(8):
+            far = flip(far, r.choice(128, 14, replace=False))
+            rows.append(far)
+        sig = np.unique(np.concatenate([np.array(rows), r.integers(0, 2**64, (50, 2), dtype=np.uint64)]), axis=0)
+        v, all_rows = S.segments(sig), np.arange(len(sig))
+        got = [p for i in range(S.M) for key in np.unique(v[:, i]) for a, b in S.links(sig, v, all_rows[v[:, i] == key], [], i, 1, dense=8) for p in zip(a.tolist(), b.tolist())]
+        assert all(np.bitwise_count(sig[a] ^ sig[b]).sum() <= S.MOST for a, b in got)
+        assert components(len(sig), got) == components(len(sig), brute(sig))
+        assert bucketed(sig, 20)[0] == components(len(sig), brute(sig))
 
 
 def test_chain_pairs_are_exactly_the_near_ones():
@@ -98,7 +130,7 @@ def test_groups_and_rows_that_stay(spark, corpus):
     assert by[203] == by[204] and by[205] == by[206] and 207 not in by and 201 not in by
     assert not {d for d in range(20, 39)} & set(by)
     assert all(r.group_size == len(group[r.group_id]) for r in got)
-    two = {tuple(r) for r in S.near_duplicates(df, two_from=0).collect()}
+    two = {tuple(r) for r in S.near_duplicates(df, limit=3).collect()}
     assert two == {tuple(r) for r in got}
     kept = S.drop_near_duplicates(df)
     assert kept.columns == df.columns
@@ -111,3 +143,18 @@ def test_repeated_rows_leave_one(spark):
     t = " ".join(f"w{i}" for i in range(50))
     df = spark.createDataFrame([(1, t), (1, t), (2, t + " more")], "doc_id long, text string")
     assert [r.doc_id for r in S.drop_near_duplicates(df).collect()] == [1]
+
+
+def test_a_very_long_text_and_short_ones(spark):
+    r = random.Random(5)
+    w = document(r, 120_000).split()
+    other = w.copy()
+    for k in r.sample(range(len(w)), 500):
+        other[k] = document(r, 1)
+    few = [(10, "alpha beta"), (11, "Alpha, beta."), (12, "alpha gamma"), (13, "ok"), (14, "no"), (15, "ok ok"), (16, "a b c d e f g"), (17, "h i j k l m n")]
+    df = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(other)), (3, document(r, 120_000)), *few], "doc_id long, text string")
+    got = {(x.group_id, x.doc_id) for x in S.near_duplicates(df).collect()}
+    sig = S.signatures(pa.array([t for _, t in few]))
+    apart = np.bitwise_count(S._matrix(sig)[:, None] ^ S._matrix(sig)[None]).sum(2)
+    assert {(1, 1), (1, 2)} <= got and not any(3 in x for x in got)
+    assert apart[0, 1] == 0 and apart[6, 7] > S.MOST and {(10, 10), (10, 11)} <= got and (16, 17) not in got
