@@ -6,33 +6,35 @@ in another document as well, split where the document that has the window first
 
 1. A first pass names each 50-word window by the smallest of its 26 hashes of 25 words. Equal windows have
    equal names, so only windows whose name occurs in two documents can repeat; documents without such a name
-   are done.
+   are done. Names are counted with partial aggregates, whatever share of the documents has one.
 2. The rest are cut to the words of such windows and gathered into shards of bounded size. Each shard gets a
    suffix array of its words by Larsson-Sadakane refinement (prefix doubling that sorts unfinished groups only)
    and the common prefixes of neighbours by Kasai's algorithm, run in lanes side by side; suffixes that share 50
-   words fall into one class.
-3. Shards are merged: each hands on one row a class, keyed by a hash of its 50 words, however many members it
-   has; rows are exchanged by key, and the sorted runs of the shards are merged by binary search. Classes that
-   stand in two documents are joined to their members (a join that Spark can split where it is skewed).
-
-Nothing is sampled or capped. Defined results: null and short texts have no passages; a passage that repeats
-inside one document only isn't reported; rows equal in id and text are one document, and rows of one id with
-different texts are different ones; a null id is never smaller than another. An empty table gives an empty
-result; other columns aren't carried.
+   words fall into one class. A shard's members stay together, packed in one row.
+3. Shards are merged: each hands on one row a class, keyed by a 128-bit hash of its 50 words, however many members
+   it has; rows are exchanged by key, and the sorted runs of the shards are merged by binary search. What that
+   found goes back to the shards, which join neighbouring windows to passages.
+
+Nothing is sampled or capped. A document is known by 128 bits of its id and text. Defined results: null and short
+texts have no passages; a passage that repeats inside one document only isn't reported; rows equal in id and text
+are one document, and rows of one id with different texts are different ones; ids may be of any type with an
+order, and a null id is never smaller than another. A text of any length is read whole. An empty table gives an
+empty result; other columns aren't carried.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text, mix64, ragged, row_key, slices, sorted_unique, spans_encoded, utf8_parts, words, write_table
+from .common import keep_table, map_text, mix64, ragged, row_key, scratch, slices, sorted_unique, spans_encoded, utf8_parts, words, write_table
 
 LEAST, GRAM = 50, 25
 #: Words of a shard; a document with more is a shard of its own.
@@ -49,20 +51,26 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Hashed:
-    """Words as 64-bit hashes, with hashes of any run of them."""
+    """Words as 64-bit hashes, with hashes of any run of them. ``wide``: of these, 128 bits."""
 
-    def __init__(self, text):
+    def __init__(self, text, wide: bool = False):
         data, off, _ = utf8_parts(text)
         start, end, self.at = words(data, off)
         codes, distinct = spans_encoded(data, start, end)
-        h = xxhash.xxh3_64_intdigest
-        self.word = np.fromiter(map(h, distinct.to_pylist()), np.uint64, len(distinct))[codes] if len(codes) else np.zeros(0, np.uint64)
-        n = len(self.word)
-        self.sums = np.append(np.zeros(1, np.uint64), np.cumsum(self.word * _powers(_BASE, n), dtype=np.uint64))
-        self.back = _powers(_BACK, n)
+        parts = distinct.to_pylist()
+        hashed = lambda h: np.fromiter(map(h, parts), np.uint64, len(parts))[codes] if len(codes) else np.zeros(0, np.uint64)
+        self.word = hashed(xxhash.xxh3_64_intdigest)
+        self.back = _powers(_BACK, len(self.word))
+        self.sums = self._sums(self.word)
+        self.more = self._sums(hashed(lambda b: xxhash.xxh3_64_intdigest(b, 1))) if wide else None
 
-    def runs(self, start: np.ndarray, size: int) -> np.ndarray:
-        return mix64((self.sums[start + size] - self.sums[start]) * self.back[start])
+    @staticmethod
+    def _sums(word: np.ndarray) -> np.ndarray:
+        return np.append(np.zeros(1, np.uint64), np.cumsum(word * _powers(_BASE, len(word)), dtype=np.uint64))
+
+    def runs(self, start: np.ndarray, size: int, second: bool = False) -> np.ndarray:
+        sums = self.more if second else self.sums
+        return mix64((sums[start + size] - sums[start]) * self.back[start])
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, first word, name) of every window of LEAST words."""
@@ -175,7 +183,11 @@ def merge_runs(runs: list[np.ndarray]) -> np.ndarray:
 
 
 # --- Spark ---------------------------------------------------------------------------------------------------------
-MEMBER = T.StructType([T.StructField("h", T.LongType()), T.StructField("shard", T.LongType()), T.StructField("rid", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("head", T.BooleanType()), T.StructField("two", T.BooleanType()), T.StructField("least", T.LongType())])
+def shard_type(id_type: T.DataType) -> T.StructType:
+    """A row for each class of a shard: its number, its hash (h, g), whether two of the shard's documents have it,
+    and their smallest id; and one for each shard: its members, packed, and the ids of its documents."""
+    long, yes = T.LongType(), T.BooleanType()
+    return T.StructType([T.StructField(n, t) for n, t in (("shard", long), ("cls", T.IntegerType()), ("h", long), ("g", long), ("two", yes), ("least", id_type), ("members", T.BinaryType()), ("ids", T.ArrayType(id_type)))])
 
 
 def _packed(text) -> list[pa.Array]:
@@ -200,15 +212,24 @@ def _names(text) -> list[pa.Array]:
     return [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(name[new].view(np.int64)))]
 
 
+def _least(values: pa.Array, order: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """The smallest value of each run of ``values`` taken in ``order``; null if a run has nulls only."""
+    rank = pc.rank(values, sort_keys="ascending", null_placement="at_end", tiebreaker="dense").to_numpy().astype(np.int64)
+    low = np.minimum.reduceat(rank[order], begin) if len(begin) else np.zeros(0, np.int64)
+    one = np.zeros(int(rank.max()) + 1 if len(rank) else 1, np.int64)
+    one[rank] = np.arange(len(rank))
+    return values.take(pa.array(one[low]))
+
+
 class _Shard:
-    """Gathers the words of windows that may repeat, and returns the members of their classes."""
+    """Gathers the words of windows that may repeat, and returns their classes and the classes' members."""
 
     def __init__(self, number: int):
-        self.number, self.words, self.parts = number, 0, []
+        self.number, self.words, self.parts, self.ids = number, 0, [], []
 
     def add(self, batch: pa.RecordBatch) -> None:
-        rid, ids, packed, hot = batch.columns
-        w = Hashed(_unpacked(packed))
+        ids, packed, hot = batch.columns
+        w = Hashed(_unpacked(packed), wide=True)
         doc, first, name = w.windows()
         off = hot.offsets.to_numpy()
         listed = hot.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]].view(np.uint64)
@@ -227,97 +248,141 @@ class _Shard:
         size = b - a
         flat = ragged(a, size)
         owner = np.repeat(doc[cut], size)
-        hash_at = np.zeros(len(flat), np.uint64)
         full = np.repeat(np.cumsum(size), size) - np.arange(len(flat)) >= LEAST
-        hash_at[full] = w.runs(flat[full], LEAST)
+        hashes = np.zeros((2, len(flat)), np.uint64)
+        hashes[:, full] = [w.runs(flat[full], LEAST, second) for second in (False, True)]
         place = np.arange(len(w.word)) - np.repeat(w.at[:-1], np.diff(w.at))
         wanted = np.zeros(len(w.word), bool)
         wanted[first] = True
-        get = lambda c: c.fill_null(0).to_numpy(zero_copy_only=False)
-        has_id = np.asarray(ids.is_valid())
-        self.parts.append((w.word[flat], size, hash_at, get(rid)[owner], get(ids)[owner], has_id[owner], place[flat], wanted[flat]))
+        self.parts.append((w.word[flat], size, hashes[0], hashes[1], owner + sum(map(len, self.ids)), place[flat], wanted[flat]))
+        self.ids.append(ids)
         self.words += len(flat)
 
-    def members(self) -> pa.RecordBatch | None:
-        """(h, shard, rid, pos) of each member of a class, in the order of the documents; of its first member
-        also head: true, two: whether the class has two documents here, and least: their smallest id."""
+    def rows(self, schema: pa.Schema) -> pa.RecordBatch | None:
         if not self.parts:
             return None
-        word, size, h, rid, ids, has_id, pos, wanted = (np.concatenate(x) for x in zip(*self.parts))
+        word, size, h, g, doc, pos, wanted = (np.concatenate(x) for x in zip(*self.parts))
+        ids = pa.concat_arrays(self.ids)
         cls = shard_classes(word, np.append(0, np.cumsum(size)))
         take = np.flatnonzero((cls >= 0) & wanted)
-        cls, rid, pos, h = cls[take], rid[take], pos[take], h[cls[take]].view(np.int64)  # the hash of one of them
-        ids = np.where(has_id[take], ids[take], np.iinfo(np.int64).max)
+        one, cls = np.unique(cls[take], return_inverse=True)  # a position of each class stands for it
+        doc, pos = doc[take], pos[take]
         order = np.argsort(cls, kind="stable")
         begin = np.flatnonzero(np.diff(cls[order], prepend=-1))
-        head, two, least = np.zeros(len(take), bool), np.zeros(len(take), bool), np.zeros(len(take), np.int64)
-        if len(begin):
-            first = order[begin]
-            head[first] = True
-            two[first] = np.minimum.reduceat(rid[order], begin) != np.maximum.reduceat(rid[order], begin)
-            least[first] = np.minimum.reduceat(ids[order], begin)
-        known = head & (least != np.iinfo(np.int64).max)
-        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(take), self.number, np.int64)), pa.array(rid), pa.array(pos.astype(np.int32)), pa.array(head), pa.array(two, mask=~head), pa.array(least, mask=~known)], names=MEMBER.names)
-
-
-def _members(batches):
-    n = 0
-    shard = _Shard(TaskContext.get().partitionId() << 24)
-    for batch in batches:
-        for part in slices(batch, 2, 1 << 20):
-            shard.add(part)
-            if shard.words >= SHARD_WORDS:
-                yield shard.members()
-                n += 1
-                shard = _Shard((TaskContext.get().partitionId() << 24) + n)
-    last = shard.members()
-    if last is not None:
-        yield last
-
-
-def _merged(batches):
-    """(h, first) of the classes that stand in two documents: in two of one shard, or in two shards, since a
-    document is in one shard only."""
-    batches = list(batches)
-    rows = pa.Table.from_batches(batches) if batches else None
-    if rows is None or not rows.num_rows:
-        return
-    cell = lambda c, null: rows.column(c).combine_chunks().fill_null(null).to_numpy(zero_copy_only=False)
-    none = np.iinfo(np.int64).max
-    h, shard, two, least = cell("h", 0), cell("shard", 0), cell("two", False), cell("least", none)
-    by_shard = np.lexsort((h, shard))
-    cut = np.flatnonzero(np.diff(shard[by_shard])) + 1
-    order = by_shard[merge_runs(np.split(h[by_shard], cut))]
-    h = h[order]
-    head = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-    size = np.diff(np.append(head, len(h)))
-    twice = (size > 1) | np.logical_or.reduceat(two[order], head)
-    first = np.minimum.reduceat(least[order], head)[twice]
-    yield pa.RecordBatch.from_arrays([pa.array(h[head][twice]), pa.array(first, mask=first == none)], names=["h", "first"])
+        two = np.minimum.reduceat(doc[order], begin) != np.maximum.reduceat(doc[order], begin) if len(begin) else np.zeros(0, bool)
+        n = len(one)
+        members = zstandard.ZstdCompressor(level=1).compress(np.stack([doc, np.diff(pos, prepend=0), cls]).astype("<i4").tobytes())
+        number = pa.array(np.full(n + 1, self.number, np.int64))
+        cells = [pa.array(np.arange(n, dtype=np.int32)), pa.array(h[one].view(np.int64)), pa.array(g[one].view(np.int64)), pa.array(two), _least(ids.take(pa.array(doc)), order, begin), pa.nulls(n, pa.binary()), pa.nulls(n, schema.field("ids").type)]
+        tail = [None, None, None, None, None, members, ids.to_pylist()]
+        both = [pa.concat_arrays([c.cast(f.type), pa.array([x], f.type)]) for c, x, f in zip(cells, tail, list(schema)[1:])]
+        return pa.RecordBatch.from_arrays([number, *both], schema=schema)
+
+
+def _shards(schema: pa.Schema):
+    def run(batches):
+        base = TaskContext.get().partitionId() << 24
+        shard, n = _Shard(base), 0
+        for batch in batches:
+            for part in slices(batch, 1, 1 << 20):
+                shard.add(part)
+                if shard.words >= SHARD_WORDS:
+                    yield shard.rows(schema)
+                    n += 1
+                    shard = _Shard(base + n)
+        last = shard.rows(schema)
+        if last is not None:
+            yield last
+
+    return run
+
+
+def _merged(schema: pa.Schema):
+    """(shard, cls, first) of the classes that stand in two documents: in two of one shard, or in two shards, since
+    a document is in one shard only."""
+
+    def run(batches):
+        batches = list(batches)
+        rows = pa.Table.from_batches(batches) if batches else None
+        if rows is None or not rows.num_rows:
+            return
+        whole = lambda c: rows.column(c).combine_chunks()
+        h, g, shard, two = (whole(c).to_numpy(zero_copy_only=False) for c in ("h", "g", "shard", "two"))
+        by_shard = np.lexsort((g, h, shard))
+        cut = np.flatnonzero(np.diff(shard[by_shard])) + 1
+        order = by_shard[merge_runs(np.split(h[by_shard], cut))]
+        h, g = h[order], g[order]
+        if (uneven := np.flatnonzero((h[1:] == h[:-1]) & (g[1:] < g[:-1]))).size:  # one h, several g: all but never
+            mixed = np.isin(h, h[uneven])
+            at = np.flatnonzero(mixed)
+            order[at] = order[at][np.lexsort((g[at], h[at]))]
+            h, g = whole("h").to_numpy()[order], whole("g").to_numpy()[order]
+        head = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])))
+        size = np.diff(np.append(head, len(h)))
+        twice = (size > 1) | np.logical_or.reduceat(two[order], head)
+        first = _least(whole("least"), order, head)
+        live = np.repeat(twice, size)
+        at = order[live]
+        made = [whole("shard").take(pa.array(at)), whole("cls").take(pa.array(at)), first.take(pa.array(np.repeat(np.arange(len(head)), size)[live]))]
+        yield pa.RecordBatch.from_arrays(made, schema=schema)
+
+    return run
+
+
+def _passages(schema: pa.Schema):
+    """A shard's runs of neighbouring windows with one first document."""
+
+    def run(key, shard, found):
+        if not shard.num_rows or not found.num_rows:
+            return schema.empty_table()
+        doc, pos, cls = np.frombuffer(zstandard.ZstdDecompressor().decompress(shard.column("members")[0].as_py()), "<i4").reshape(3, -1)
+        pos = np.cumsum(pos)
+        ids = shard.column("ids").combine_chunks().flatten()
+        coded = found.column("first").combine_chunks().dictionary_encode()
+        code = np.full(int(cls.max()) + 1, -2, np.int64)
+        code[found.column("cls").to_numpy()] = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        live = np.flatnonzero(code[cls] > -2)
+        doc, pos, code = doc[live], pos[live], code[cls][live]
+        new = np.append(True, (np.diff(doc) != 0) | (np.diff(pos) != 1) | (np.diff(code) != 0))[: len(doc)]
+        a = np.flatnonzero(new)
+        z = np.append(a[1:], len(doc)) - 1
+        n = pos[z] + LEAST - pos[a]
+        first = coded.dictionary.take(pa.array(code[a], mask=code[a] < 0))
+        return pa.table([ids.take(pa.array(doc[a])), *(pa.array(x.astype(np.int32)) for x in (pos[a], pos[z] + LEAST, n)), first], schema=schema)
+
+    return run
 
 
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", merge_rows: int = 1_000_000) -> DataFrame:
     """(doc_id, start_word, end_word, n_words, first_doc): words [start_word, end_word) repeat across documents,
     and first_doc is the smallest id that has them."""
-    slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("t is not null")
-    slim = slim.withColumn("rid", row_key("id", "t")[0])
-    named = map_text(slim, "t", [("names", T.ArrayType(T.LongType()))], lambda: _names, drop=("t",))
-    pairs = named.select("rid", "id", F.explode("names").alias("name"))
-    w = Window.partitionBy("name")
-    shared = pairs.withColumn("a", F.min("rid").over(w)).withColumn("b", F.max("rid").over(w)).where("a != b")
-    hot, _ = write_table(shared.groupBy("rid").agg(F.min("id").alias("id"), F.collect_set("name").alias("hot")), "windows")
-    packed = map_text(slim.select("rid", "t"), "t", [("packed", T.BinaryType())], lambda: _packed, drop=("t",))
-    # Equal rows have one rid: one of them is enough. The join has brought them together.
-    both = packed.join(hot, "rid").withColumn("n", F.row_number().over(Window.partitionBy("rid").orderBy("rid"))).where("n = 1")
-    members, _ = write_table(both.select("rid", "id", "packed", "hot").mapInArrow(_members, MEMBER), "members")
-    classes = members.where("head").select("h", "shard", "two", "least")
-    parts = max(1, -(-members.count() // merge_rows))
-    twice = classes.repartition(parts, "h").mapInArrow(_merged, "h long, first long")
-    repeats = members.select("h", "rid", "pos").join(twice, "h").select("rid", "first", "pos")
-    v = Window.partitionBy("rid", "first").orderBy("pos")
-    runs = repeats.withColumn("run", F.col("pos") - F.row_number().over(v)).groupBy("rid", "first", "run").agg(F.min("pos").alias("a"), F.max("pos").alias("z"))
-    runs = runs.join(hot.select("rid", "id"), "rid")
-    return runs.select(F.col("id").alias("doc_id"), F.col("a").alias("start_word"), (F.col("z") + LEAST).alias("end_word"), (F.col("z") + LEAST - F.col("a")).alias("n_words"), F.col("first").alias("first_doc"))
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    slim = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).where("t is not null")
+    id_type = slim.schema["id"].dataType
+    k1, k2 = row_key("id", "t")
+    slim = slim.withColumn("k1", k1).withColumn("k2", k2)
+    shape, int_type = shard_type(id_type), T.IntegerType()
+    out = T.StructType([T.StructField(n, t) for n, t in (("doc_id", id_type), ("start_word", int_type), ("end_word", int_type), ("n_words", int_type), ("first_doc", id_type))])
+    back = T.StructType([T.StructField("shard", T.LongType()), T.StructField("cls", int_type), T.StructField("first", id_type)])
+    with scratch(df.sparkSession):
+        named, _ = write_table(map_text(slim, "t", [("names", T.ArrayType(T.LongType()))], lambda: _names, drop=("t", "id")), "names")
+        pairs = named.select("k1", "k2", F.explode("names").alias("name"))
+        # k1 tells two documents of one name apart but for one in 2^64 such pairs
+        shared = pairs.groupBy("name").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a != b").select("name")
+        hot, _ = write_table(pairs.join(shared, "name").groupBy("k1", "k2").agg(F.collect_set("name").alias("hot")), "windows")
+        packed = map_text(slim, "t", [("packed", T.BinaryType())], lambda: _packed, drop=("t",))
+        once = packed.groupBy("k1", "k2").agg(F.first("id").alias("id"), F.first("packed").alias("packed"))
+        both = once.join(hot, ["k1", "k2"]).select("id", "packed", "hot")
+        shards, _ = write_table(both.mapInArrow(_shards(to_arrow_schema(shape)), shape), "shards")
+        classes = shards.where("members is null").select("shard", "cls", "h", "g", "two", "least")
+        parts = max(1, -(-classes.count() // merge_rows))
+        twice = classes.repartition(parts, "h").mapInArrow(_merged(to_arrow_schema(back)), back)
+        whole = shards.where("members is not null").select("shard", "members", "ids")
+        found = whole.groupBy("shard").cogroup(twice.groupBy("shard")).applyInArrow(_passages(to_arrow_schema(out)), out)
+        result, path = write_table(found, "passages")
+        keep_table(path)
+    return result
 
 
 #: DuckDB SQL for :func:`repeated_passages` over ``documents``.

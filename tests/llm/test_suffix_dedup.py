@@ -94,3 +94,27 @@ def test_small_shards_change_nothing():
         for i in np.flatnonzero(cls >= 0):
             for j in np.flatnonzero(cls >= 0):
                 assert (cls[i] == cls[j]) == (word[i : i + S.LEAST] == word[j : j + S.LEAST]).all()
+
+
+def test_ids_of_any_type(spark):
+    p = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([("b", "x " + p), ("a", p + " y"), ("c", "z " * 70), (None, p)], "doc_id string, text string")
+    got = sorted(map(tuple, S.repeated_passages(df).collect()), key=repr)
+    assert got == sorted([("b", 1, 61, 60, "a"), ("a", 0, 60, 60, "a"), (None, 0, 60, 60, "a")], key=repr)
+
+
+def test_a_passage_in_every_document(spark, monkeypatch):
+    monkeypatch.setattr(S, "SHARD_WORDS", 2000)
+    p = " ".join(f"w{i}" for i in range(55))
+    df = spark.createDataFrame([(i, f"{i} {p} {i}{i}") for i in range(400)], "doc_id long, text string")
+    assert sorted(map(tuple, S.repeated_passages(df.repartition(7)).collect())) == [(i, 1, 56, 55, 0) for i in range(400)]
+
+
+def test_one_half_of_a_hash_is_not_enough():
+    """Classes that agree in h alone stay apart."""
+    import pyarrow as pa
+
+    schema = pa.schema([("shard", pa.int64()), ("cls", pa.int32()), ("first", pa.int64())])
+    rows = pa.record_batch({"shard": [1, 2, 3, 4, 2], "cls": pa.array([0, 0, 0, 0, 1], pa.int32()), "h": [5, 5, 5, 5, 6], "g": [1, 2, 1, 3, 1], "two": [False, False, False, True, False], "least": pa.array([9, 8, 7, 6, 5], pa.int64())})
+    got = pa.Table.from_batches(S._merged(schema)([rows])).to_pylist()
+    assert sorted((r["shard"], r["cls"], r["first"]) for r in got) == [(1, 0, 7), (3, 0, 7), (4, 0, 6)]
