@@ -1,8 +1,9 @@
 """Token counts: how many tokens each text has, without its ids.
 
-Texts are cut at safe boundaries (:func:`shirabe.llm.bpe.safe_pieces`), so a long text never goes to the
-library whole; distinct pieces are encoded in calls balanced by bytes, of which only the lengths return,
-and each text's lengths are summed by numpy. No shuffle.
+Texts are cut at safe boundaries (:func:`shirabe.llm.bpe.safe_pieces`; between words, and in longer runs without
+blanks where no merge can cross), so a long text never goes to the library whole but for a run that has no such
+place. Distinct pieces are encoded in calls balanced by bytes, each text's lengths are summed by numpy, and the
+Arrow function returns nothing but these. No shuffle.
 
 Defined results: null text, null count; empty text, 0. Repeated rows stay, an empty table stays empty, other
 columns are carried (``<name>_in`` where they bear the output's name).
@@ -21,8 +22,10 @@ from .common import map_text, utf8_parts, with_nulls
 
 def count_arrow(text: pa.Array, path: str) -> pa.Array:
     data, off, valid = utf8_parts(text)
-    codes, pieces, piece_off = safe_pieces(data, off)
-    each = codec(path).count_each(pieces)[codes]
+    c = codec(path)
+    codes, pieces, piece_off = safe_pieces(data, off, c.meet)
+    slot = c.slots(pieces)
+    each = c.count[slot[codes]]
     total = np.append(0, np.cumsum(each))
     return with_nulls(pa.array(total[piece_off[1:]] - total[piece_off[:-1]]), valid)
 

@@ -1,5 +1,7 @@
 import base64
+import random
 
+import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
@@ -47,6 +49,49 @@ def test_any_text(texts):
     check(texts, tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}))
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("abzqXQj019'’+-=/_.,日本語のカタéü\u0301 \n\x85\u3000"), min_size=1, max_size=30), max_size=5))
+def test_cuts_inside_runs(texts):
+    """Runs without blanks, cut wherever it is called safe."""
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    was, bpe.LONG = bpe.LONG, 1
+    try:
+        check(texts, tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}))
+    finally:
+        bpe.LONG = was
+
+
+def test_long_runs_without_blanks(other):
+    r = random.Random(2)
+    japanese = "".join(r.choices("私達日本語東京大阪駅前通で書くのはとても楽しいですねカタナ、。「」", k=330_000))
+    base64ed = "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=400_000))
+    c = bpe.codec(bpe.DEFAULT_TOKENIZER)
+    for t in (japanese, base64ed):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        codes, pieces, _ = bpe.safe_pieces(raw, np.array([0, len(raw)]), c.meet)
+        assert len(codes) > 1000 and max(map(len, pieces.to_pylist())) < 2000
+        ids = bpe.encode_arrow(pa.array([t]), bpe.DEFAULT_TOKENIZER)[3].tolist()
+        assert ids == c.tok.encode(t, add_special_tokens=False).ids
+        assert token_count.count_arrow(pa.array([t]), bpe.DEFAULT_TOKENIZER).to_pylist() == [len(ids)]
+
+
+def test_remembered_pieces_are_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "HELD", 50)
+    c = bpe.Codec(bpe.DEFAULT_TOKENIZER)
+    for k in range(6):
+        pieces = pa.array([f" word{k}x{i}" for i in range(40)] + [" same"])
+        at = c.slots(pieces)
+        assert [c.ids[c.first[x] : c.first[x] + c.count[x]].tolist() for x in at] == [c.tok.encode(p, add_special_tokens=False).ids for p in pieces.to_pylist()]
+        assert len(c.slot) <= 50 + 41
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b", 7, 8), (2, None, 7, 8)], "doc_id long, text string, n_tokens long, N_TOKENS_in long")
+    got = token_count.token_counts(df, keep_text=True)
+    assert got.columns[:2] == ["doc_id", "text"] and [r.n_tokens for r in got.collect()] == [2, None]
+    assert sorted(v for r in got.collect() for k, v in r.asDict().items() if "_in" in k) == [7, 7, 8, 8]
+
+
 def test_spark_round_trip(spark):
     df = spark.createDataFrame([(i, t, i * 2) for i, t in enumerate(ODD)] + [(None, "x", None)], "doc_id long, text string, N_Tokens int")
     got = bpe.decode(bpe.encode(df)).collect()
