@@ -7,8 +7,8 @@ little-endian bytes.
 
 Defined results: a null payload or codec gives null PCM and no error; an empty payload gives empty PCM; an
 unknown codec gives null PCM and an error; a last ADPCM block that is short is decoded as far as it goes, and
-one without a whole header is left out with an error; a step index over 88 counts as 88. Rows are handled one
-by one; other columns are carried (``<name>_in`` where they bear an output's name).
+one without a whole header is left out with an error; a step index over 88 counts as 88; a payload whose PCM no
+cell can hold (2 GiB) gives null PCM and an error. Rows are handled one by one; other columns are carried (``<name>_in`` where they bear an output's name).
 """
 
 from __future__ import annotations
@@ -26,8 +26,10 @@ from .common import fresh, make_room, ragged, slices, utf8_parts, with_nulls
 
 CODECS = ("mulaw", "alaw", "ima_adpcm")
 IN_RATE, OUT_RATE, BLOCK = 8000, 16000, 256
-#: Input samples on either side that an output sample depends on.
-REACH = 8
+#: Zeros of the filter on either side; in input samples, more of them the lower the cut-off (see :func:`reach`).
+ZEROS = 16
+#: Bytes that a cell can hold.
+CELL = 2**31 - 64
 
 
 def _mulaw() -> np.ndarray:
@@ -90,13 +92,20 @@ def decode_adpcm(data: np.ndarray, off: np.ndarray, block: int = BLOCK):
     return flat, np.append(0, np.cumsum(per)), broken
 
 
+def reach(up: int, down: int) -> int:
+    """Input samples on either side that an output sample depends on."""
+    return -(-ZEROS * max(up, down) // (2 * up)) if down > up else ZEROS // 2
+
+
 @lru_cache(maxsize=16)
 def kernel(up: int, down: int) -> np.ndarray:
-    """(up, 2 REACH + 1) weights of the input samples around each output phase; each row sums to 1."""
-    cut = min(1.0, up / down)
-    reach = REACH
-    t = np.arange(-reach, reach + 1)[None, :] - (np.arange(up) / up)[:, None]
-    w = np.sinc(t * cut) * np.where(np.abs(t) <= reach, 0.5 + 0.5 * np.cos(np.pi * t / (reach + 1)), 0)
+    """(up, 2 reach + 1) weights of the input samples around each output phase; each row sums to 1. Going down, the
+    cut-off lies below half the new rate by the filter's own slope, so that what is above doesn't fold back."""
+    cut, wide = min(1.0, up / down), reach(up, down)
+    if down > up:
+        wide, cut = 2 * wide, cut * (1 - 2 / ZEROS)
+    t = np.arange(-wide, wide + 1)[None, :] - (np.arange(up) / up)[:, None]
+    w = np.sinc(t * cut) * np.where(np.abs(t) <= wide, 0.5 + 0.5 * np.cos(np.pi * t / (wide + 1)), 0)
     return (w / w.sum(1, keepdims=True)).astype(np.float32)
 
 
@@ -107,33 +116,34 @@ def resample(x: np.ndarray, off: np.ndarray, rate: int, to: int) -> tuple[np.nda
     g = gcd(rate, to)
     up, down = to // g, rate // g
     n = np.diff(off)
-    room = n + 2 * REACH
-    base = np.cumsum(room) - room + REACH
+    h = kernel(up, down)
+    side = h.shape[1] // 2
+    room = n + 2 * side
+    base = np.cumsum(room) - room + side
     wide = np.zeros(int(room.sum()), np.float32)
     spot = ragged(base, n)
     wide[spot] = x
-    h = kernel(up, down)
     n_out = -(-n * up // down)
     out_off = np.append(0, np.cumsum(n_out))
     if down == 1:  # every input sample yields ``up`` output samples
         out = np.empty((len(x), up), np.int16)
         for p in range(up):
-            if p == 0 and abs(h[0, REACH] - 1) < 1e-6:
+            if p == 0 and abs(h[0, side] - 1) < 1e-6:
                 out[:, 0] = x
                 continue
             y = np.zeros(len(wide), np.float32)
-            for k in range(-REACH, REACH + 1):
-                if h[p, k + REACH]:
+            for k in range(-side, side + 1):
+                if h[p, k + side]:
                     a, b = max(0, -k), len(wide) - max(0, k)
-                    y[a:b] += h[p, k + REACH] * wide[a + k : b + k]
+                    y[a:b] += h[p, k + side] * wide[a + k : b + k]
             out[:, p] = np.clip(np.rint(y[spot]), -32768, 32767)
         return out.ravel(), out_off
     t = (np.arange(out_off[-1]) - np.repeat(out_off[:-1], n_out)) * down
     at = np.repeat(base, n_out) + t // up
     phase = t % up
     y = np.zeros(len(t), np.float32)
-    for k in range(-REACH, REACH + 1):
-        y += h[phase, k + REACH] * wide[at + k]
+    for k in range(-side, side + 1):
+        y += h[phase, k + side] * wide[at + k]
     return np.clip(np.rint(y), -32768, 32767).astype(np.int16), out_off
 
 
@@ -158,9 +168,12 @@ def decode_batch(payload: pa.Array, codec: list, rate: int, to: int, block: int)
         else:
             x, at = TABLES[name][own], own_off
         y, at = resample(x, at, rate, to)
+        for i in rows[2 * np.diff(at) > CELL]:
+            error[i] = "the samples would not fit a cell"
         raw = memoryview(np.ascontiguousarray(y, "<i2")).cast("B")
         for k, i in enumerate(rows.tolist()):
-            pcm[i] = raw[2 * at[k] : 2 * at[k + 1]].tobytes()
+            if 2 * (at[k + 1] - at[k]) <= CELL:
+                pcm[i] = raw[2 * at[k] : 2 * at[k + 1]].tobytes()
     has = np.array([p is not None for p in pcm], bool)
     count = pa.array(np.array([len(p) // 2 if p is not None else 0 for p in pcm], np.int32))
     return [pa.array(pcm, pa.binary()), with_nulls(count, has), with_nulls(pa.array(np.full(n, to, np.int32)), has), pa.array(error, pa.string())]

@@ -48,7 +48,7 @@ def test_adpcm_same_as_sample_by_sample(block):
         assert (x[at[i] : at[i + 1]].tolist(), bool(broken[i])) == scalar_adpcm(raw, block)
 
 
-@pytest.mark.parametrize("rates", [(8000, 16000), (8000, 24000), (8000, 11025), (16000, 8000), (8000, 8000)])
+@pytest.mark.parametrize("rates", [(8000, 16000), (8000, 24000), (8000, 11025), (16000, 8000), (44100, 8000), (8000, 8000)])
 def test_resampling_same_as_direct_sums(rates):
     r = np.random.default_rng(1)
     signals = [r.integers(-30000, 30000, n).astype(np.int16) for n in (0, 1, 5, 40)]
@@ -64,7 +64,9 @@ def test_resampling_same_as_direct_sums(rates):
             if up == down:
                 want = s[m]
             else:
-                want = sum(A.kernel(up, down)[p, k + A.REACH] * float(s[base + k]) for k in range(-A.REACH, A.REACH + 1) if 0 <= base + k < len(s))
+                h = A.kernel(up, down)
+                side = h.shape[1] // 2
+                want = sum(h[p, k + side] * float(s[base + k]) for k in range(-side, side + 1) if 0 <= base + k < len(s))
             assert abs(got[m] - np.clip(want, -32768, 32767)) <= 1
 
 
@@ -76,6 +78,22 @@ def test_a_tone_stays_a_tone():
     assert np.abs(y - want)[50:-50].max() < 60
 
 
+@pytest.mark.parametrize("rate, to", [(44100, 8000), (48000, 8000), (16000, 8000), (48000, 16000)])
+def test_what_is_above_the_new_band_goes(rate, to):
+    t = np.arange(rate)
+    level = lambda f: np.sqrt((A.resample((10000 * np.sin(2 * np.pi * f * t / rate)).astype(np.int16), np.array([0, rate]), rate, to)[0][400:-400].astype(float) ** 2).mean()) / (10000 / np.sqrt(2))
+    for f in (to * 0.56, to * 0.625, to * 0.875, to):
+        assert level(f) < 0.01
+    for f in (to * 0.05, to * 0.2, to * 0.35):
+        assert abs(level(f) - 1) < 0.02
+
+
+def test_more_than_a_cell_holds(spark, monkeypatch):
+    monkeypatch.setattr(A, "CELL", 100)
+    pcm, n, rate, error = A.decode_batch(pa.array([b"x" * 20, b"x" * 26]), ["mulaw", "mulaw"], 8000, 16000, 256)
+    assert [p is None for p in pcm.to_pylist()] == [False, True] and n.to_pylist() == [40, None] and error.to_pylist()[0] is None and error.to_pylist()[1]
+
+
 def test_spark(spark):
     rows = [(1, b"\x00\xff" * 9, "mulaw", "e"), (2, b"", "alaw", "e"), (3, None, "alaw", "e"), (4, b"abc", "mp3", "e"), (5, b"abc", None, None), (6, b"x" * 70000, "ima_adpcm", "e"), (7, b"y" * 258, "ima_adpcm", "e"), (None, b"a", "mulaw", "e"), (1, b"\x00\xff" * 9, "mulaw", "e")]
     df = spark.createDataFrame(rows, "doc_id long, payload binary, codec string, error string")
