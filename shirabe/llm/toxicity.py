@@ -1,19 +1,24 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
-Each word enters as a word vector beside the scaled sum of vectors of its 3- and 5-byte sequences, so unknown and misspelt
-words still say something. Gated recurrent units run over a window of words in both directions, attention
+Each word enters as a word vector beside two readings of its characters, so unknown and misspelt words still say
+something: a convolution over its bytes in order (three wide, squashed, averaged) and the scaled sum of vectors of
+its 3- and 5-byte sequences. Gated recurrent units run over a window of words in both directions, attention
 pools their states, and a logistic unit scores the window. A text is scored over all its overlapping windows
 (``WINDOW`` words, a new one every ``STRIDE``) and counts as toxic if its worst window reaches the threshold.
 
-Training is weakly supervised: labels are of whole texts. At most ``per_class`` labelled rows of either class
-are used (a bound on the classifier's training sample only); of a toxic text the worst window so far is
-learnt as toxic, of clean ones random and the worst windows as clean, in rounds. A fifth of the sample is
-held out to set the threshold.
+Words are parted by ASCII white space; each character from U+3000 to U+DFFF (kana, Han, Hangul), which are written
+without blanks, is a word. Words of over 48 bytes are read in pieces of 24, cut between characters, none left out.
+
+Training is weakly supervised: labels are of whole texts. A bound holds for the classifier's training sample only:
+``per_class`` labelled rows of either class and ``per_class_bytes`` of their text, whole texts in the order of a
+hash of their id. Of a toxic text the worst window so far is learnt as toxic; of clean ones the worst window of
+each text, the ``HARD`` worst of all and ``RANDOM`` others as clean, in rounds. Words of at least three texts of the
+sample, the ``VOCABULARY`` commonest, have vectors. A fifth of the sample is held out to set the threshold.
 
 Defined results: a null text has a null score and isn't toxic; a text without words scores 0; rows are scored
 one by one, so repeated rows repeat; if labels of either class are missing nothing is toxic and every score is
 0; a doc_id that is labelled both ways counts as toxic. Other columns are carried (``<name>_in`` where they
-bear an output's name). Words of over 48 bytes are read in pieces of 24, none left out.
+bear an output's name). Texts of any length are scored whole.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +38,13 @@ from .simhash import EDGES_PUNCT
 WINDOW, STRIDE = 64, 32
 #: Labelled rows of either class from which the classifier is fitted, at most.
 PER_CLASS = 1500
-VOCABULARY, BUCKETS, WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 8192, 1 << 14, 8, 8, 8, 8
+#: Bytes of these rows' texts of either class, at most.
+PER_CLASS_BYTES = 32 << 20
+#: Clean windows of a training round besides the worst of each text.
+HARD, RANDOM = 1000, 3000
+#: Windows of a step of the training.
+MINIBATCH = 512
+VOCABULARY, BUCKETS, WORD_DIM, CHAR_DIM, SEQ_DIM, HIDDEN, ATTENTION = 8192, 1 << 14, 8, 8, 4, 8, 8
 #: Lengths of the byte sequences of a word, its two ends included, that have vectors.
 GRAMS = (3, 5)
 
@@ -53,16 +64,29 @@ class Batch:
     text_off: np.ndarray
 
 
+def _cut(start: np.ndarray, end: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words with cuts at the places ``at`` that lie inside one."""
+    if not len(at) or not len(start):
+        return start, end
+    k = np.maximum(np.searchsorted(start, at, "right") - 1, 0)
+    inside = sorted_unique(at[(at > start[k]) & (at < end[k])])
+    return np.sort(np.append(start, inside)), np.sort(np.append(end, inside))
+
+
 def read(text: pa.Array) -> Batch:
     data, off, valid = utf8_parts(text)
     start, end, at = words(data, off)
-    long = end - start > 48
-    if long.any():
-        pieces = np.where(long, -(-(end - start) // 24), 1)
-        first = np.repeat(start, pieces) + 24 * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-        last = np.where(np.repeat(long, pieces), np.minimum(first + 24, np.repeat(end, pieces)), np.repeat(end, pieces))
-        at = np.append(0, np.cumsum(pieces))[at]
-        start, end = first, last
+    wide = np.flatnonzero((data >= 0xE3) & (data <= 0xED))
+    start, end = _cut(start, end, np.append(wide, wide + 3))
+    long = np.flatnonzero(end - start > 48)
+    if len(long):
+        n = (end - start)[long] // 24
+        cut = np.repeat(start[long], n) + 24 * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1)
+        cut = np.minimum(cut, np.repeat(end[long], n))
+        for _ in range(3):  # back to where a character begins
+            cut = np.where((cut < len(data)) & (data[np.minimum(cut, len(data) - 1)] & 0xC0 == 0x80), cut - 1, cut)
+        start, end = _cut(start, end, cut)
+    at = np.searchsorted(start, off)
     codes, distinct = spans_encoded(data, start, end)
     try:
         wide = pa.types.is_large_binary(distinct.type)
@@ -96,17 +120,19 @@ class Network:
     @staticmethod
     def new(vocabulary: dict[bytes, int], odds: np.ndarray, seed: int = 7) -> Network:
         r = np.random.default_rng(seed)
-        d, h = WORD_DIM + CHAR_DIM, HIDDEN
+        d, h = WORD_DIM + CHAR_DIM + SEQ_DIM, HIDDEN
         g = lambda *s, k=0.3: (r.standard_normal(s) * k).astype(np.float32)
-        p = {"word": g(len(vocabulary) + 1, WORD_DIM, k=0.1), "char": g(BUCKETS, CHAR_DIM, k=0.05), "x": g(2, d, 3 * h), "u": g(2, h, 3 * h), "b": np.zeros((2, 1, 3 * h), np.float32), "a": g(2 * h, ATTENTION), "v": g(ATTENTION), "o": g(2 * h), "c": np.full(1, -1, np.float32)}
+        p = {"word": g(len(vocabulary) + 1, WORD_DIM, k=0.1), "char": g(BUCKETS, CHAR_DIM, k=0.05), "seq": g(3, 256, SEQ_DIM, k=0.1), "x": g(2, d, 3 * h), "u": g(2, h, 3 * h), "b": np.zeros((2, 1, 3 * h), np.float32), "a": g(2 * h, ATTENTION), "v": g(ATTENTION), "o": g(2 * h), "c": np.full(1, -1, np.float32)}
         p["word"][1:, 0] = odds
         return Network(vocabulary, p)
 
     def features(self, plain: list[bytes]):
-        """(word id of each; for each of GRAMS, the buckets of the words one after another and how many)."""
+        """(word id of each; for each of GRAMS, the buckets of the words one after another and how many; the words'
+        bytes between two marks, and how many)."""
         get = self.vocabulary.get
         ids = np.fromiter((get(w, 0) for w in plain), np.int64, len(plain))
-        raw = np.frombuffer(b"".join(b"\x02" + w + b"\x03" for w in plain), np.uint8).astype(np.uint64)
+        byte = np.frombuffer(b"".join(b"\x02" + w + b"\x03" for w in plain), np.uint8)
+        raw = byte.astype(np.uint64)
         size = np.fromiter(map(len, plain), np.int64, len(plain)) + 2
         first = np.cumsum(size) - size
         grams = []
@@ -117,15 +143,40 @@ class Network:
             bucket = (code * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 14)).astype(np.int32)
             count = np.maximum(0, size - n + 1)
             grams.append((bucket[ragged(first, count)], count))
-        return ids, grams
+        return ids, grams, (byte, size)
 
-    def embed(self, ids, grams):
+    def embed(self, ids, grams, chars, keep=False):
+        """Vectors of words. keep: also the squashed convolution, which the gradient needs."""
         char = np.zeros((len(ids), CHAR_DIM), np.float32)
         for bucket, count in grams:
             some = np.flatnonzero(count)
             if len(some):
                 char[some] += np.add.reduceat(self.p["char"][bucket], (np.cumsum(count) - count)[some], axis=0)
-        return np.concatenate([self.p["word"][ids], char * self.scale(grams)], 1)
+        byte, size = chars
+        t = self.p["seq"]
+        z = t[1][byte]
+        if len(byte) > 1:  # the marks at the ends have the next word's for a neighbour, which is a mark as well
+            z[1:] += t[0][byte[:-1]]
+            z[:-1] += t[2][byte[1:]]
+        np.tanh(z, out=z)
+        first = np.cumsum(size) - size
+        z[first] = z[first + size - 1] = 0
+        seq = np.add.reduceat(z, first, axis=0) / np.maximum(size - 2, 1)[:, None].astype(np.float32) if len(ids) else np.zeros((0, SEQ_DIM), np.float32)
+        e = np.concatenate([self.p["word"][ids], char * self.scale(grams), seq], 1)
+        return (e, z) if keep else e
+
+    @staticmethod
+    def seq_grad(z, chars, share):
+        """Gradient of the convolution's tables; share: that of each word's average."""
+        byte, size = chars
+        dz = np.repeat(share / np.maximum(size - 2, 1)[:, None].astype(np.float32), size, axis=0) * (1 - z * z)
+        first = np.cumsum(size) - size
+        dz[first] = dz[first + size - 1] = 0
+        out = np.zeros((3, 256, SEQ_DIM), np.float32)
+        for k, d in enumerate(dz.T):
+            for j, (b, w) in enumerate(((byte[:-1], d[1:]), (byte, d), (byte[1:], d[:-1]))):
+                out[j, :, k] = np.bincount(b, weights=w, minlength=256)
+        return out
 
     @staticmethod
     def scale(grams):
@@ -199,13 +250,13 @@ class Network:
         return grad, dx
 
     def gates(self, e):
-        return np.matmul(e[None], self.p["x"]) + self.p["b"]
+        return (e @ np.concatenate(list(self.p["x"]), 1)).reshape(len(e), 2, -1).transpose(1, 0, 2) + self.p["b"]
 
-    def score_windows(self, b: Batch, block: int = 1024):
+    def score_windows(self, b: Batch, block: int = 1024, feats=None):
         """(text, first word, logit) of every window of the batch."""
         n = np.diff(b.offsets)
         text, first = windows(n)
-        gates = self.gates(self.embed(*self.features(b.plain))) if b.plain else np.zeros((2, 0, 3 * HIDDEN), np.float32)
+        gates = self.gates(self.embed(*(feats or self.features(b.plain)))) if b.plain else np.zeros((2, 0, 3 * HIDDEN), np.float32)
         at = b.offsets[text] + first
         out = np.empty(len(text), np.float32)
         whole = n[text] >= WINDOW
@@ -231,7 +282,7 @@ def _reference_window(b: Batch, text, first):
 
 
 class _Adam:
-    def __init__(self, p, rate=0.01):
+    def __init__(self, p, rate=0.015):
         self.p, self.rate, self.t = p, rate, 0
         self.m = {k: np.zeros_like(v) for k, v in p.items()}
         self.s = {k: np.zeros_like(v) for k, v in p.items()}
@@ -245,38 +296,45 @@ class _Adam:
             self.p[k] -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(s / (1 - 0.99**self.t)) + 1e-6)
 
 
-def _fit(net: Network, plain, idx, live, y, epochs, adam, r):
-    feats = net.features(plain)
-    starts = [np.cumsum(c) - c for _, c in feats[1]]
+def _sums_by(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``rows`` by index, below n."""
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    if len(index):
+        order = np.argsort(index, kind="stable")
+        ordered = index[order]
+        head = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        out[ordered[head]] = np.add.reduceat(rows[order], head, axis=0)
+    return out
+
+
+def _fit(net: Network, feats, idx, live, y, epochs, adam, r):
+    starts = [np.cumsum(c) - c for _, c in (*feats[1], feats[2])]
+    pick = lambda part, start, used: (part[0][ragged(start[used], part[1][used])], part[1][used])
     for _ in range(epochs):
         order = r.permutation(len(y))
-        for at in range(0, len(order), 256):
-            rows = order[at : at + 256]
+        for at in range(0, len(order), MINIBATCH):
+            rows = order[at : at + MINIBATCH]
             used, local = np.unique(idx[rows], return_inverse=True)
             local = local.reshape(len(rows), -1)
-            grams = [(b[ragged(s[used], c[used])], c[used]) for (b, c), s in zip(feats[1], starts)]
-            e = net.embed(feats[0][used], grams)
+            grams, chars = [pick(g, s, used) for g, s in zip(feats[1], starts)], pick(feats[2], starts[-1], used)
+            e, z = net.embed(feats[0][used], grams, chars, keep=True)
             logit, kept = net.forward(net.gates(e), local, live[rows], keep=True)
             dy = ((_sigmoid(logit) - y[rows]) / len(rows)).astype(np.float32)
             grad, dx = net.backward(kept, dy, local, live[rows])
-            dg = np.zeros((2, len(used), 3 * HIDDEN), np.float32)
-            for d in (0, 1):
-                np.add.at(dg[d], local.ravel(), dx[d].reshape(-1, 3 * HIDDEN))
+            dg = _sums_by(local.ravel(), dx.transpose(1, 2, 0, 3).reshape(local.size, -1), len(used)).reshape(len(used), 2, -1).transpose(1, 0, 2)
             grad["x"] = e.T[None] @ dg
             grad["b"] = dg.sum(1, keepdims=True)
             de = (dg @ net.p["x"].transpose(0, 2, 1)).sum(0)
-            grad["word"] = np.zeros_like(net.p["word"])
-            np.add.at(grad["word"], feats[0][used], de[:, :WORD_DIM])
-            grad["char"] = np.zeros_like(net.p["char"])
-            share = de[:, WORD_DIM:] * net.scale(grams)
-            for bucket, count in grams:
-                np.add.at(grad["char"], bucket, np.repeat(share, count, axis=0))
+            grad["word"] = _sums_by(feats[0][used], de[:, :WORD_DIM], len(net.p["word"]))
+            share = de[:, WORD_DIM : WORD_DIM + CHAR_DIM] * net.scale(grams)
+            grad["char"] = sum(_sums_by(bucket, np.repeat(share, count, axis=0), BUCKETS) for bucket, count in grams)
+            grad["seq"] = net.seq_grad(z, chars, de[:, WORD_DIM + CHAR_DIM :])
             for k in ("char", "word"):
                 grad[k] += np.float32(2e-5) * net.p[k]
             adam.step(grad)
 
 
-def train(texts: list[str], toxic: list[int], clean_weight: float = 1.0, seed: int = 7, rounds: int = 3, epochs: int = 4) -> Network:
+def train(texts: list[str], toxic: list[int], clean_weight: float = 1.0, seed: int = 7, rounds: int = 3, epochs: int = 3) -> Network:
     """Fit a network on labelled texts; see the module's text. clean_weight: how many clean labels one of the
     sample stands for, against a toxic one, when the threshold is set."""
     r = np.random.default_rng(seed)
@@ -307,7 +365,7 @@ def train(texts: list[str], toxic: list[int], clean_weight: float = 1.0, seed: i
     text, first = windows(n)
     at = b.offsets[text] + first
     score = value[at + np.minimum(n[text], WINDOW)] - value[at]
-    adam = _Adam(net.p)
+    adam, feats = _Adam(net.p), net.features(b.plain)
     for turn in range(rounds):
         worst = np.lexsort((-score, text))
         head = worst[np.flatnonzero(np.diff(text[worst], prepend=-1))]  # the worst window of each text
@@ -315,12 +373,12 @@ def train(texts: list[str], toxic: list[int], clean_weight: float = 1.0, seed: i
         pos = head[y[text[head]] & fit_text[head]]
         neg_head = head[~y[text[head]] & fit_text[head]]
         clean = np.flatnonzero(~y[text] & fit_text)
-        hard = clean[np.argsort(-score[clean], kind="stable")][:1000]
-        neg = np.unique(np.concatenate([neg_head, hard, r.choice(clean, min(len(clean), 3000), replace=False)]))
+        hard = clean[np.argsort(-score[clean], kind="stable")][:HARD]
+        neg = np.unique(np.concatenate([neg_head, hard, r.choice(clean, min(len(clean), RANDOM), replace=False)]))
         rows = np.concatenate([pos, neg])
         idx, live = _reference_window(b, text[rows], first[rows])
-        _fit(net, b.plain, idx, live, np.append(np.ones(len(pos)), np.zeros(len(neg))).astype(np.float32), epochs, adam, r)
-        score = net.score_windows(b)[2]
+        _fit(net, feats, idx, live, np.append(np.ones(len(pos)), np.zeros(len(neg))).astype(np.float32), epochs, adam, r)
+        score = net.score_windows(b, feats=feats)[2]
         adam.rate *= 0.6
     best = np.full(len(y), -np.inf)
     np.maximum.at(best, text, score)
@@ -342,14 +400,17 @@ def _threshold(score, y, clean_weight):
 
 
 # --- Spark ---------------------------------------------------------------------------------------------------
-def fitted(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Network:
-    """A network fitted on at most ``per_class`` labelled texts of either class, chosen by a hash of their id."""
+def fitted(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, per_class_bytes: int = PER_CLASS_BYTES) -> Network:
+    """A network fitted on at most ``per_class`` labelled texts of either class and ``per_class_bytes`` of these,
+    chosen by a hash of their id."""
     one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     total = {r.toxic: r["count"] for r in one.groupBy("toxic").count().collect()}
     chosen = [one.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
     few = chosen[0].unionByName(chosen[1])  # 2 * per_class rows at most, so it can be broadcast
-    texts = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(few), "doc_id")
-    rows = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
+    sized = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(few), "doc_id").where(F.octet_length("text") <= per_class_bytes)
+    texts = sized.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    so_far = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))  # of the sample
+    rows = texts.withColumn("so_far", so_far).where(F.col("so_far") <= per_class_bytes).drop("so_far").collect()
     rows = sorted(rows, key=lambda r: r.doc_id)
     used = [sum(r.toxic == c for r in rows) for c in (0, 1)]
     weight = (total.get(0, 0) / max(1, used[0])) / (total.get(1, 0) / max(1, used[1])) if all(used) else 1.0
