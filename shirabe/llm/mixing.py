@@ -11,10 +11,12 @@ repetition of that line into intervals, one for each collection. A cut is turned
 it falls (exactly: by prefix sums over 4,096 hash ranges, then inside the range of the cut), so selection is
 comparing a hash with a few bounds: no shuffle or sort of documents.
 
-Defined results: tokens are runs of characters that aren't ASCII white space; null texts have none. A document
-without any target collection isn't selected. A document is taken if its first token lies in an interval, so a
+Defined results: tokens are runs of characters that aren't ASCII white space; null texts have none. A null name
+in a document's list of collections is left out of it and the other names stay (so a document without a source
+still counts for its language); a document without any target collection isn't selected. A document is taken if its first token lies in an interval, so a
 collection's total misses its quota by less than a document an interval. Equal rows (id and text) have one
-hash and are taken or left together; a document without tokens goes with the one after it. Columns are carried;
+hash and are taken or left together, and so are different documents that happen to have one; a document without
+tokens goes with the one after it. An empty table gives an empty mix. Columns are carried;
 ``mix_source`` and ``mix_copy`` are added (``<name>_in`` where a column bears these names).
 """
 
@@ -26,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, make_room, write_table
+from .common import fresh, keep_table, make_room, scratch, write_table
 
 EPOCHS, SEED, ALPHA = 4, 20240607, 0.7
 #: Cost of the n-th use of a token.
@@ -214,10 +216,10 @@ def plan(slim: DataFrame, weigh, budget: int | None = None, epochs: int = EPOCHS
     return Plan(rows, capacity, quota, flow)
 
 
-def select(keyed: DataFrame, p: Plan, key: str, pattern: str) -> DataFrame:
-    """Join the decisions to rows that have a key and a pattern; adds mix_source and mix_copy."""
+def select(keyed: DataFrame, p: Plan, key: str, pattern: str, source: str = "mix_source", copy: str = "mix_copy") -> DataFrame:
+    """Join the decisions to rows that have a key and a pattern; adds the source and the copy."""
     names = [fresh(keyed.columns, x) for x in ("__p", "__low", "__high")]
-    made = keyed.sparkSession.createDataFrame([(a, s, c, lo, hi) for a, c, s, lo, hi in p.rows], f"`{names[0]}` string, mix_source string, mix_copy int, `{names[1]}` long, `{names[2]}` long")
+    made = keyed.sparkSession.createDataFrame([(a, s, c, lo, hi) for a, c, s, lo, hi in p.rows], f"`{names[0]}` string, `{source}` string, `{copy}` int, `{names[1]}` long, `{names[2]}` long")
     if len(p.rows) <= 100_000:  # a few rows a pattern, of which the driver has the list
         made = F.broadcast(made)
     low, high = F.col(names[1]), F.col(names[2])
@@ -241,7 +243,7 @@ def _prepared(df: DataFrame, sources: Column, id_col: str, text_col: str, seed:
     key, pattern = fresh(df.columns, "__key"), fresh(df.columns, "__pattern")
     keyed = df.withColumn(pattern, _pattern(sources)).withColumn(key, _key(seed, id_col, text_col))
     slim = keyed.select(F.col(id_col).alias("id"), F.col(key).alias("key"), F.col(pattern).alias("pattern"), token_count(F.col(text_col)).alias("tokens"))
-    return keyed, key, pattern, write_table(slim, "mix")[0]
+    return keyed, key, pattern, write_table(slim, "mix")
 
 
 def mix(df: DataFrame, sources: Column, weigh=by_family, id_col: str = "doc_id", text_col: str = "text", budget: int | None = None, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
@@ -249,14 +251,29 @@ def mix(df: DataFrame, sources: Column, weigh=by_family, id_col: str = "doc_id",
     array of the names of the collections to which a row belongs."""
     df = df.withColumn(fresh(df.columns, "__sources"), sources)
     held = df.columns[-1]
-    df = make_room(df, ["mix_source", "mix_copy"])
-    keyed, key, pattern, slim = _prepared(df, F.col(held), id_col, text_col, seed)
-    return select(keyed, plan(slim, weigh, budget, epochs), key, pattern).drop(key, pattern, held)
+    return _mixed(make_room(df, ["mix_source", "mix_copy"]), held, ("mix_source", "mix_copy"), weigh, id_col, text_col, budget, epochs, seed)
+
+
+def mix_rows(df: DataFrame, sources: Column, weigh=by_family, id_col: str = "doc_id", text_col: str = "text", budget: int | None = None, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
+    """The rows of ``df`` in the mix, once for each copy, with their columns as they are."""
+    columns = df.columns
+    held, *names = (fresh(columns, x) for x in ("__sources", "__source", "__copy"))
+    out = _mixed(df.withColumn(held, sources), held, tuple(names), weigh, id_col, text_col, budget, epochs, seed)
+    return out.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def _mixed(df: DataFrame, held: str, names: tuple[str, str], weigh, id_col, text_col, budget, epochs, seed) -> DataFrame:
+    with scratch(df.sparkSession):
+        keyed, key, pattern, (slim, _) = _prepared(df, F.col(held), id_col, text_col, seed)
+        decided = plan(slim, weigh, budget, epochs)
+    return select(keyed, decided, key, pattern, *names).drop(key, pattern, held)
 
 
 def mix_decisions(df: DataFrame, sources: Column, weigh=by_family, id_col: str = "doc_id", text_col: str = "text", budget: int | None = None, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
     """(doc_id, mix_source, mix_copy, tokens) of every copy in the mix; texts aren't read again."""
-    *_, slim = _prepared(df, sources, id_col, text_col, seed)
+    with scratch(df.sparkSession):
+        *_, (slim, path) = _prepared(df, sources, id_col, text_col, seed)
+        keep_table(path)
     return select(slim, plan(slim, weigh, budget, epochs), "key", "pattern").select(F.col("id").alias("doc_id"), "mix_source", "mix_copy", "tokens")
 
 

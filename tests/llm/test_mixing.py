@@ -53,7 +53,7 @@ ODD = [(None, "a b c", "s1", "en", 1), (900, None, "s1", "en", 1), (901, "", "s2
 def test_selection_follows_the_flow(spark):
     df = spark.createDataFrame(ROWS + ODD, "doc_id long, text string, source string, lang string, mix_copy int")
     weights = {"source:s0": 0.1, "source:s1": 0.5, "source:s2": 0.1, "lang:fr": 0.2}
-    keyed, key, pattern, slim = X._prepared(df, X.source_and_language(), "doc_id", "text", 7)
+    keyed, key, pattern, (slim, _) = X._prepared(df, X.source_and_language(), "doc_id", "text", 7)
     rows = [(r.key, r.pattern, r.tokens, r.id) for r in slim.collect()]
     p = X.plan(slim, weights, budget=20_000)
     assert sum(p.quota.values()) == 20_000
@@ -84,7 +84,7 @@ def test_selection_follows_the_flow(spark):
 def test_default_weights_and_empty(spark):
     df = spark.createDataFrame(ROWS, "doc_id long, text string, source string, lang string, mix_copy int")
     out = X.mix_decisions(df, X.source_and_language()).groupBy("mix_source").agg(F.sum("tokens").alias("n")).collect()
-    _, _, _, slim = X._prepared(df, X.source_and_language(), "doc_id", "text", X.SEED)
+    _, _, _, (slim, _) = X._prepared(df, X.source_and_language(), "doc_id", "text", X.SEED)
     p = X.plan(slim, X.by_family)
     for r in out:
         assert abs(r.n - p.quota[r.mix_source]) <= 23 * 10
