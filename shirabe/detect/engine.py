@@ -12,6 +12,7 @@ from . import context as X
 from . import rules as R
 from . import structure as S
 from . import validators as V
+from . import vocabulary as W
 
 GAP, NEAR_LINES, RETAINED = 3, 5, 2000
 _BOOSTED = {"person-name", "person-name-high-recall"}
@@ -131,7 +132,7 @@ def _nearest(norm: str, start: int, end: int, words: list[str]) -> tuple[int | N
 
 def is_test_path(path: str) -> bool:
     parts = path.replace("\\", "/").split("/")
-    return any(p in ("testdata", "fixtures", "__tests__", "spec", "mocks", "seed", "seeds") for p in parts) or bool(re.search(r"_test\.go\Z|\.spec\.|\.test\.", parts[-1]))
+    return any(p in W.TEST_FOLDERS for p in parts) or bool(re.search(r"_test\.go\Z|\.spec\.|\.test\.", parts[-1]))
 
 
 _NO_DIGITS = str.maketrans("", "", "0123456789")
@@ -148,7 +149,7 @@ class _Plan:
         self.needles = tuple({X.tokens(w)[0] if w.isascii() and X.tokens(w) else w for w in r.context})
         self.literals = tuple(w for e in r.evidence for w in e.literals)
         self.patterns = tuple(e.pattern for e in r.evidence if not e.literals)
-        self.hints = {"jp-birthdate": ("生年月日", "誕生日", "生まれ", "dob", "birth")}.get(r.id) or (tuple("市区町村") if r.id.startswith("jp-address") else ())
+        self.hints = {"jp-birthdate": (*W.BIRTH, "生まれ", "dob", "birth")}.get(r.id) or (W.MUNICIPALITY_ENDS if r.id.startswith("jp-address") else ())
 
     def hopeful(self, norm: str, low: str, n_digits: int, line: S.Line) -> bool:
         if n_digits < self.least or (self.hints and not any(w in low for w in self.hints)):

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..detect import vocabulary as W
 from .text import strip_separators
 
 _UP, _DOWN = "0123456789", "9876543210"
@@ -124,7 +125,7 @@ def phone_kind(c: Column) -> Column:
     """service, ip, mobile, international or fixed, of a number as it is written."""
     d = strip_separators(c)
     home = F.when(d.startswith("+81"), F.concat(F.lit("0"), F.substring(d, 4, 99))).when(d.startswith("81"), F.concat(F.lit("0"), F.substring(d, 3, 99))).otherwise(d)
-    return F.when(home.rlike("\\A(?:0120|0800|0570|0990|0180)"), "service").when(home.startswith("050"), "ip").when(home.rlike("\\A0[6-9]0"), "mobile").when(c.startswith("+81"), "international").otherwise("fixed")
+    return F.when(home.rlike("\\A(?:" + W.any_of(W.SERVICE_PREFIXES) + ")"), "service").when(home.startswith("050"), "ip").when(home.rlike("\\A0[6-9]0"), "mobile").when(c.startswith("+81"), "international").otherwise("fixed")
 
 
 def phone_valid(c: Column, area_codes: list[str] | None = None) -> Column:
@@ -185,7 +186,7 @@ def email_valid(c: Column, tlds=None) -> Column:
     tld, dummy = F.element_at(labels, -1), "(?i)hoge|fuga|dummy|sample|foo|bar"
     plain = (local != "") & ~local.rlike("\\A\\.|\\.\\z|\\.\\.") & local.rlike("[0-9A-Za-z]")
     named = ~F.exists(labels, lambda x: (x == "") | x.startswith("-") | x.endswith("-") | (x == "example"))
-    known = tld.isin(*sorted(words("tlds") if tlds is None else tlds)) & ~tld.isin(*"local localhost invalid test".split())
+    known = tld.isin(*sorted(words("tlds") if tlds is None else tlds)) & ~tld.isin(*sorted(W.RESERVED_HOSTS))
     return _ok(plain & named & ~local.rlike(dummy) & ~F.get(labels, F.lit(0)).rlike(dummy) & known)
 
 
