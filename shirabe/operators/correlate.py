@@ -69,8 +69,9 @@ def dedup(df: DataFrame, key: list[str]) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def in_order(df: DataFrame) -> DataFrame:
-    return df.orderBy("file", "line", "column", "end", "rule_id")
+def in_order(df: DataFrame, *ties: str) -> DataFrame:
+    """Findings in the order of output; ``ties``: columns that settle what is equal in all of that."""
+    return df.orderBy("file", "line", "column", "end", "rule_id", *ties)
 
 
 def demote_tests(df: DataFrame, path: str = "file") -> DataFrame:

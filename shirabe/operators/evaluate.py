@@ -181,3 +181,19 @@ def dataset_quality(cases: DataFrame, known_rules: list[str]) -> DataFrame:
     repeats = cases.groupBy(body.alias("h")).count().select(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("repeated_cases"))
     pairs = cases.select("id", F.explode("want").alias("rule_id"), "spans").where(~F.exists(F.coalesce("spans", F.array().cast("array<struct<rule_id:string,line:int,start:int,end:int>>")), lambda s: s["rule_id"] == F.col("rule_id")))
     return unknown.crossJoin(repeats).crossJoin(pairs.agg(F.count("*").alias("pairs_without_span")))
+
+
+def dataset_counts(cases: DataFrame, by: list[str]) -> DataFrame:
+    """How many cases each value of each column has, and all: one pass of grouping sets."""
+    sets = ", ".join(f"(`{c}`)" for c in by)
+    return cases.sparkSession.sql(f"SELECT {', '.join(f'`{c}`' for c in by)}, count(*) AS n FROM {{rows}} GROUP BY GROUPING SETS ({sets}, ())", rows=cases.select(*by))
+
+
+def confidence_misses(wanted: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
+    """By rule: findings that no case wants (``finding_fp``), and wanted ones that were found with another confidence
+    than the case asks for (``confidence_miss``; null asks for none). Both have ``key``, rule_id and confidence."""
+    w = wanted.select(*key, "rule_id", F.col("confidence").alias("__asked"), F.lit(True).alias("__w"))
+    both = found.join(w, [*key, "rule_id"], "left")
+    miss = F.col("__w") & F.col("__asked").isNotNull() & (F.col("__asked") != F.col("confidence"))
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    return both.groupBy("rule_id").agg(n(F.col("__w").isNull()).alias("finding_fp"), n(F.coalesce(miss, F.lit(False))).alias("confidence_miss"))

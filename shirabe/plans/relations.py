@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import functools
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..detect import rules as R
+from ..detect import vocabulary as W
 from ..detect.engine import Config
 from ..functions import checks as C
 from ..functions import text as X
 from ..operators import baseline as B
 from ..operators import correlate as K
 from ..operators import evaluate as E
+from ..operators import reports as P
 from ..operators import scan as S
 from .. import sinks
 from .checks import _MY, sql_mask, sql_sum, table
+from .grids import Grid, listed
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -35,62 +39,95 @@ def _pad(x, n):
 
 
 # --- context around a value ----------------------------------------------------------------------------------------
-@query("require_context_window", "SELECT o_orderkey AS k, o_orderkey % 60 AS gap, (o_orderkey % 60) + 3 <= 40 AS in_window, TRUE AS in_line FROM orders WHERE o_orderkey % 2 = 0")
+_WORDS = ("免許", "driver license", "licence", "値", "LICENSE NO", "xlicence", "licences", "免")
+_window = Grid("orders", "o_orderkey").digits("d", 12, 10**6).pick("word", _WORDS).pick("side", ("left", "right")).add("gap", "k * 7 % 61").add("dots", "repeat('・', CAST(gap AS INTEGER))").add("lead", "CASE side WHEN 'left' THEN word || dots ELSE '番 ' END").add("line", "CASE side WHEN 'left' THEN lead || ' ' || d ELSE lead || d || ' ' || dots || word END")
+_START = "CASE side WHEN 'left' THEN length(lead) + 1 ELSE length(lead) END"
+_NEAR_SQL = f"substr(line, CAST(greatest(({_START}) - 40, 0) + 1 AS BIGINT), CAST(({_START}) + 52 - greatest(({_START}) - 40, 0) AS BIGINT))"
+_HIT = "contains({0}, '免許') OR regexp_matches(lower({0}), '(^|[^0-9a-z])(driver license|licence|license no)([^0-9a-z]|$)')"
+
+
+@query("require_context_window", f"SELECT k, gap, ({_HIT.format('near')}) AS in_window, ({_HIT.format('line')}) AS in_line FROM (SELECT *, {_NEAR_SQL} AS near FROM ({_window.sql}))")
 def require_context_window(spark, sf_dir):
-    """A keyword and, so many characters later, a number: is the keyword within 40 characters?"""
-    k = F.col("o_orderkey")
-    line = F.concat(F.lit("免許"), F.repeat(F.lit("・"), (k % 60).cast("int")), F.lit(" 305012345678"))
-    t = table(spark, sf_dir, "orders").where(k % 2 == 0).select(k.alias("k"), (k % 60).alias("gap"), line.alias("line"))
-    start = F.locate("305012345678", F.col("line")) - 1
+    """A word on either side and, so many characters off, a number: is a keyword wholly within 40 characters?"""
+    t = _window.rows(spark, sf_dir)
+    start = F.when(F.col("side") == "left", F.length("lead") + 1).otherwise(F.length("lead"))
     near = X.window(F.col("line"), start, start + 12, 40)
-    return t.select("k", "gap", X.word_contained(near, "免許").alias("in_window"), X.word_contained(F.col("line"), "免許").alias("in_line"))
+    any_word = lambda c: functools.reduce(lambda a, w: a | X.word_contained(F.lower(c), w), W.LICENCE, F.lit(False))
+    return t.select("k", "gap", any_word(near).alias("in_window"), any_word(F.col("line")).alias("in_line"))
+
+
+_words = Grid("orders", "o_orderkey").pick("before", ("", "(", "ho", "電", "_", "x ", "9")).pick("word", ("tel", "fax", "電話", "TEL", "te", "x", "Fax")).pick("after", (": 090", "ephone", "番号", "-1", "_no", "1"))
+_words = _words.add("line", "before || word || after")
 
 
-@query("keyword_matches", "SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 3 THEN FALSE WHEN 2 THEN TRUE ELSE o_orderkey % 3 <> 1 END AS hit FROM orders")
+@query("keyword_matches", f"SELECT k, regexp_matches(lower(line), '(^|[^0-9a-z])(tel|fax)([^0-9a-z]|$)') OR contains(line, '電話') AS hit FROM ({_words.sql})")
 def keyword_matches(spark, sf_dir):
     """ASCII keywords need edges, others don't."""
-    k = F.col("o_orderkey")
-    word = F.when(k % 4 == 0, "tel").when(k % 4 == 1, "fax").when(k % 4 == 2, "電話").otherwise("x")
-    line = F.concat(F.when(k % 3 == 1, "ho").otherwise("("), word, F.lit(": 090"))
-    hit = F.lit(False)
-    for w in ("tel", "fax", "電話"):
-        hit = hit | X.word_contained(F.lower(line), w)
-    return table(spark, sf_dir, "orders").select(k.alias("k"), hit.alias("hit"))
+    hit = functools.reduce(lambda a, w: a | X.word_contained(F.lower("line"), w), ("tel", "fax", "電話"), F.lit(False))
+    return _words.rows(spark, sf_dir).select("k", hit.alias("hit"))
+
+
+def _near(rows, kind: str, positive: tuple[str, ...] = (), mode: str = "all"):
+    """The matcher's own test of the words beside ``value`` in ``line``, over Arrow batches."""
+    from ..detect import context
 
+    def run(batches):
+        for b in batches:
+            line, value = b.column(1).to_pylist(), b.column(2).to_pylist()
+            at = [x.index(v) for x, v in zip(line, value)]
+            hit = [context.negative_near(x, a, a + len(v), kind, positive, mode) for x, v, a in zip(line, value, at)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hit, pa.bool_())], names=["k", "line", "negative"])
 
-_CURRENCY = "[" + "".join(R.CURRENCY_BEFORE) + "][ \\t]*\\z"
-_UNIT_AFTER = "\\A[ \\t]*(?:" + "|".join(R.CURRENCY_AFTER) + ")|\\A[ \\t]*(?:" + "|".join(R.COUNTER_AFTER) + ")(?![\\x{3400}-\\x{9fff}])"
+    return rows.select("k", "line", "value").mapInArrow(run, "k long, line string, negative boolean")
 
 
-@query("negative_units", "SELECT l_orderkey AS k, l_linenumber AS j, l_orderkey % 7 IN (0, 1, 2, 3, 5) AS negative FROM lineitem")
+_units = Grid("orders", "o_orderkey").pick("left_side", ("値 ", "¥", "$ ", "¥\t", "円", "US$は")).pick("space", ("", " ", "  \t")).pick("right_side", ("", "円", "件", "件名", "名簿", "個。", "%", "万円", "cm", "人 ", "人々")).digits("value", 7, 10**6).add("line", "left_side || value || space || right_side")
+_UNITS = "left_side IN ('¥', '$ ', '¥\t') OR substr(right_side, 1, 1) IN ('円', '%', '万') OR (substr(right_side, 1, 1) IN ('件', '名', '個', '人') AND NOT regexp_matches(substr(right_side, 2, 1), '[㐀-鿿]'))"
+
+
+@query("negative_units", f"SELECT k, line, ({_UNITS}) AS negative FROM ({_units.sql})")
 def negative_units(spark, sf_dir):
     """Currency before, currency and counters after a number; a counter that begins another word isn't one."""
-    k = F.col("l_orderkey")
-    left = F.when(k % 7 == 0, "¥").when(k % 7 == 1, "$ ").otherwise("値 ")
-    right = F.when(k % 7 == 2, "円").when(k % 7 == 3, " 件").when(k % 7 == 4, "名簿").when(k % 7 == 5, "個。").otherwise("")
-    return table(spark, sf_dir, "lineitem").select(k.alias("k"), F.col("l_linenumber").alias("j"), (left.rlike(_CURRENCY) | right.rlike(_UNIT_AFTER)).alias("negative"))
+    return _near(_units.rows(spark, sf_dir), "unit")
 
 
-_GLUE = "[ \\t]*(?:[はがのをも:=][ \\t]*){0,2}\\z"
+_numbering = Grid("orders", "o_orderkey").pick("label", ("伝票番号", "SKU", "品番", "電話", "顧客コード", "userId", "userid", "account no", "製造キー", "ab", "会員番号", "追跡番号について", "注文 番号")).pick("glue", (": ", "=", "は", " の : ", "::", ":::", "         ")).digits("value", 9, 10**6).add("line", "label || glue || value")
+_LISTED = "label IN ('伝票番号', 'SKU', '品番')"
+_NAMED = "label IN ('顧客コード', 'userId', '製造キー', '会員番号', 'account no')"
 
 
-@query("numbering_labels", "SELECT o_orderkey AS k, o_orderkey % 5 IN (0, 1, 2) AS labelled FROM orders")
+@query("numbering_labels", f"SELECT k, line, ({_LISTED} OR ({_NAMED} AND label <> '会員番号' AND label <> 'account no')) AND glue NOT IN (':::', '         ') AS negative FROM ({_numbering.sql})")
 def numbering_labels(spark, sf_dir):
-    """Labels of other numbers right before a value, with up to two joining characters between."""
-    k = F.col("o_orderkey")
-    left = F.when(k % 5 == 0, "伝票番号: ").when(k % 5 == 1, "SKU=").when(k % 5 == 2, "品番は").when(k % 5 == 3, "伝票番号について ").otherwise("電話 ")
-    pattern = "(?i:" + "|".join(sorted(R.LABEL_BEFORE)) + ")" + _GLUE
-    return table(spark, sf_dir, "orders").select(k.alias("k"), left.rlike(pattern).alias("labelled"))
+    """Labels of other numbers right before a value, with up to two joining characters and eight in all between:
+    known ones, and words that end like a number's name, unless they are the rule's own."""
+    return _near(_numbering.rows(spark, sf_dir), "unit", ("会員", "account no"))
 
 
-@query("keyword_distance", "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 = 9 THEN NULL ELSE least(o_orderkey % 10, 1 + o_orderkey % 4) END AS distance FROM orders")
+_modes = Grid("orders", "o_orderkey").pick("lead", ("伝票番号: ", "値 ", "¥")).pick("tail", ("", "円", " 注文")).pick("kind", ("", "unit", "full")).pick("mode", ("all", "label", "none")).digits("value", 9, 10**6).add("line", "lead || value || tail")
+_BY_MODE = "CASE WHEN kind = '' OR mode = 'none' THEN FALSE WHEN mode = 'label' THEN lead = '伝票番号: ' ELSE lead <> '値 ' OR tail = '円' OR (kind = 'full' AND tail = ' 注文') END"
+
+
+@query("negative_modes", f"SELECT k, line, kind, mode, {_BY_MODE} AS negative FROM ({_modes.sql})")
+def negative_modes(spark, sf_dir):
+    """Which evidence counts against a value, by kind of rule and mode of pattern."""
+    rows, out = _modes.rows(spark, sf_dir), None
+    for kind in ("", "unit", "full"):
+        for mode in ("all", "label", "none"):
+            part = _near(rows.where((F.col("kind") == kind) & (F.col("mode") == mode)), kind, (), mode).select("k", "line", F.lit(kind).alias("kind"), F.lit(mode).alias("mode"), "negative")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+_far = Grid("orders", "o_orderkey").pick("word", ("TEL", "電話", "tel", "x", "telTel")).pick("other", ("電話", "", "Tel", "電話電話")).add("gap", "k * 3 % 13").add("back", "k * 5 % 11").digits("value", 7, 10**6)
+_far = _far.add("line", "word || repeat('.', CAST(gap AS INTEGER)) || value || repeat('-', CAST(back AS INTEGER)) || other")
+_LEFT, _RIGHT = "CASE WHEN word <> 'x' THEN gap END", "CASE WHEN other <> '' THEN back END"
+
+
+@query("keyword_distance", f"SELECT k, least(coalesce({_LEFT}, {_RIGHT}), coalesce({_RIGHT}, {_LEFT})) AS distance FROM ({_far.sql})")
 def keyword_distance(spark, sf_dir):
-    k = F.col("o_orderkey")
-    gap, back = (k % 10).cast("int"), (1 + k % 4).cast("int")
-    line = F.when(k % 10 == 9, "1234567").otherwise(F.concat(F.lit("TEL"), F.repeat(F.lit("."), gap), F.lit("1234567"), F.repeat(F.lit("-"), back), F.lit("電話")))
-    start = F.locate("1234567", line) - 1
-    d = K.keyword_distance(line, start, start + 7, ["tel", "電話"])
-    return table(spark, sf_dir, "orders").select(k.alias("k"), d.cast("long").alias("distance"))
+    """Characters from a value to the nearest keyword on either side, if there is any."""
+    start = F.length("word") + F.col("gap").cast("int")
+    return _far.rows(spark, sf_dir).select("k", K.keyword_distance(F.col("line"), start, start + 7, ["tel", "電話"]).cast("long").alias("distance"))
 
 
 # --- lines together ----------------------------------------------------------------------------------------------------
@@ -153,20 +190,18 @@ def dedup_findings(spark, sf_dir):
     return K.dedup(_findings(spark, sf_dir), ["file", "line", "rule_id", "start"]).select("file", "line", "rule_id", "start", "confidence", "score", "fail_only")
 
 
-_PAIRS = "SELECT k, a.start AS s1, a.\"end\" AS e1, b.start AS s2, b.\"end\" AS e2, (a.confidence, NOT a.fail_only, a.score, a.\"end\" - a.start) AS r1, (b.confidence, NOT b.fail_only, b.score, b.\"end\" - b.start) AS r2, a.rule_id AS i1, b.rule_id AS i2 FROM (SELECT * FROM ({F}) WHERE ordinal = 1) a JOIN (SELECT * FROM ({F}) WHERE ordinal = 2) b USING (k) WHERE k IN (SELECT k FROM ({F}) WHERE ordinal <= 2 GROUP BY k HAVING count(*) = 2 AND sum(ordinal) = 3)".replace("{F}", _FINDINGS_SQL)
+_RANKED = f"SELECT *, (-confidence, fail_only, -score, -(\"end\" - start), rule_id) AS rank FROM ({_FINDINGS_SQL})"
+_SPAN = "{'o': ordinal, 's': start, 'e': \"end\", 'r': rank}"
 
 
-@query("resolve_overlaps", f"WITH p AS (SELECT *, s1 < e2 AND s2 < e1 AS touch, (r2 > r1 OR (r2 = r1 AND i2 < i1)) AS second FROM ({_PAIRS})) SELECT k, s1 AS start, e1 AS \"end\", i1 AS rule_id FROM p WHERE NOT touch OR NOT second UNION ALL SELECT k, s2, e2, i2 FROM p WHERE NOT touch OR second")
+@query(
+    "resolve_overlaps",
+    f"WITH RECURSIVE c AS (SELECT k, list({_SPAN} ORDER BY ordinal, start, \"end\", rule_id, confidence, fail_only, score) AS f FROM ({_RANKED}) GROUP BY k), "
+    "w AS (SELECT k, f, 1 AS i, f[1:0] AS kept FROM c UNION ALL SELECT k, f, i + 1, CASE WHEN len(list_filter(kept, lambda y: y.s < f[i].e AND f[i].s < y.e AND NOT f[i].r < y.r)) > 0 THEN kept ELSE list_append(list_filter(kept, lambda y: NOT (y.s < f[i].e AND f[i].s < y.e)), f[i]) END FROM w WHERE i <= len(f)) "
+    "SELECT k, x.o AS ordinal, x.s AS start, x.e AS \"end\", x.r[5] AS rule_id FROM (SELECT k, unnest(kept) AS x FROM w WHERE i = len(f) + 1)",
+)
 def resolve_overlaps(spark, sf_dir):
-    """Two candidates on a line, resolved by the fold (which handles any number)."""
-    two = _findings(spark, sf_dir).where("ordinal <= 2")
-    both = two.withColumn("n", F.count("*").over(Window.partitionBy("k"))).withColumn("s", F.sum("ordinal").over(Window.partitionBy("k"))).where("n = 2 and s = 3").select("k", "ordinal", "start", "end", "rule_id", "confidence", "fail_only", "score")
-    return K.resolve_overlaps(both, ["k"], "ordinal").select("k", "start", "end", "rule_id")
-
-
-@query("resolve_all_overlaps")
-def resolve_all_overlaps(spark, sf_dir):
-    """All candidates of every line, resolved by the fold; pairwise SQL can't state it."""
+    """All candidates of every line, resolved by the fold: a winner may evict several, and a loser none."""
     every = _findings(spark, sf_dir).select("k", "ordinal", "start", "end", "rule_id", "confidence", "fail_only", "score")
     return K.resolve_overlaps(every, ["k"], "ordinal").select("k", "ordinal", "start", "end", "rule_id")
 
@@ -255,17 +290,24 @@ def confidence_scores(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(k.alias("k"), s.alias("score"))
 
 
-@query("retained_candidates", f"SELECT file, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY line, ordinal, k) AS rn FROM ({_FINDINGS_SQL})) WHERE rn <= 200 GROUP BY file")
+@query("retained_candidates", f"SELECT file, count(*) AS n, max(line) AS last_line FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY line, ordinal, k) AS rn FROM ({_FINDINGS_SQL})) WHERE rn <= 150 GROUP BY file")
 def retained_candidates(spark, sf_dir):
-    """The feature's own budget by file (here 200): candidates kept for a boost."""
-    w = Window.partitionBy("file").orderBy("line", "ordinal", "k")
-    return _findings(spark, sf_dir).withColumn("rn", F.row_number().over(w)).where("rn <= 200").groupBy("file").agg(F.count("*").alias("n"))
+    """The feature's own budget by file (here 150): candidates kept for a boost."""
+    kept = P.retained(_findings(spark, sf_dir), ["file"], ["line", "ordinal", "k"], most=150)
+    return kept.groupBy("file").agg(F.count("*").alias("n"), F.max("line").alias("last_line"))
 
 
 @query("split_by_threshold", f"SELECT visible, rule_id, count(*) AS n FROM (SELECT *, confidence >= 2 AND NOT fail_only AS visible FROM ({_FINDINGS_SQL})) GROUP BY visible, rule_id")
 def split_by_threshold(spark, sf_dir):
-    f = _findings(spark, sf_dir).withColumn("visible", (F.col("confidence") >= 2) & ~F.col("fail_only"))
-    return f.groupBy("visible", "rule_id").agg(F.count("*").alias("n"))
+    shown, rest = P.split_by_threshold(_findings(spark, sf_dir), 2)
+    return shown.withColumn("visible", F.lit(True)).unionByName(rest.withColumn("visible", F.lit(False))).groupBy("visible", "rule_id").agg(F.count("*").alias("n"))
+
+
+@query("json_findings", f"SELECT rule_id, file, line, \"column\", CASE confidence WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS confidence, {sql_mask('match')} AS match FROM ({_REPORTED_SQL})")
+def json_findings(spark, sf_dir):
+    """The rows of the JSON report, read back from what is written."""
+    read = F.from_json("value", "rule_id string, file string, line int, `column` int, confidence string, match string")
+    return sinks.json_lines(_reported(spark, sf_dir)).select(read.alias("r")).select("r.*")
 
 
 @query("entity_spans", f"SELECT k, CASE rule_id WHEN 'credit-card' THEN 'CREDIT_CARD' WHEN 'jp-phone-number' THEN 'PHONE_NUMBER' ELSE 'JP_BANK_ACCOUNT' END AS entity_type, start, \"end\", CASE confidence WHEN 3 THEN 0.85 WHEN 2 THEN 0.6 ELSE 0.4 END::DOUBLE AS score FROM ({_FINDINGS_SQL})")
@@ -327,12 +369,11 @@ def false_positive_trend(spark, sf_dir):
     return E.trend(rate(part.where("p_size < 25")), rate(part.where("p_size > 20")))
 
 
-@query("findings_per_million_lines", f"WITH l AS (SELECT sum(len(string_split(text, chr(10)))) AS n FROM documents) SELECT lang, count(*) AS findings, count(*) * 1e6 / (SELECT n FROM l) AS rate FROM ({{}}) GROUP BY lang")
+@query("findings_per_million_lines", "WITH l AS (SELECT sum(len(string_split(text, chr(10)))) AS n FROM documents) SELECT lang, count(*) AS findings, count(*) * 1e6 / (SELECT n FROM l) AS rate FROM ({}) GROUP BY lang")
 def findings_per_million_lines(spark, sf_dir):
     from .checks import cards
 
-    n = table(spark, sf_dir, "documents").agg(F.sum(F.size(F.split("text", "\n", -1))).alias("n"))
-    return cards(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("findings")).crossJoin(F.broadcast(n)).select("lang", "findings", (F.col("findings") * 1e6 / F.col("n")).alias("rate"))
+    return P.per_million_lines(cards(spark, sf_dir), table(spark, sf_dir, "documents"), "lang")
 
 
 def _finish() -> None:
@@ -346,26 +387,48 @@ _finish()
 
 @query("dataset_counts", "SELECT lang, source, count(*) AS n FROM documents GROUP BY GROUPING SETS ((lang), (source), ())")
 def dataset_counts(spark, sf_dir):
-    return spark.sql("SELECT lang, source, count(*) AS n FROM {d} GROUP BY GROUPING SETS ((lang), (source), ())", d=table(spark, sf_dir, "documents"))
+    return E.dataset_counts(table(spark, sf_dir, "documents"), ["lang", "source"])
+
+
+_CASE = (
+    "SELECT CAST(doc_id AS VARCHAR) AS id, text AS line, CASE doc_id % 3 WHEN 0 THEN ['jp-my-number'] WHEN 1 THEN ['jp-phone-number', 'no-such-rule'] ELSE [] END AS want, CASE WHEN doc_id % 4 = 0 THEN ['jp-my-number'] WHEN doc_id % 4 = 1 THEN ['jp-phone-number', 'old-rule'] ELSE [] END AS spans FROM documents"
+)
 
 
-@query("dataset_duplicates", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text, lang ORDER BY doc_id) AS rn FROM documents) WHERE rn > 1")
-def dataset_duplicates(spark, sf_dir):
-    """Cases that repeat another but for their id; the text is compared by a hash of 256 bits."""
-    w = Window.partitionBy("h", "lang").orderBy("doc_id")
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"), "lang").withColumn("rn", F.row_number().over(w)).where("rn > 1").select("doc_id")
+@query(
+    "dataset_quality",
+    f"WITH c AS ({_CASE}), n AS (SELECT unnest(want) AS r FROM c UNION SELECT unnest(spans) FROM c) SELECT (SELECT count(DISTINCT r) FROM n WHERE r NOT IN ('jp-my-number', 'jp-phone-number')) AS unknown_rules, (SELECT CAST(sum(m - 1) AS BIGINT) FROM (SELECT count(*) AS m FROM c GROUP BY line, want, spans)) AS repeated_cases, "
+    "(SELECT count(*) FROM (SELECT unnest(want) AS r, spans FROM c) WHERE NOT list_contains(spans, r)) AS pairs_without_span",
+)
+def dataset_quality(spark, sf_dir):
+    """Cases made of the documents: unknown rules, cases that repeat another but for their id, pairs without a span."""
+    d, none = F.col("doc_id"), F.array().cast("array<string>")
+    ids = lambda *x: F.array(*map(F.lit, x))
+    want = F.when(d % 3 == 0, ids("jp-my-number")).when(d % 3 == 1, ids("jp-phone-number", "no-such-rule")).otherwise(none)
+    spans = F.when(d % 4 == 0, ids("jp-my-number")).when(d % 4 == 1, ids("jp-phone-number", "old-rule")).otherwise(none)
+    made = F.transform(spans, lambda r: F.struct(r.alias("rule_id"), F.lit(1).alias("line"), F.lit(0).alias("start"), F.lit(5).alias("end")))
+    cases = table(spark, sf_dir, "documents").select(d.cast("string").alias("id"), F.col("text").alias("line"), want.alias("want"), made.alias("spans"))
+    return E.dataset_quality(cases, ["jp-my-number", "jp-phone-number"])
 
 
 # --- structure and sources -------------------------------------------------------------------------------------------------
-@query("csv_columns", "SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN 'order id' ELSE 'phone number' END AS label, '090-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') || '-1234' AS value FROM customer")
-def csv_columns(spark, sf_dir):
-    """Cells joined to the header of their column: fields by position, quotes dropped."""
-    k = F.col("c_custkey")
-    head = F.when(k % 4 == 0, "name,orderId").otherwise('name,"phoneNumber"')
-    row = F.concat(F.lit("x,"), F.lit('"090-'), _pad(k % 10000, 4), F.lit('-1234"'))
-    t = table(spark, sf_dir, "customer").select(k.alias("k"), F.split(F.replace(head, F.lit('"'), F.lit("")), ",").alias("names"), F.split(F.replace(row, F.lit('"'), F.lit("")), ",").alias("cells"))
-    cells = t.select("k", "names", F.posexplode("cells").alias("i", "value")).where("i = 1")
-    return cells.select("k", F.array_join(X.identifier_tokens(F.get("names", F.col("i"))), " ").alias("label"), "value")
+_csv = Grid("orders", "o_orderkey").pick("a", ("x", "\"x,y\"", "\"he said \"\"hi\"\"\"", "", "x y")).pick("b", ("1", "\"2,3\"", "", "\"\"")).digits("n", 4, 10**6).pick("c", ("z", "\"090,-\"")).add("line", "a || ',' || b || ',' || n || ',' || c")
+
+
+@query("csv_fields", f"SELECT k, i AS field, CASE i WHEN 1 THEN trim(a, '\"') WHEN 2 THEN trim(b, '\"') WHEN 3 THEN n ELSE trim(c, '\"') END AS value FROM (SELECT *, unnest([1, 2, 3, 4]) AS i FROM ({_csv.sql}))".replace("trim(a, '\"')", "regexp_replace(a, '^\"(.*)\"$', '\\1')"))
+def csv_fields(spark, sf_dir):
+    """Fields of records with quoted commas and doubled quotes, where they stand in the line."""
+    from ..detect import structure
+
+    def run(batches):
+        for b in batches:
+            k, field, value = [], [], []
+            for key, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for i, (x, z) in enumerate(structure.csv_fields(line, ",")):
+                    k.append(key), field.append(i + 1), value.append(line[x:z])
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(field, pa.int32()), pa.array(value, pa.string())], names=["k", "field", "value"])
+
+    return _csv.rows(spark, sf_dir).select("k", "line").mapInArrow(run, "k long, field int, value string")
 
 
 @query("diff_added_lines", "SELECT o_orderkey AS k, 'f' || CAST(o_orderkey % 10 AS VARCHAR) || '.txt' AS file, CAST(o_orderkey % 100 + 2 AS INTEGER) AS line, 'new ' || CAST(o_orderkey AS VARCHAR) AS text FROM orders")
@@ -388,30 +451,51 @@ def unescaped_pages(spark, sf_dir):
     return unescaped(pages, "html").select("page_id", F.md5(F.col("html").cast("binary")).alias("digest"))
 
 
-@query("email_candidates", "SELECT doc_id, value, domain IN ('x') AS valid FROM (SELECT doc_id, value, split_part(value, '@', 2) AS domain FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[%+._0-9A-Za-z-]+@[.0-9A-Za-z-]+\\.[A-Za-z]{2,}')) AS value FROM documents))")
+_MAIL = "[%+._0-9A-Za-z-]+@[.0-9A-Za-z-]+\\.[A-Za-z]{2,}"
+_MAIL_TEXTS = "SELECT doc_id, text || chr(10) || 'mail u' || CAST(doc_id AS VARCHAR) || '@' || CASE doc_id % 5 WHEN 0 THEN 'gmail.com' WHEN 1 THEN '-x.jp' WHEN 2 THEN 'mail.nosuchtld' WHEN 3 THEN 'sample.org' ELSE 'a-b.co.jp' END AS text FROM documents"
+
+
+def _mail_sql() -> str:
+    from ..detect.dictionaries import words
+
+    labels = "string_split(lower(split_part(value, '@', 2)), '.')"
+    bad = f"len(list_filter({labels}, lambda x: x = '' OR x LIKE '-%' OR x LIKE '%-' OR x = 'example')) > 0"
+    local = "split_part(value, '@', 1)"
+    dummy = "regexp_matches(lower({}), 'hoge|fuga|dummy|sample|foo|bar')"
+    return (
+        f"SELECT doc_id, value, NOT {bad} AND NOT regexp_matches({local}, '^\\.|\\.$|\\.\\.') AND regexp_matches({local}, '[0-9A-Za-z]') AND NOT {dummy.format(local)} AND NOT {dummy.format(labels + '[1]')} AND {labels}[-1] IN {listed(words('tlds'))} AND {labels}[-1] NOT IN {listed(W.RESERVED_HOSTS)} AS valid "
+        f"FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_MAIL}')) AS value FROM ({_MAIL_TEXTS}))"
+    )
+
+
+@query("email_candidates", _mail_sql())
 def email_candidates(spark, sf_dir):
-    """Mail addresses of the documents; all of them are under the reserved name, so none is valid."""
+    """Mail addresses of the documents, and one more behind each, judged by the engine's rule."""
+    d, s = F.col("doc_id"), F.col("doc_id").cast("string")
+    host = F.when(d % 5 == 0, "gmail.com").when(d % 5 == 1, "-x.jp").when(d % 5 == 2, "mail.nosuchtld").when(d % 5 == 3, "sample.org").otherwise("a-b.co.jp")
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit("\nmail u"), s, F.lit("@"), host).alias("text"))
+    found = texts.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_MAIL), 0)).alias("value"))
+    return found.withColumn("valid", C.email_valid(F.col("value")))
+
+
+_headlines = Grid("orders", "o_orderkey").pick("a", ("山田太郎", "森林浴場", "鈴木花子", "会議", "田中")).pick("glue", ("、", "と", "", " ")).pick("b", ("佐藤健一", "報告書", "山田花子", "花子")).add("text", "'見出し ' || a || glue || b")
+
+
+def _homographs_sql() -> str:
     from ..detect.dictionaries import words
 
-    v = F.col("value")
-    found = F.regexp_extract_all("text", F.lit("[%+._0-9A-Za-z-]+@[.0-9A-Za-z-]+\\.[A-Za-z]{2,}"), 0)
-    labels = F.split(F.lower(F.substring_index(v, "@", -1)), "\\.")
-    tld = F.element_at(labels, -1)
-    valid = ~F.array_contains(labels, "example") & tld.isin(*sorted(words("tlds"))) & ~tld.isin(*"local example localhost invalid test".split())
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("value")).withColumn("valid", valid)
+    names, given = listed(words("surnames")), listed(words("given_names"))
+    splits = " OR ".join(f"(length(v) - {i} BETWEEN 1 AND 4 AND NOT ({i} = 1 AND length(v) = 2) AND substr(v, 1, {i}) IN {names} AND substr(v, {i + 1}) IN {given})" for i in (1, 2, 3, 4))
+    grams = "list_transform(range(1, length(run) + 1), lambda i: list_transform(range(2, least(8, length(run) - i + 1) + 1), lambda n: substr(run, i, n)))"
+    return f"SELECT v AS value, count(*) AS n FROM (SELECT unnest(flatten({grams})) AS v FROM (SELECT unnest(regexp_extract_all(text, '[一-鿿]{{2,}}')) AS run FROM ({_headlines.sql}))) WHERE {splits} GROUP BY v"
 
 
-@query("name_homographs", "SELECT value, count(*) AS n FROM (SELECT unnest(['山田太郎', '田中花子', '森林浴場']) AS value FROM customer WHERE c_custkey % 3 = 0) WHERE value <> '森林浴場' GROUP BY value")
+@query("name_homographs", _homographs_sql())
 def name_homographs(spark, sf_dir):
     """Runs of Han characters in texts without names that could pass for a surname and a given name."""
-    from ..detect.dictionaries import words
+    from ..sources import dictionaries
 
-    t = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.lit("見出し 山田太郎、田中花子と森林浴場").alias("text"))
-    runs = t.select(F.explode(F.regexp_extract_all("text", F.lit("[\\x{4E00}-\\x{9FFF}]{3,}"), 0)).alias("run"))
-    grams = runs.select(F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.length("run") - 2), lambda a: F.transform(F.sequence(F.lit(3), F.least(F.length("run") - a + 1, F.lit(8))), lambda n: F.substring(F.col("run"), a, n))))).alias("value"))
-    names, given = sorted(words("surnames")), sorted(words("given_names"))
-    splits = F.exists(F.sequence(F.lit(1), F.least(F.length("value") - 1, F.lit(4))), lambda i: (F.length("value") - i <= 4) & F.substring(F.col("value"), F.lit(1), i).isin(*names) & F.substring(F.col("value"), i + 1, F.lit(9)).isin(*given))
-    return grams.where(splits).groupBy("value").agg(F.count("*").alias("n"))
+    return dictionaries.homographs(_headlines.rows(spark, sf_dir))
 
 
 # --- whole scans -------------------------------------------------------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import checks, filters, relations, structures
+from .plans import checks, families, filters, relations, structures
 
-QUERIES: dict = {**checks.QUERIES, **relations.QUERIES, **structures.QUERIES, **filters.QUERIES}
-ORACLE: dict = {**checks.ORACLE, **relations.ORACLE, **structures.ORACLE, **filters.ORACLE}
+QUERIES: dict = {**checks.QUERIES, **relations.QUERIES, **structures.QUERIES, **filters.QUERIES, **families.QUERIES}
+ORACLE: dict = {**checks.ORACLE, **relations.ORACLE, **structures.ORACLE, **filters.ORACLE, **families.ORACLE}

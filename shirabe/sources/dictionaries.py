@@ -50,3 +50,22 @@ def romaji_variants(df: DataFrame) -> DataFrame:
     short = F.regexp_replace(F.regexp_replace(F.regexp_replace(w, "ou", "o"), "oo", "o"), "uu", "u")
     oh = F.regexp_replace(F.regexp_replace(w, "ou", "oh"), "oo", "oh")
     return df.select(F.explode(F.array(w, short, oh, F.regexp_replace(oh, "uu", "u"))).alias("word")).distinct()
+
+
+def homographs(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """(value, n): parts of runs of Han characters in texts without names that could pass for a known surname and
+    given name (up to 4 characters each, not one and one)."""
+    from ..detect.dictionaries import words as known
+
+    runs = df.select(F.explode(F.regexp_extract_all(text_col, F.lit("[\\x{4E00}-\\x{9FFF}]{2,}"), 0)).alias("run"))
+    part = lambda a: F.transform(F.sequence(F.lit(2), F.least(F.length("run") - a + 1, F.lit(8))), lambda n: F.substring(F.col("run"), a, n))
+    grams = runs.select(F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.length("run") - 1), part))).alias("value"))
+    names, given = sorted(known("surnames")), sorted(known("given_names"))
+    n = F.length("value")
+    fits = lambda i: (n - i).between(1, 4) & ~((i == 1) & (n == 2)) & F.substring(F.col("value"), F.lit(1), i).isin(*names) & F.substring(F.col("value"), i + 1, F.lit(9)).isin(*given)
+    return grams.where(F.exists(F.sequence(F.lit(1), F.least(n - 1, F.lit(4))), fits)).groupBy("value").agg(F.count("*").alias("n"))
+
+
+def sampled(words: DataFrame, most: int, seed: int = 7) -> DataFrame:
+    """At most ``most`` words in the order of a seeded hash, the same ones at every run: examples for generated cases."""
+    return words.select("word").distinct().orderBy(F.xxhash64(F.lit(seed), "word"), "word").limit(most)
