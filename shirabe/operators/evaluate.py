@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,26 +69,27 @@ def span_matches(wanted: DataFrame, found: DataFrame, key: list[str]) -> DataFra
     """By key: how many wanted and found spans (start, end) can be matched one to one, exactly, with the
     wanted one inside the found one, or overlapping. Matchings are largest possible (augmenting paths)."""
 
-    def match(k, a, b):
-        import pandas as pd
+    tests = {"exact": lambda w, f: w == f, "containment": lambda w, f: f[0] <= w[0] and w[1] <= f[1], "relaxed": lambda w, f: w[0] < f[1] and f[0] < w[1]}
 
-        ws, fs = list(zip(a["start"], a["end"])), list(zip(b["start"], b["end"]))
-        tests = {"exact": lambda w, f: w == f, "containment": lambda w, f: f[0] <= w[0] and w[1] <= f[1], "relaxed": lambda w, f: w[0] < f[1] and f[0] < w[1]}
-        row = dict(zip(key, k)) | {"n_wanted": len(ws), "n_found": len(fs)}
-        for name, ok in tests.items():
-            owner: dict[int, int] = {}
+    def matched(ws, fs, ok) -> int:
+        owner: dict[int, int] = {}
 
-            def place(i, seen):
-                for j, f in enumerate(fs):
-                    if j not in seen and ok(ws[i], f):
-                        seen.add(j)
-                        if j not in owner or place(owner[j], seen):
-                            owner[j] = i
-                            return True
-                return False
+        def place(i, seen):
+            for j, f in enumerate(fs):
+                if j not in seen and ok(ws[i], f):
+                    seen.add(j)
+                    if j not in owner or place(owner[j], seen):
+                        owner[j] = i
+                        return True
+            return False
 
-            row[name] = sum(place(i, set()) for i in range(len(ws)))
-        return pd.DataFrame([row])
+        return sum(place(i, set()) for i in range(len(ws)))
+
+    def run(batches):
+        for b in batches:
+            ws, fs = ([[(x["start"], x["end"]) for x in cell or ()] for cell in b.column(b.num_columns - k).to_pylist()] for k in (2, 1))
+            made = [[len(x) for x in ws], [len(x) for x in fs], *([matched(w, f, ok) for w, f in zip(ws, fs)] for ok in tests.values())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], *(pa.array(x, pa.int32()) for x in made)], names=[*key, "n_wanted", "n_found", *tests])
 
     # A case with one span at most on either side needs no matching: built-in expressions do these.
     n_of = lambda df, n: df.groupBy(*key).agg(F.count("*").cast("int").alias(n), F.min("start").alias(f"{n}_a"), F.min("end").alias(f"{n}_z"))
@@ -97,11 +99,11 @@ def span_matches(wanted: DataFrame, found: DataFrame, key: list[str]) -> DataFra
     one = lambda c: F.when(c, 1).otherwise(0)
     easy = few.select(*key, "n_wanted", "n_found", one((a == fa) & (z == fz)).alias("exact"), one((fa <= a) & (z <= fz)).alias("containment"), one((a < fz) & (fa < z)).alias("relaxed"))
     many = sizes.where("n_wanted > 1 or n_found > 1").select(*key)
-    cols = [*key, "start", "end"]
-    # New attributes, as both sides may come from one table.
-    wanted, found = (df.join(many, key, "left_semi").select(*(F.col(c).alias(c) for c in cols)) for df in (wanted, found))
+    # The spans of a case, which is one line or file, in a list on either side; new attributes, as both may come from one table.
+    of = lambda df, n: df.select(*(F.col(c).alias(c) for c in (*key, "start", "end"))).groupBy(*key).agg(F.collect_list(F.struct("start", "end")).alias(n))
+    lists = many.join(of(wanted, "__w"), key, "left").join(of(found, "__f"), key, "left").select(*key, "__w", "__f")
     schema = ", ".join(f"{k} {wanted.schema[k].dataType.simpleString()}" for k in key) + ", n_wanted int, n_found int, exact int, containment int, relaxed int"
-    hard = wanted.select(*cols).groupBy(*key).cogroup(found.select(*cols).groupBy(*key)).applyInPandas(match, schema)
+    hard = lists.mapInArrow(run, schema)
     return easy.unionByName(hard)
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import checks as C
 from ..functions import text as X
+from .grids import Grid
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -250,17 +252,57 @@ def identifier_tokens(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.array_join(X.identifier_tokens(name), " ").alias("tokens"))
 
 
-@query("ignore_markers", "SELECT o_orderkey AS k, o_orderkey % 4 IN (0, 3) AS ignored FROM orders")
+def matched(rows, columns: list[str], make, schema: str):
+    """A test of the matcher's own over rows, in Arrow batches: ``make()`` gives ``f(*cells) -> tuple``."""
+    names = [x.split()[0] for x in schema.split(",")]
+
+    def run(batches):
+        f = make()
+        for b in batches:
+            if b.num_rows:
+                made = zip(*(f(*cells) for cells in zip(*(b.column(i).to_pylist() for i in range(1, b.num_columns)))))
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(x)) for x in made)], names=["k", *names])
+
+    return rows.select("k", *columns).mapInArrow(run, f"k long, {schema}")
+
+
+_marked = Grid("orders", "o_orderkey").pick("a", ("# ", "#", "x_", "(", "あ", "-", " ")).pick("marker", ("shirabe:ignore", "shirabe:allow", "shirabe:ignored", "shirabe:all", "Shirabe:ignore")).pick("b", ("", ")", "d", " reason", "-x", "。", "7")).add("line", "'090-0000-0000 ' || a || marker || b")
+_MARKED = "regexp_matches(line, '(^|[^\\p{L}\\p{Nd}_-])(shirabe:ignore|shirabe:allow)($|[^\\p{L}\\p{Nd}_-])')"
+
+
+@query("ignore_markers", f"SELECT k, {_MARKED} AS ignored, {_MARKED} AS by_matcher FROM ({_marked.sql})")
 def ignore_markers(spark, sf_dir):
-    k = F.col("o_orderkey")
-    tail = F.when(k % 4 == 0, "# shirabe:ignore").when(k % 4 == 1, "#shirabe:ignored").when(k % 4 == 2, "x_shirabe:ignore").otherwise("(shirabe:allow)")
-    return table(spark, sf_dir, "orders").select(k.alias("k"), X.ignored(F.concat(F.lit("090-0000-0000 "), tail)).alias("ignored"))
+    """Markers that stand as tokens of their own exempt a line: as an expression, and in the matcher."""
+    from ..detect.engine import Detector
+
+    def make():
+        d = Detector()
+        return lambda line: (line, d.ignored(line))
 
+    rows = matched(_marked.rows(spark, sf_dir), ["line"], make, "line string, by_matcher boolean")
+    return rows.select("k", X.ignored(F.col("line")).alias("ignored"), "by_matcher")
 
-@query("uuid_tokens", "SELECT o_orderkey AS k, o_orderkey % 3 < 2 AS uuid FROM orders")
+
+_uuids = Grid("orders", "o_orderkey").add("h", "md5(CAST(k AS STRING))").pick("version", tuple("44415")).pick("variant", tuple("89abBcf0")).pick("hyphens", ("yes", "no", "some")).pick("a", ("id ", "x", "f", "-", "")).pick("z", ("", " x", "0", "-", "g"))
+_uuids = _uuids.add("token", "CASE hyphens WHEN 'yes' THEN substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || version || substr(h, 13, 3) || '-' || variant || substr(h, 16, 3) || '-' || substr(h, 19, 12) WHEN 'no' THEN substr(h, 1, 12) || version || substr(h, 13, 3) || variant || substr(h, 16, 15) ELSE substr(h, 1, 8) || '-' || substr(h, 9, 4) || version || substr(h, 13, 3) || variant || substr(h, 16, 15) END")
+_uuids = _uuids.add("line", "a || token || z").add("run", "regexp_extract(line, '[0-9a-fA-F-]{20,}', 0)")
+_UUID = "regexp_matches({}, '^([0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-4[0-9a-fA-F]{{3}}-[89abAB][0-9a-fA-F]{{3}}-[0-9a-fA-F]{{12}}|[0-9a-fA-F]{{12}}4[0-9a-fA-F]{{3}}[89abAB][0-9a-fA-F]{{15}})$')"
+
+
+@query("uuid_tokens", f"SELECT k, {_UUID.format('token')} AS uuid, {_UUID.format('run')} AS inside FROM ({_uuids.sql})")
 def uuid_tokens(spark, sf_dir):
-    h = F.md5(F.col("o_orderkey").cast("string").cast("binary"))
-    dashed = F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-4"), F.substring(h, 13, 3), F.lit("-a"), F.substring(h, 16, 3), F.lit("-"), F.substring(h, 19, 12))
-    flat = F.concat(F.substring(h, 1, 12), F.lit("4"), F.substring(h, 13, 3), F.lit("8"), F.substring(h, 16, 15))
-    token = F.when(F.col("o_orderkey") % 3 == 0, dashed).when(F.col("o_orderkey") % 3 == 1, flat).otherwise(F.concat(F.substring(h, 1, 12), F.lit("5"), F.substring(h, 13, 19)))
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), X.uuid_token(token).alias("uuid"))
+    """Tokens that are a UUID of version 4; and, in the matcher, whether a part of a line lies in one."""
+    from ..detect.engine import in_uuid
+
+    rows = matched(_uuids.rows(spark, sf_dir), ["token", "line"], lambda: lambda token, line: (token, in_uuid(line, line.index(token) + 9, line.index(token) + 12)), "token string, inside boolean")
+    return rows.select("k", X.uuid_token(F.col("token")).alias("uuid"), "inside")
+
+
+_gated = Grid("part", "p_partkey").pick("a", ("Name", "様", "no", "氏 名", "TEL.")).pick("b", ("：１２", " 3-4", "(5) 6", "x", "／７８")).add("line", "a || b")
+
+
+@query("text_gates", f"SELECT k, contains(lower(line), 'name') OR contains(line, '様') OR contains(line, '氏名') AS literal, regexp_replace(line, '[^0-9]', '', 'g') AS digits, regexp_replace(line, '[- .()/]', '', 'g') AS bare, regexp_matches(line, '[0-9]') AS digit, regexp_matches(line, '[\u3000-\U0010FFFF]') AS cjk FROM ({_gated.sql})")
+def text_gates(spark, sf_dir):
+    """What the gates of the rules ask of a line, and numbers without what stands between their digits."""
+    c = F.col("line")
+    return _gated.rows(spark, sf_dir).select("k", X.has_literal(c, ["name", "様", "氏名"]).alias("literal"), X.digits_only(c).alias("digits"), X.strip_separators(c).alias("bare"), X.has_digit(c).alias("digit"), X.has_cjk(c).alias("cjk"))

@@ -534,16 +534,6 @@ def scan_derived_texts(spark, sf_dir):
     return found.select("k", "rule_id", "line", "column", "match", "confidence")
 
 
-@query("scan_hunks", "SELECT o_orderkey AS k, 'jp-phone-number' AS rule_id, CAST(o_orderkey % 100 + 2 AS INTEGER) AS line FROM orders WHERE o_orderkey % 2 = 0")
-def scan_hunks(spark, sf_dir):
-    """Only values on added lines are findings; unchanged lines give context."""
-    k = F.col("o_orderkey")
-    number = F.concat(F.lit("090-1234-"), _pad(k % 10000, 4))
-    texts = F.array(F.concat(F.lit("電話 "), number), number)
-    t = table(spark, sf_dir, "orders").select(k.alias("k"), F.lit("a.txt").alias("file"), (k % 100 + 1).cast("int").alias("first_line"), texts.alias("texts"), F.array(F.lit(False), k % 2 == 0).alias("added"))
-    return S.scan_hunks(t.repartition(spark.sparkContext.defaultParallelism)).select("k", "rule_id", "line")
-
-
 @query("dropped_reasons")
 def dropped_reasons(spark, sf_dir):
     return S.dropped(table(spark, sf_dir, "documents").select("doc_id", "text")).groupBy("rule_id", "reason").agg(F.count("*").alias("n"))

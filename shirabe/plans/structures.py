@@ -10,7 +10,9 @@ from ..functions import checks as C
 from ..operators import evaluate as E
 from ..operators import scan as S
 from ..sources import files
+from . import families
 from .checks import _Y, sql_mask, sql_same, table
+from .grids import Grid
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -110,13 +112,18 @@ def name_line_pairs(spark, sf_dir):
     return _scanned(_accounts(spark, sf_dir), text, "a.txt")
 
 
-@query("decoded_files", "SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 4 THEN NULL ELSE '口座番号: ' || CAST(c_custkey AS VARCHAR) || ' テストabcdefghijkl' END AS text FROM customer")
+_LABEL, _END = "口座番号: ", " テストabcdefghijkl"
+
+
+@query("decoded_files", f"SELECT c_custkey AS k, CASE WHEN c_custkey % 9 IN (4, 8) THEN NULL ELSE '{_LABEL}' || CAST(c_custkey AS VARCHAR) || '{_END}' END AS text FROM customer")
 def decoded_files(spark, sf_dir):
-    """Bytes in UTF-8, UTF-16 with a mark or without, and none of these."""
+    """Bytes in UTF-8, UTF-16 with a mark or without, Shift_JIS, EUC-JP, ISO-2022-JP, and none of these."""
     k = F.col("c_custkey")
-    text = F.concat(F.lit("口座番号: "), k.cast("string"), F.lit(" テストabcdefghijkl"))
-    le, be = F.encode(text, "UTF-16LE"), F.encode(text, "UTF-16BE")
-    raw = F.when(k % 5 == 0, F.encode(text, "UTF-8")).when(k % 5 == 1, F.concat(F.unhex(F.lit("FFFE")), le)).when(k % 5 == 2, F.concat(F.unhex(F.lit("FEFF")), be)).when(k % 5 == 3, le).otherwise(F.unhex(F.lit("00FF" + "07" * 20)))
+    text = F.concat(F.lit(_LABEL), k.cast("string"), F.lit(_END))
+    le, be, number = F.encode(text, "UTF-16LE"), F.encode(text, "UTF-16BE"), F.encode(k.cast("string"), "UTF-8")
+    old = lambda name: F.concat(F.unhex(F.lit(_LABEL.encode(name).hex())), number, F.unhex(F.lit(_END.encode(name).hex())))
+    raw = F.when(k % 9 == 0, F.encode(text, "UTF-8")).when(k % 9 == 1, F.concat(F.unhex(F.lit("FFFE")), le)).when(k % 9 == 2, F.concat(F.unhex(F.lit("FEFF")), be)).when(k % 9 == 3, le).when(k % 9 == 4, F.unhex(F.lit("00FF" + "07" * 20)))
+    raw = raw.when(k % 9 == 5, old("cp932")).when(k % 9 == 6, old("euc_jp")).when(k % 9 == 7, old("iso2022_jp")).otherwise(F.unhex(F.lit("FEFFD800")))
     return files.decoded(table(spark, sf_dir, "customer").select(k.alias("k"), raw.alias("content")))
 
 
@@ -129,11 +136,65 @@ def escapes_read(spark, sf_dir):
     return files.unescaped(table(spark, sf_dir, "customer").select(k.alias("k"), raw.alias("text")))
 
 
-_SPANS = "SELECT l_orderkey AS k, min(CAST(l_partkey % 40 AS INTEGER)) AS s, min(CAST(l_partkey % 40 AS INTEGER)) + 5 AS e, min(CAST(l_suppkey % 40 AS INTEGER)) AS fs, min(CAST(l_suppkey % 40 AS INTEGER)) + 6 AS fe FROM lineitem GROUP BY l_orderkey"
+_WANTED = "SELECT l_orderkey AS k, CAST(l_partkey % 9 AS INTEGER) AS start, CAST(l_partkey % 9 + 5 AS INTEGER) AS z FROM lineitem"
+_FOUND = "SELECT l_orderkey AS k, CAST(l_suppkey % 9 AS INTEGER) AS start, CAST(l_suppkey % 9 + 4 + l_linenumber % 3 AS INTEGER) AS z FROM lineitem WHERE l_linenumber < 6"
 
 
-@query("span_matching", f"SELECT k, 1 AS n_wanted, 1 AS n_found, 0 AS exact, CASE WHEN fs <= s AND e <= fe THEN 1 ELSE 0 END AS containment, CASE WHEN s < fe AND fs < e THEN 1 ELSE 0 END AS relaxed FROM ({_SPANS})")
+@query(
+    "span_matching",
+    f"WITH w AS (SELECT k, start, z, count(*) AS n FROM ({_WANTED}) GROUP BY ALL), f AS (SELECT k, start, z, count(*) AS n FROM ({_FOUND}) GROUP BY ALL), e AS (SELECT k, CAST(sum(least(w.n, f.n)) AS INTEGER) AS exact FROM w JOIN f USING (k, start, z) GROUP BY k), "
+    f"a AS (SELECT k, CAST(count(*) AS INTEGER) AS n_wanted FROM ({_WANTED}) GROUP BY k), b AS (SELECT k, CAST(count(*) AS INTEGER) AS n_found FROM ({_FOUND}) GROUP BY k) SELECT k, n_wanted, coalesce(n_found, 0) AS n_found, coalesce(exact, 0) AS exact FROM a LEFT JOIN b USING (k) LEFT JOIN e USING (k)",
+)
 def span_matching(spark, sf_dir):
-    """One wanted and one found span a case; the matching handles any number (see the tests)."""
-    t = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.min((F.col("l_partkey") % 40).cast("int")).alias("s"), F.min((F.col("l_suppkey") % 40).cast("int")).alias("f"))
-    return E.span_matches(t.select("k", F.col("s").alias("start"), (F.col("s") + 5).alias("end")), t.select("k", F.col("f").alias("start"), (F.col("f") + 6).alias("end")), ["k"])
+    """All wanted and found spans of each order, matched one to one; SQL can state the exact matches, of which the
+    largest number is a count (containment and overlap are held against brute force in the tests)."""
+    n = F.col("l_linenumber")
+    t = table(spark, sf_dir, "lineitem")
+    a, f = (F.col("l_partkey") % 9).cast("int"), (F.col("l_suppkey") % 9).cast("int")
+    wanted = t.select(F.col("l_orderkey").alias("k"), a.alias("start"), (a + 5).alias("end"))
+    found = t.where("l_linenumber < 6").select(F.col("l_orderkey").alias("k"), f.alias("start"), (f + 4 + n % 3).cast("int").alias("end"))
+    return E.span_matches(wanted, found, ["k"]).select("k", "n_wanted", "n_found", "exact")
+
+
+_record = Grid().pick("quote", ("\"山\n田\"", "山田", "\"山,\n\n田\"")).pick("head", ("口座番号", "注文番号", "account_no")).digits("d", 7, 10**6).add("text", "'会員名,' || head || chr(10) || quote || ',' || d || chr(10) || 'x,' || d || chr(10)")
+_BREAKS = "(length(quote) - length(replace(quote, chr(10), '')))"
+
+
+@query(
+    "csv_quoted_records",
+    f"SELECT k, 'jp-bank-account' AS rule_id, CAST({_BREAKS} + 2 + i AS INTEGER) AS line, CAST(CASE WHEN i = 1 THEN 3 ELSE length(string_split(quote, chr(10))[-1]) + 2 END AS INTEGER) AS \"column\", d AS match, 2 AS confidence FROM (SELECT *, unnest([0, 1]) AS i FROM ({_record.sql})) WHERE head <> '注文番号' AND NOT (i = 0 AND {_BREAKS} > 0) AND NOT {sql_same('d')}",
+)
+def csv_quoted_records(spark, sf_dir):
+    """Records with line breaks in quoted fields are passed over; the records after them still belong to their columns."""
+    rows = _record.rows(spark, sf_dir).select("k", "text", F.lit("a.csv").alias("file")).repartition(spark.sparkContext.defaultParallelism)
+    return S.scan_documents(rows, path_col="file", config=families.only("jp-bank-account")).select("k", "rule_id", "line", "column", "match", "confidence")
+
+
+_hunk = Grid("orders", "o_orderkey").digits("d", 7, 10**6).pick("label", ("口座番号:", "普通預金", "値", "注文番号:")).pick("label_added", ("yes", "no")).pick("value_added", ("yes", "no", "yes")).pick("after", ("円", "備考", "")).pick("after_added", ("yes", "no")).add("first_line", "CAST(k % 100 + 1 AS INT)")
+
+
+@query("scan_hunks", f"SELECT k, 'jp-bank-account' AS rule_id, first_line + 1 AS line, 1 AS \"column\", d AS match FROM ({_hunk.sql}) WHERE value_added = 'yes' AND label IN ('口座番号:', '普通預金') AND NOT (after = '円' AND after_added = 'yes') AND NOT {sql_same('d')}")
+def scan_hunks(spark, sf_dir):
+    """Only values on added lines are findings; unchanged lines give context, but never against."""
+    t = _hunk.rows(spark, sf_dir)
+    yes = lambda c: F.col(c) == "yes"
+    t = t.select("k", F.lit("a.txt").alias("file"), "first_line", F.array("label", "d", "after").alias("texts"), F.array(yes("label_added"), yes("value_added"), yes("after_added")).alias("added"))
+    return S.scan_hunks(t.repartition(spark.sparkContext.defaultParallelism), config=families.only("jp-bank-account")).select("k", "rule_id", "line", "column", "match")
+
+
+_single = Grid("orders", "o_orderkey").pick("label", ("口座番号", "値")).pick("glue", (": ", "\n")).digits("d", 7, 10**6).add("line", "label || glue || d")
+
+
+@query("scan_single_lines", f"SELECT k, 'jp-bank-account' AS rule_id, CAST(length(label || glue) + 1 AS INTEGER) AS \"column\" FROM ({_single.sql}) WHERE label = '口座番号' AND NOT {sql_same('d')}")
+def scan_single_lines(spark, sf_dir):
+    """Lines by themselves: what a text is broken into, no line knows."""
+    return S.scan_lines(_single.rows(spark, sf_dir).select("k", "line"), "line", families.only("jp-bank-account")).select("k", "rule_id", "column")
+
+
+@query("confidence_misses", "SELECT rule_id, count(*) FILTER (WHERE NOT wanted) AS finding_fp, count(*) FILTER (WHERE wanted AND asked IS NOT NULL AND asked <> confidence) AS confidence_miss FROM (SELECT 'r' || CAST(doc_id % 3 AS VARCHAR) AS rule_id, quality = 1 AS wanted, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE doc_id % 2 + 2 END AS asked, doc_id % 3 + 1 AS confidence FROM labels WHERE toxic = 1 OR doc_id % 5 <> 0) GROUP BY rule_id")
+def confidence_misses(spark, sf_dir):
+    """Findings that no case wants, and wanted ones found with another confidence than the case asks for."""
+    d = F.col("doc_id")
+    rows = table(spark, sf_dir, "labels").withColumn("rule_id", F.concat(F.lit("r"), (d % 3).cast("string")))
+    wanted = rows.where("quality = 1").select("doc_id", "rule_id", F.when(d % 4 == 0, None).otherwise(d % 2 + 2).alias("confidence"))
+    return E.confidence_misses(wanted, rows.where("toxic = 1 OR doc_id % 5 <> 0").select("doc_id", "rule_id", (d % 3 + 1).alias("confidence")), ["doc_id"])

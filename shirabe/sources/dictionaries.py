@@ -68,4 +68,4 @@ def homographs(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 def sampled(words: DataFrame, most: int, seed: int = 7) -> DataFrame:
     """At most ``most`` words in the order of a seeded hash, the same ones at every run: examples for generated cases."""
-    return words.select("word").distinct().orderBy(F.xxhash64(F.lit(seed), "word"), "word").limit(most)
+    return words.select("word").distinct().orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "word").cast("binary")), "word").limit(most)
