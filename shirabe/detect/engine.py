@@ -35,6 +35,7 @@ class Config:
     allow_paths: tuple[str, ...] = ()
     markers: tuple[str, ...] = IGNORE_MARKERS
     log_drops: bool = False
+    retained: int = RETAINED  # low candidates that a text keeps for a boost
 
 
 @dataclass
@@ -135,11 +136,17 @@ def is_test_path(path: str) -> bool:
     return any(p in W.TEST_FOLDERS for p in parts) or bool(re.search(r"_test\.go\Z|\.spec\.|\.test\.", parts[-1]))
 
 
+_SIX, _HIGH, _DIGIT = re.compile("[0-9](?:[^0-9]{0,3}[0-9]){5}"), re.compile("[^\x00-\u2fff]"), re.compile("[0-9]")
 _NO_DIGITS = str.maketrans("", "", "0123456789")
 #: Fewer digits than these make no valid value of a rule.
 _LEAST = {"jp-my-number": 12, "jp-phone-number": 9, "jp-postal-code": 7, "credit-card": 13, "jp-drivers-license": 12, "jp-passport": 7, "jp-pension-number": 10, "jp-residence-card": 8, "jp-bank-account": 7, "jp-yucho-account": 12, "jp-health-insurance": 6, "jp-employment-insurance": 11, "jp-kaigo-insurance": 10, "jp-juminhyo-code": 11, "jp-invoice-number": 13}
 
 
+#: Rules of which each match has a digit among its first characters, at most so many before it, and none of any
+#: length after its last one.
+_NUMERIC, _LEAD = frozenset(_LEAST) - {"jp-yucho-account", "jp-health-insurance"}, 24
+
+
 class _Plan:
     """What a line must have, by cheap tests, for a rule to find anything in it."""
 
@@ -173,22 +180,35 @@ class Detector:
             self.by_id.setdefault(r.id, r)
         self.drops: list[Drop] = []
         self.plans = [_Plan(r) for r in self.rules]
-        self.gate = re.compile("|".join(["[^\\x00-\u2fff]", *self._gates()]))
-
-    def _gates(self) -> list[str]:
-        """Regexes (for Python and Java alike) of which one matches every text with a finding, if it has nothing
-        from U+3000 on: an @, a number of six digits however written, a date's label, a word that an ungated
-        rule asks for. Rules of the user's own may find anything."""
         own = [r for r in self.rules if not r.gate]
-        if any(not r.literals for r in own):
-            return [""]
-        words = {"dob", "birth", *(w for r in own for w in r.literals)}
-        return ["@", "[0-9](?:[^0-9]{0,3}[0-9]){5}", *(f"(?i:{re.escape(w)})" for w in sorted(words))]
+        #: Words, in lower case, that a line may have instead of signs; None: rules of the user's own may find anything.
+        self.gate_words = None if any(not r.literals for r in own) else sorted({"dob", "birth", *(w.lower() for r in own for w in r.literals)})
+
+    def gate(self, c):
+        """Whether a text (a column) can have findings: an @, a number of six digits however written (over blank
+        lines as well), anything from U+3000 on, or a word that an ungated rule asks for."""
+        from pyspark.sql import functions as F
+
+        if self.gate_words is None:
+            return F.lit(True)
+        out = F.contains(c, F.lit("@")) | c.rlike("[0-9](?:[^0-9]{0,3}\\s*[^0-9]{0,3}[0-9]){5}") | c.rlike("[\\x{3000}-\\x{10FFFF}]")
+        low = F.lower(c)
+        for w in self.gate_words:
+            out = out | F.contains(low, F.lit(w))
+        return out
 
-    def gate_pattern(self) -> str:
-        """A Java regex that every text with a finding matches; empty if there is none."""
-        gates = self._gates()
-        return "" if "" in gates else "|".join(["[\\x{3000}-\\x{10FFFF}]", *gates])
+    def opens(self, line: str, words: list[str] | None) -> bool:
+        """The same of a line; ``words``: those of the gate that the text has at all."""
+        if words is None or "@" in line or _SIX.search(line) or (not line.isascii() and _HIGH.search(line)):
+            return True
+        low = line.lower() if words else ""
+        return any(w in low for w in words)
+
+    def _words_in(self, text: str) -> list[str] | None:
+        if self.gate_words is None:
+            return None
+        low = text.lower()
+        return [w for w in self.gate_words if w in low]
 
     # --- one line --------------------------------------------------------------------------------------------
     def _drop(self, rule_id, line, column, reason, confidence):
@@ -218,14 +238,16 @@ class Detector:
             return False
         return X.negative_near(norm, start, end, r.negative, r.context, mode)
 
-    def match_line(self, text: str, number: int = 1, line: S.Line | None = None, near: int = R.NEAR, budget: list[int] | None = None) -> list[Finding]:
-        """All rules over one line (or two, joined), markers aside."""
-        if not text or not self.gate.search(text):
-            return []
+    def match_line(self, text: str, number: int = 1, line: S.Line | None = None, near: int = R.NEAR, budget: list[int] | None = None, norm: str | None = None) -> list[Finding]:
+        """All rules over one line (or two, joined), markers aside. norm: the line's normalised form, of a line that
+        is known to pass the gate."""
+        if norm is None:
+            if not text or not self.opens(text, self.gate_words):
+                return []
+            norm = normalize_line(text)
         line = line or S.Line()
-        norm = normalize_line(text)
         low = norm.lower()
-        gates = {"": True, "digit": any("0" <= c <= "9" for c in norm), "at": "@" in norm, "cjk": not norm.isascii() and any(c >= "　" for c in norm)}
+        gates = {"": True, "digit": _DIGIT.search(norm) is not None, "at": "@" in norm, "cjk": not norm.isascii() and _HIGH.search(norm) is not None}
         found: list[Finding] = []
         n_digits = len(norm) - len(norm.translate(_NO_DIGITS)) if gates["digit"] else 0
         for r, plan in zip(self.rules, self.plans):
@@ -240,14 +262,24 @@ class Detector:
         return out
 
     def _matches(self, r, shape, text, norm, number, line, near, budget, found):
-        at = 0
+        at, numeric = 0, r.id in _NUMERIC
+        stop = max(map(norm.rfind, "0123456789")) + 1 + _LEAD if numeric else len(norm)
         while at < len(norm):
             # The guards before a value may match at the start of what is left, so what is left is cut off.
-            m = shape.pattern.search(norm[at:] if at else norm)
+            begin = at
+            if numeric:  # what lies far from any digit needs no look
+                first = _DIGIT.search(norm, at)
+                if first is None:
+                    return
+                begin = max(at, first.start() - _LEAD)
+            if begin > at:
+                m, shift = shape.pattern.search(norm, begin, stop), 0
+            else:
+                m, shift = shape.pattern.search(norm[at:stop] if at or stop < len(norm) else norm), at
             if m is None:
                 return
             group = 1 if m.re.groups and m.start(1) >= 0 else 0
-            start, end, whole = m.start(group) + at, m.end(group) + at, (m.start() + at, m.end() + at)
+            start, end, whole = m.start(group) + shift, m.end(group) + shift, (m.start() + shift, m.end() + shift)
             at = end if end > at else at + 1
             f, why = self._judge(r, shape, norm, start, end, whole, line, near, budget)
             if f is None:
@@ -299,15 +331,17 @@ class Detector:
             f.fail_only = not f.retained
         return f, None
 
-    def scan_line(self, text: str, number: int = 1, line: S.Line | None = None, budget=None) -> list[Finding]:
-        return [] if not text or self.ignored(text) else self.match_line(text, number, line, budget=budget)
+    def scan_line(self, text: str, number: int = 1, line: S.Line | None = None, budget=None, norm: str | None = None) -> list[Finding]:
+        return [] if not text or self.ignored(text) else self.match_line(text, number, line, budget=budget, norm=norm)
 
     # --- lines together ----------------------------------------------------------------------------------------
-    def _adjacent(self, i: int, j: int, lines, contexts, added=None) -> list[Finding]:
+    def _adjacent(self, i: int, j: int, lines, norms, opened, contexts, added=None) -> list[Finding]:
         """Two neighbouring lines as one text; values that lie in one of them."""
         first, second = lines[i], lines[j]
+        if not (opened[i] or opened[j]) and not (_DIGIT.search(first[-3:]) and _DIGIT.search(second[:3]) and _SIX.search(first[-24:] + "\n" + second[:24])):
+            return []
         cut, out = len(first), []
-        for f in self.match_line(first + "\n" + second, i + 1):
+        for f in self.match_line(first + "\n" + second, i + 1, norm=norms[i] + "\n" + norms[j]):
             if f.end <= cut:
                 k, crosses = i, f.whole[1] > cut + 1
             elif f.start > cut:
@@ -422,12 +456,14 @@ class Detector:
         """The findings of a whole text."""
         lines = [x.removesuffix("\r") for x in text.split("\n")]
         norms = [normalize_line(x) for x in lines]
+        words = self._words_in(text)
+        opened = [self.opens(x, words) for x in lines]
         contexts = S.line_contexts(path, norms)
-        budget = [RETAINED] if self.config.boost else None
+        budget = [self.config.retained] if self.config.boost else None
         before, after = neighbours(lines)
         pairs = [(i, j) for i, j in enumerate(after) if j >= 0 and lines[i].strip()]
-        found = [f for i, x in enumerate(lines) for f in self.scan_line(x, i + 1, contexts[i], budget)]
-        found += [f for i, j in pairs for f in self._adjacent(i, j, lines, contexts)]
+        found = [f for i, x in enumerate(lines) if opened[i] for f in self.scan_line(x, i + 1, contexts[i], budget, norms[i])]
+        found += [f for i, j in pairs for f in self._adjacent(i, j, lines, norms, opened, contexts)]
         found += self._yucho_pairs(pairs, lines, norms)
         if self.names and R.MEDIUM >= self.floor:
             found += self._name_pairs(pairs, lines, norms) + self._column_names(path, lines, norms)
@@ -446,11 +482,12 @@ class Detector:
         """The findings on the added lines of a hunk. Unchanged lines give context, but never against."""
         lines = [x.removesuffix("\r") for x in texts]
         norms = [normalize_line(x) for x in lines]
+        opened = [self.opens(x, self.gate_words) for x in lines]
         contexts = S.diff_contexts(path, norms, added, header, post_image, first_line)
         before, after = neighbours(lines)
         pairs = [(i, j) for i, j in enumerate(after) if j >= 0 and lines[i].strip()]
         found = [f for i, x in enumerate(lines) if added[i] for f in self.scan_line(x, i + 1, contexts[i])]
-        found += [f for i, j in pairs if added[i] or added[j] for f in self._adjacent(i, j, lines, contexts, added)]
+        found += [f for i, j in pairs if added[i] or added[j] for f in self._adjacent(i, j, lines, norms, opened, contexts, added)]
         found += [f for f in self._yucho_pairs(pairs, lines, norms) if added[f.line - 1]]
         own = [n if a else "" for n, a in zip(norms, added)]
         b, a = neighbours(own)

@@ -32,8 +32,12 @@ def normalize(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, _FROM, _TO), _LONG.pattern, "-")
 
 
+#: Whether a line has anything to normalise; most lines of any language have not.
+_ODD = re.compile("[" + "".join(map(re.escape, map(chr, TABLE))) + "ー゠]")
+
+
 def normalize_line(s: str) -> str:
-    if s.isascii():
+    if s.isascii() or not _ODD.search(s):
         return s
     out = list(s.translate(TABLE))
     for i, ch in enumerate(out):

@@ -32,8 +32,12 @@ def _rows_of(df: DataFrame, inputs: list[str], schema: T.StructType, make: Calla
     """Each row's values of ``inputs`` to any number of rows, beside the other columns."""
     keys = [c for c in df.columns if c not in inputs]
     clash = {f.name for f in schema}
-    for c in [k for k in keys if k in clash]:
-        df, keys = df.withColumnRenamed(c, f"{c}_in"), [f"{k}_in" if k == c else k for k in keys]
+    low = {c.lower() for c in clash}
+    for c in [k for k in keys if k.lower() in low]:
+        new = f"{c}_in"
+        while new.lower() in low | {x.lower() for x in df.columns}:
+            new += "_"
+        df, keys = df.withColumnRenamed(c, new), [new if k == c else k for k in keys]
     df = df.select(*keys, *inputs)
     out = T.StructType([*(df.schema[k] for k in keys), *schema.fields])
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -60,13 +64,7 @@ def _rows_of(df: DataFrame, inputs: list[str], schema: T.StructType, make: Calla
 def scan_documents(df: DataFrame, text_col: str = "text", path_col: str | None = None, config: Config | None = None) -> DataFrame:
     """Findings of every text, beside the other columns. The path tells a file's kind; null texts have none."""
     config = config or Config()
-    gate = Detector(config).gate_pattern()
-    if gate:
-        df = df.where(F.col(text_col).rlike(gate))
-    path = path_col or "__path"
-    if path_col is None:
-        df = df.withColumn(path, F.lit(""))
-    df = df.withColumn("__file", F.col(path))
+    df, file = _with_file(df.where(Detector(config).gate(F.col(text_col))), path_col)
 
     def make():
         d = Detector(config)
@@ -77,9 +75,15 @@ def scan_documents(df: DataFrame, text_col: str = "text", path_col: str | None =
 
         return f
 
-    if path_col is None:
-        df = df.drop(path)
-    return _rows_of(df, [text_col, "__file"], FINDING, make)
+    return _rows_of(df, [text_col, file], FINDING, make)
+
+
+def _with_file(df: DataFrame, path_col: str | None) -> tuple[DataFrame, str]:
+    """``df`` with the path in a column of a new name, and the name."""
+    name, taken = "__file", {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return df.withColumn(name, F.col(path_col).cast("string") if path_col else F.lit("")), name
 
 
 def scan_lines(df: DataFrame, line_col: str = "line_text", config: Config | None = None) -> DataFrame:
@@ -93,11 +97,15 @@ def scan_lines(df: DataFrame, line_col: str = "line_text", config: Config | None
     return _rows_of(df, [line_col], FINDING, make)
 
 
-def dropped(df: DataFrame, text_col: str = "text", path_col: str | None = None, config: Config | None = None, most: int = 1000) -> DataFrame:
-    """Candidates that were dropped, and why: at most ``most`` for each text, with ``truncated`` if there were
-    more (the log is a report)."""
+#: Drops of a text that a report lists, at most.
+LISTED = 1000
+
+
+def dropped(df: DataFrame, text_col: str = "text", path_col: str | None = None, config: Config | None = None, most: int | None = LISTED) -> DataFrame:
+    """Candidates that were dropped, and why: at most ``most`` for each text (None: all), with ``truncated`` if there
+    were more (the log is a report; counts are of :func:`dropped_counts`)."""
     config = config or Config()
-    df = df.withColumn("__file", F.col(path_col) if path_col else F.lit(""))
+    df, file = _with_file(df.where(Detector(config).gate(F.col(text_col))), path_col)
     schema = T.StructType([*DROP.fields, T.StructField("truncated", _B)])
 
     def make():
@@ -109,11 +117,16 @@ def dropped(df: DataFrame, text_col: str = "text", path_col: str | None = None,
             d.drops = []
             if text:
                 d.scan(text, file or "")
-            return [{"rule_id": x.rule_id, "line": x.line, "column": x.column, "reason": x.reason, "base_confidence": R.LEVELS[x.confidence], "truncated": len(d.drops) > most} for x in d.drops[:most]]
+            return [{"rule_id": x.rule_id, "line": x.line, "column": x.column, "reason": x.reason, "base_confidence": R.LEVELS[x.confidence], "truncated": most is not None and len(d.drops) > most} for x in d.drops[:most]]
 
         return f
 
-    return _rows_of(df, [text_col, "__file"], schema, make)
+    return _rows_of(df, [text_col, file], schema, make)
+
+
+def dropped_counts(df: DataFrame, text_col: str = "text", path_col: str | None = None, config: Config | None = None) -> DataFrame:
+    """(rule_id, reason, n) over every dropped candidate of all texts."""
+    return dropped(df, text_col, path_col, config, most=None).groupBy("rule_id", "reason").agg(F.count("*").alias("n"))
 
 
 def scan_hunks(df: DataFrame, config: Config | None = None) -> DataFrame:
@@ -122,33 +135,63 @@ def scan_hunks(df: DataFrame, config: Config | None = None) -> DataFrame:
     for c in ("csv_header", "post_image"):
         if c not in df.columns:
             df = df.withColumn(c, F.lit(""))
-    df = df.withColumn("__file", F.col("file"))
+    df, name = _with_file(df, "file")
 
     def make():
         d = Detector(config)
         return lambda file, first, texts, added, header, post: [as_row(x) for x in d.scan_hunk(file or "", first, texts, added, header or "", post or "")]
 
-    return _rows_of(df, ["__file", "first_line", "texts", "added", "csv_header", "post_image"], FINDING, make)
+    return _rows_of(df, [name, "first_line", "texts", "added", "csv_header", "post_image"], FINDING, make)
+
 
+class _TooLong(Exception):
+    pass
 
-def external_candidates(df: DataFrame, recognize: Callable[[str, str], list[dict]], text_col: str = "text", path_col: str | None = None, most: int = 1000, config: Config | None = None) -> DataFrame:
+
+def _bounded(recognize: Callable, seconds: float | None) -> Callable:
+    """``recognize`` whose call ends after ``seconds`` (by a timer's signal, in the worker's main thread), and whose
+    failure gives no candidates."""
+    import signal
+    import threading
+
+    def stop(*_):
+        raise _TooLong
+
+    def f(path, text):
+        timed = seconds is not None and threading.current_thread() is threading.main_thread() and hasattr(signal, "setitimer")
+        try:
+            if timed:
+                before = signal.signal(signal.SIGALRM, stop)
+                signal.setitimer(signal.ITIMER_REAL, seconds)
+            return list(recognize(path, text))
+        except Exception:  # whatever a recognizer of the user's own raises; its text has our findings only
+            return []
+        finally:
+            if timed:
+                signal.setitimer(signal.ITIMER_REAL, 0)
+                signal.signal(signal.SIGALRM, before)
+
+    return f
+
+
+def external_candidates(df: DataFrame, recognize: Callable[[str, str], list[dict]], text_col: str = "text", path_col: str | None = None, most: int = 1000, config: Config | None = None, seconds: float | None = 30.0) -> DataFrame:
     """Findings of a recognizer of the user's own, beside ours and resolved with them.
 
     ``recognize(path, text)`` returns dicts of rule_id, line, column, length and confidence. A rule id must
     begin with ``x-``; if any candidate of a text is out of range, or there are more than ``most``, all of that
-    text's are discarded."""
+    text's are discarded, and so they are if the recognizer raises or takes more than ``seconds`` over it."""
     config = config or Config()
-    df = df.withColumn("__file", F.col(path_col) if path_col else F.lit(""))
+    df, name = _with_file(df, path_col)
     levels = {v: k for k, v in R.LEVELS.items()}
 
     def make():
         from ..detect.engine import settle
 
-        d = Detector(config)
+        d, ask = Detector(config), _bounded(recognize, seconds)
 
         def theirs(text, file):
             lines, out = [x.removesuffix("\r") for x in text.split("\n")], []
-            got = list(recognize(file, text))
+            got = ask(file, text)
             if len(got) > most:
                 return []
             for c in got:
@@ -167,7 +210,7 @@ def external_candidates(df: DataFrame, recognize: Callable[[str, str], list[dict
 
         return f
 
-    return _rows_of(df, [text_col, "__file"], FINDING, make)
+    return _rows_of(df, [text_col, name], FINDING, make)
 
 
 def rules_listing(spark, config: Config | None = None) -> DataFrame:

@@ -536,7 +536,8 @@ def scan_derived_texts(spark, sf_dir):
 
 @query("dropped_reasons")
 def dropped_reasons(spark, sf_dir):
-    return S.dropped(table(spark, sf_dir, "documents").select("doc_id", "text")).groupBy("rule_id", "reason").agg(F.count("*").alias("n"))
+    """Every dropped candidate of the documents, counted by rule and reason."""
+    return S.dropped_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query("external_candidates", "SELECT 'x-license' AS rule_id, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line LIKE 'Licensed%'")

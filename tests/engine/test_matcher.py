@@ -188,8 +188,32 @@ def test_gates_lose_nothing():
 
     r = random.Random(11)
     open_ = Detector(Config(high_recall=True))
-    open_.gate = re.compile("")
+    open_.gate_words = None
     parts = "dob: H1/2/3 birthday 1990-1-2 tel (0123) 45-6789 +81 90 1234 5678 card 4000-0012-3456-7899 passport TK 1234567 full_name: Taro Yamada 090.1234.5678 pension 1234.567890 zip code 150-0043 kouza 123/4567 hokensha 1234 5678 x a@b.jp 12 3 45".split(" ")
     for _ in range(3000):
         text = "".join(r.choice(parts) + r.choice(["", " ", " ", "\n"]) for _ in range(r.randint(1, 6)))
         assert [(f.rule_id, f.line, f.start, f.end, f.score) for f in ALL.scan(text)] == [(f.rule_id, f.line, f.start, f.end, f.score) for f in open_.scan(text)]
+
+
+def test_looking_near_digits_loses_nothing(monkeypatch):
+    """The whole line searched, and near its digits only; every line opened, and by the gate; old texts, new results."""
+    import random
+
+    import pyarrow.parquet as pq
+
+    from shirabe.detect import engine
+
+    r = random.Random(21)
+    parts = "〒150-0043 〒 1500043 TK1234567 AB12345678CD T1234567890123 (0123)45-6789 +81-3-1234-5678 6.5 口座番号 普通預金 1234567 旅券 1234.567890 12/3456 x  、 。 個人番号 123456789018 123456 789018 伝票番号".split(" ")
+    texts = ["".join(r.choice(parts) + r.choice(["", " ", "な" * r.choice([1, 30]), "\n"]) for _ in range(r.randint(1, 9))) for _ in range(1500)]
+    texts += pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()
+    for config in (Config(high_recall=True), Config(log_drops=True)):
+        now = Detector(config)
+        got = [[(f.rule_id, f.line, f.start, f.end, f.confidence, f.score, f.whole) for f in now.scan(t)] for t in texts], [(x.rule_id, x.line, x.column, x.reason) for x in now.drops]
+        with monkeypatch.context() as m:
+            m.setattr(engine, "_NUMERIC", frozenset())
+            whole = Detector(config)
+            whole.gate_words = None
+            want = [[(f.rule_id, f.line, f.start, f.end, f.confidence, f.score, f.whole) for f in whole.scan(t)] for t in texts], [(x.rule_id, x.line, x.column, x.reason) for x in whole.drops]
+        assert got[0] == want[0] and sum(map(len, got[0])) > 500
+        assert set(got[1]) <= set(want[1])

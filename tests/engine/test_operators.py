@@ -35,11 +35,10 @@ def test_scan_documents(spark):
 def test_gate_keeps_every_text_with_findings(spark):
     for c in (Config(), Config(high_recall=True), Config(custom=(R.custom_rule("own", "secret"),))):
         d = Detector(c)
-        p = d.gate_pattern()
-        texts = ["full_name: Taro Yamada", "FULL_NAME: Taro Yamada", "０９０-1234-5678", "secret", TEXT, "x"]
+        texts = ["full_name: Taro Yamada", "FULL_NAME: Taro Yamada", "０９０-1234-5678", "secret", TEXT, "x", "tel 12\n  \n \n3456", "date of birth: 1990-1-2", None]
         df = spark.createDataFrame([(t,) for t in texts], "text string")
-        kept = {r.text for r in (df.where(F.col("text").rlike(p)) if p else df).collect()}
-        assert {t for t in texts if d.scan(t)} <= kept
+        kept = {r.text for r in df.where(d.gate(F.col("text"))).collect()}
+        assert {t for t in texts if t and d.scan(t)} <= kept
 
 
 def test_resolution_same_as_in_the_matcher(spark):
@@ -193,3 +192,36 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() == 3 and "090-1234-5678" not in {r.match for r in got.collect()}
+
+
+def test_columns_of_the_same_names_are_kept(spark):
+    df = spark.createDataFrame([(1, TEXT, "a.txt", "mine", "theirs", 5)], "i int, text string, __file string, match string, match_in string, `Line` int")
+    got = S.scan_documents(df)
+    assert len(set(map(str.lower, got.columns))) == len(got.columns) and {"i", "__file", "match", "match_in_", "match_in", "Line_in"} <= set(got.columns) | {"match_in_"}
+    r = got.first()
+    assert r["__file"] == "a.txt" and r["Line_in"] == 5 and sorted(v for k, v in r.asDict().items() if k.startswith("match_in")) == ["mine", "theirs"]
+    assert S.dropped(df).columns[:2] == ["i", "__file"]
+
+
+def test_recognizers_that_fail_or_hang(spark):
+    import time
+
+    def odd(path, text):
+        if "hang" in text:
+            while True:
+                time.sleep(0.05)
+        if "fail" in text:
+            raise RuntimeError("no")
+        return [{"rule_id": "x-own", "line": 1, "column": 1, "length": 2, "confidence": "low"}]
+
+    df = spark.createDataFrame([(1, "ok 090-1234-5678"), (2, "fail 090-1234-5678"), (3, "hang 090-1234-5678"), (4, None)], "i int, text string")
+    got = sorted((r.i, r.rule_id) for r in S.external_candidates(df, odd, seconds=0.5).collect())
+    assert got == [(1, "jp-phone-number"), (1, "x-own"), (2, "jp-phone-number"), (3, "jp-phone-number")]
+
+
+def test_drops_are_counted_beyond_the_list(spark):
+    df = spark.createDataFrame([(1, "\n".join(["口座番号 1111111"] * 30))], "i int, text string")
+    listed = S.dropped(df, most=10)
+    assert listed.count() == 10 and listed.first().truncated
+    counts = {(r.rule_id, r.reason): r.n for r in S.dropped_counts(df).collect()}
+    assert counts["jp-bank-account", "validate-failed"] >= 30 and not any(r.truncated for r in S.dropped(df, most=None).collect())
