@@ -68,7 +68,7 @@ def sarif_results(df: DataFrame) -> DataFrame:
 
 
 def sarif(df: DataFrame, unmask: bool = False) -> DataFrame:
-    """One SARIF 2.1.0 document."""
+    """One SARIF 2.1.0 document, in one row: for reports. Findings of any size are rows of :func:`sarif_results`."""
     r = masked(sarif_results(df), unmask)
     region = F.struct(F.col("line").alias("startLine"), F.col("column").alias("startColumn"), F.col("end_column").alias("endColumn"))
     place = F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
