@@ -30,9 +30,23 @@ def next_line(df: DataFrame, file: list[str], line_no: str = "line_no", text: st
     return out.where(F.col("__a.n") - F.col(line_no) <= gap).select("*", F.col("__a.n").alias("next_no"), F.col("__a.t").alias("next_text")).drop("__a")
 
 
-def boost(df: DataFrame, file: list[str], anchor: Column, target: Column, line_no: str = "line", record: str | None = None, reach: int = 5) -> DataFrame:
+#: Rows that a task sorts, about.
+ROWS = 500_000
+
+
+def parts_for(*tables: DataFrame) -> int:
+    """Parts into which to shuffle the rows of tables so that no task sorts much more than :data:`ROWS`, however many
+    rows there are (they are counted: for tables that are read, not for costly ones)."""
+    least = int(tables[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, sum(t.count() for t in tables) // ROWS + 1)
+
+
+def boost(df: DataFrame, file: list[str], anchor: Column, target: Column, line_no: str = "line", record: str | None = None, reach: int = 5, parts: int | None = None) -> DataFrame:
     """Add ``boosted``: whether a target has an anchor in its record, or (one of no record, if it has a record
-    itself) within ``reach`` lines."""
+    itself) within ``reach`` lines. Files are shuffled into ``parts`` (None: as many as Spark's own), of which each
+    is sorted by one task; see :func:`parts_for`."""
+    if parts:
+        df = df.repartition(parts, *file)
     near = Window.partitionBy(*file).orderBy(line_no).rangeBetween(-reach, reach)
     flag = lambda c: F.max(F.when(c, 1).otherwise(0))
     if record is None:

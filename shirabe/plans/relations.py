@@ -165,7 +165,8 @@ _NEAR = "bool_or({c}) OVER (PARTITION BY file ORDER BY line RANGE BETWEEN 5 PREC
 
 @query("cooccurrence_boost", f"SELECT file, line, target, record, target AND CASE WHEN record <> 0 THEN bool_or(anchor) OVER (PARTITION BY file, record) OR {_NEAR.format(c='anchor AND record = 0')} ELSE {_NEAR.format(c='anchor')} END AS boosted FROM ({_MARKS_SQL})")
 def cooccurrence_boost(spark, sf_dir):
-    return K.boost(_marks(spark, sf_dir), ["file"], F.col("anchor"), F.col("target"), record="record").drop("anchor")
+    marks = _marks(spark, sf_dir)
+    return K.boost(marks, ["file"], F.col("anchor"), F.col("target"), record="record", parts=K.parts_for(marks)).drop("anchor")
 
 
 # --- findings ----------------------------------------------------------------------------------------------------------
