@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import bisect
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -65,46 +70,107 @@ def calibration(findings: DataFrame) -> DataFrame:
     return out.withColumn("accepted", F.coalesce(F.col("precision") >= need, F.lit(True)))
 
 
-def span_matches(wanted: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
+def _exact(ws: list, fs: list) -> int:
+    """Equal spans of two sorted lists, one to one."""
+    i = j = n = 0
+    while i < len(ws) and j < len(fs):
+        w, f = ws[i], fs[j]
+        n, i, j = n + (w == f), i + (w <= f), j + (f <= w)
+    return n
+
+
+def _contained(ws: list, fs: list) -> int:
+    """The most wanted spans that lie inside found ones, one to one, of two sorted lists. Wanted ones by their starts
+    each take the found one that ends first, of those that hold it: what is left holds any later one as well."""
+    active: list = []
+    i = n = 0
+    for a, z in ws:
+        while i < len(fs) and fs[i][0] <= a:
+            bisect.insort(active, fs[i][1])
+            i += 1
+        k = bisect.bisect_left(active, z)
+        if k < len(active):
+            del active[k]
+            n += 1
+    return n
+
+
+def _overlapping(ws: list, fs: list) -> int:
+    """The same of spans that overlap: wanted ones by their ends."""
+    active: list = []
+    i = n = 0
+    for a, z in sorted(ws, key=lambda w: w[1]):
+        while i < len(fs) and fs[i][0] < z:
+            bisect.insort(active, fs[i][1])
+            i += 1
+        k = bisect.bisect_right(active, a)
+        if k < len(active):
+            del active[k]
+            n += 1
+    return n
+
+
+def _changes(columns: list[pa.Array]) -> np.ndarray:
+    """Where rows differ from those before them; the first does."""
+    n = len(columns[0])
+    out = np.zeros(n, dtype=bool)
+    out[:1] = True
+    for c in columns:
+        a, b = c.slice(1), c.slice(0, max(0, n - 1))
+        differs = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+        out[1:] |= differs.to_numpy(zero_copy_only=False)
+    return out
+
+
+def span_matches(wanted: DataFrame, found: DataFrame, key: list[str], parts: int | None = None) -> DataFrame:
     """By key: how many wanted and found spans (start, end) can be matched one to one, exactly, with the
-    wanted one inside the found one, or overlapping. Matchings are largest possible (augmenting paths)."""
-
-    tests = {"exact": lambda w, f: w == f, "containment": lambda w, f: f[0] <= w[0] and w[1] <= f[1], "relaxed": lambda w, f: w[0] < f[1] and f[0] < w[1]}
-
-    def matched(ws, fs, ok) -> int:
-        owner: dict[int, int] = {}
-
-        def place(i, seen):
-            for j, f in enumerate(fs):
-                if j not in seen and ok(ws[i], f):
-                    seen.add(j)
-                    if j not in owner or place(owner[j], seen):
-                        owner[j] = i
-                        return True
-            return False
-
-        return sum(place(i, set()) for i in range(len(ws)))
+    wanted one inside the found one, or overlapping. Matchings are largest possible (by sweeps, in n log n). Both sides
+    are shuffled once, into ``parts`` (None: as many as Spark's own), and read in the order of their keys."""
+    n_keys = len(key)
+
+    def cases(t: pa.Table) -> pa.RecordBatch:
+        columns = [c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in t.columns]
+        first = np.flatnonzero(_changes(columns[:n_keys]))
+        gid = np.repeat(np.arange(len(first)), np.diff(np.append(first, t.num_rows)))
+        a, z, side = columns[n_keys:]
+        is_found = side.to_numpy(zero_copy_only=False)
+        n_found = np.bincount(gid, weights=is_found, minlength=len(first)).astype(np.int32)
+        n_wanted = (np.bincount(gid, minlength=len(first)) - n_found).astype(np.int32)
+        known = pc.and_(a.is_valid(), z.is_valid()).to_numpy(zero_copy_only=False)  # spans without a place match none
+        both = known & ((n_found > 0) & (n_wanted > 0))[gid]
+        rows = np.flatnonzero(both)
+        a, z, gid, is_found = a.take(pa.array(rows)).to_numpy(zero_copy_only=False), z.take(pa.array(rows)).to_numpy(zero_copy_only=False), gid[rows], is_found[rows]
+        order = np.lexsort((z, a, is_found, gid))
+        spans = list(zip(a[order].tolist(), z[order].tolist()))
+        cut = np.searchsorted(2 * gid[order] + is_found[order], np.arange(2 * len(first) + 1)).tolist()
+        got = np.zeros((3, len(first)), dtype=np.int32)
+        for g in np.unique(gid).tolist():
+            ws, fs = spans[cut[2 * g] : cut[2 * g + 1]], spans[cut[2 * g + 1] : cut[2 * g + 2]]
+            got[:, g] = _exact(ws, fs), _contained(ws, fs), _overlapping(ws, fs)
+        return pa.RecordBatch.from_arrays([*(c.take(pa.array(first)) for c in columns[:n_keys]), pa.array(n_wanted), pa.array(n_found), *map(pa.array, got)], names=[*key, "n_wanted", "n_found", "exact", "containment", "relaxed"])
 
     def run(batches):
+        open_: list[pa.RecordBatch] = []  # of the last case, which may go on
         for b in batches:
-            ws, fs = ([[(x["start"], x["end"]) for x in cell or ()] for cell in b.column(b.num_columns - k).to_pylist()] for k in (2, 1))
-            made = [[len(x) for x in ws], [len(x) for x in fs], *([matched(w, f, ok) for w, f in zip(ws, fs)] for ok in tests.values())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], *(pa.array(x, pa.int32()) for x in made)], names=[*key, "n_wanted", "n_found", *tests])
-
-    # A case with one span at most on either side needs no matching: built-in expressions do these.
-    n_of = lambda df, n: df.groupBy(*key).agg(F.count("*").cast("int").alias(n), F.min("start").alias(f"{n}_a"), F.min("end").alias(f"{n}_z"))
-    sizes = n_of(wanted, "n_wanted").join(n_of(found, "n_found"), key, "full_outer").na.fill(0, ["n_wanted", "n_found"])
-    few = sizes.where("n_wanted <= 1 and n_found <= 1")
-    a, z, fa, fz = (F.col(c) for c in ("n_wanted_a", "n_wanted_z", "n_found_a", "n_found_z"))
-    one = lambda c: F.when(c, 1).otherwise(0)
-    easy = few.select(*key, "n_wanted", "n_found", one((a == fa) & (z == fz)).alias("exact"), one((fa <= a) & (z <= fz)).alias("containment"), one((a < fz) & (fa < z)).alias("relaxed"))
-    many = sizes.where("n_wanted > 1 or n_found > 1").select(*key)
-    # The spans of a case, which is one line or file, in a list on either side; new attributes, as both may come from one table.
-    of = lambda df, n: df.select(*(F.col(c).alias(c) for c in (*key, "start", "end"))).groupBy(*key).agg(F.collect_list(F.struct("start", "end")).alias(n))
-    lists = many.join(of(wanted, "__w"), key, "left").join(of(found, "__f"), key, "left").select(*key, "__w", "__f")
-    schema = ", ".join(f"{k} {wanted.schema[k].dataType.simpleString()}" for k in key) + ", n_wanted int, n_found int, exact int, containment int, relaxed int"
-    hard = lists.mapInArrow(run, schema)
-    return easy.unionByName(hard)
+            if not b.num_rows:
+                continue
+            before = open_[-1].slice(open_[-1].num_rows - 1) if open_ else b.slice(0, 1)
+            starts = np.flatnonzero(_changes([pa.concat_arrays([before.column(k), b.column(k)]) for k in range(n_keys)])[1:])
+            if len(starts):
+                last = int(starts[-1])
+                yield cases(pa.Table.from_batches([*open_, b.slice(0, last)]))
+                open_ = []
+                b = b.slice(last)
+            open_.append(b)
+        if open_:
+            yield cases(pa.Table.from_batches(open_))
+
+    # New attributes, as both may come from one table.
+    of = lambda df, is_found: df.select(*(F.col(c).alias(c) for c in (*key, "start", "end")), F.lit(is_found).alias("__found"))
+    spans = of(wanted, False).unionByName(of(found, True))
+    spread = spans.repartition(parts, *key) if parts else spans.repartition(*key)
+    counts = [T.StructField(c, T.IntegerType()) for c in ("n_wanted", "n_found", "exact", "containment", "relaxed")]
+    return spread.sortWithinPartitions(*key).mapInArrow(run, T.StructType([*(spans.schema[k] for k in key), *counts]))
 
 
 def golden_diff(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:

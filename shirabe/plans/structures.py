@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import sinks
 from ..detect.engine import Config
 from ..functions import checks as C
+from ..operators import correlate as K
 from ..operators import evaluate as E
 from ..operators import scan as S
 from ..sources import files
@@ -153,7 +154,7 @@ def span_matching(spark, sf_dir):
     a, f = (F.col("l_partkey") % 9).cast("int"), (F.col("l_suppkey") % 9).cast("int")
     wanted = t.select(F.col("l_orderkey").alias("k"), a.alias("start"), (a + 5).alias("end"))
     found = t.where("l_linenumber < 6").select(F.col("l_orderkey").alias("k"), f.alias("start"), (f + 4 + n % 3).cast("int").alias("end"))
-    return E.span_matches(wanted, found, ["k"]).select("k", "n_wanted", "n_found", "exact")
+    return E.span_matches(wanted, found, ["k"], parts=K.parts_for(wanted, found)).select("k", "n_wanted", "n_found", "exact")
 
 
 _record = Grid().pick("quote", ("\"山\n田\"", "山田", "\"山,\n\n田\"")).pick("head", ("口座番号", "注文番号", "account_no")).digits("d", 7, 10**6).add("text", "'会員名,' || head || chr(10) || quote || ',' || d || chr(10) || 'x,' || d || chr(10)")
