@@ -28,6 +28,38 @@ def as_row(f: Finding, place: tuple[int, int] | None = None) -> dict:
     return {"rule_id": f.rule_id, "description": f.about, "line": f.line, "column": f.start + 1, "match": f.match, "confidence": f.confidence, "score": f.score, "start": f.start, "end": f.end, "offset": at[0], "end_offset": at[1], "fail_only": f.fail_only, "reason": reason}
 
 
+#: Rows whose values are Python's at a time.
+_STEP = 256
+
+
+def _values(c: pa.Array) -> list:
+    """A column's values; lists are cut out of one list of all their values, which is several times as fast."""
+    if not pa.types.is_list(c.type):
+        return c.to_pylist()
+    flat, at, out = c.flatten().to_pylist(), 0, []
+    for n in c.value_lengths().to_pylist():
+        out.append(None if n is None else flat[at : at + n])
+        at += n or 0
+    return out
+
+
+def _column(values: list, kind: pa.DataType) -> pa.Array:
+    """An array of values; structs field by field."""
+    if pa.types.is_struct(kind):
+        fields = list(kind)
+        return pa.StructArray.from_arrays([_column([v[f.name] for v in values], f.type) for f in fields], fields=fields)
+    return pa.array(values, kind)
+
+
+def spread(df: DataFrame, key: str = "k") -> DataFrame:
+    """Few, costly texts, by their keys in several parts for each core: no row is sorted for it, and a slow task holds up
+    little."""
+    return df.repartition(_PARTS * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
+_PARTS = 3
+
+
 def _rows_of(df: DataFrame, inputs: list[str], schema: T.StructType, make: Callable[[], Callable[..., list[dict]]]) -> DataFrame:
     """Each row's values of ``inputs`` to any number of rows, beside the other columns."""
     keys = [c for c in df.columns if c not in inputs]
@@ -47,16 +79,17 @@ def _rows_of(df: DataFrame, inputs: list[str], schema: T.StructType, make: Calla
     def run(batches):
         f = make()
         for batch in batches:
-            cells = [batch.column(len(keys) + k) for k in range(len(inputs))]
             took, rows = [], []
-            for i in range(batch.num_rows):
-                got = f(*(c[i].as_py() for c in cells))
-                took += [i] * len(got)
-                rows += got
+            for begin in range(0, batch.num_rows, _STEP):
+                step = batch.slice(begin, _STEP)
+                for i, cells in enumerate(zip(*(_values(step.column(len(keys) + k)) for k in range(len(inputs)))), begin):
+                    got = f(*cells)
+                    if got:
+                        took += [i] * len(got)
+                        rows += got
             if rows:
-                made = pa.Table.from_pylist(rows, schema=arrow)
                 kept = [batch.column(k).take(pa.array(took)) for k in range(len(keys))]
-                yield pa.RecordBatch.from_arrays([*kept, *(c.combine_chunks() for c in made.columns)], names=[*keys, *schema.names])
+                yield pa.RecordBatch.from_arrays([*kept, *(_column([r[c.name] for r in rows], c.type) for c in arrow)], names=[*keys, *schema.names])
 
     return df.mapInArrow(run, out)
 

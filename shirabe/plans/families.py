@@ -28,8 +28,7 @@ def only(*rule_ids: str, **more) -> Config:
 
 def scanned(rows, config: Config):
     """Findings of few, costly texts: spread over the cores first."""
-    slim = rows.select("k", "text").repartition(rows.sparkSession.sparkContext.defaultParallelism)
-    return S.scan_documents(slim, config=config)
+    return S.scan_documents(S.spread(rows.select("k", "text")), config=config)
 
 
 def register(name: str, grid: Grid, config: Config, sql: str, *more: str, about: str = "") -> None:

@@ -531,7 +531,7 @@ _CK = f"(CASE WHEN {sql_sum('b', _MY)} % 11 <= 1 THEN 0 ELSE 11 - {sql_sum('b',
 def scan_derived_texts(spark, sf_dir):
     """The matcher over derived texts: check digits, a label on the line before, a price, a name near anchors."""
     # The derived texts are one small file's worth of rows that cost much each: spread over the cores.
-    found = sinks.masked(S.scan_documents(_japanese(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)))
+    found = sinks.masked(S.scan_documents(S.spread(_japanese(spark, sf_dir))))
     return found.select("k", "rule_id", "line", "column", "match", "confidence")
 
 

@@ -37,7 +37,7 @@ def _accounts(spark, sf_dir):
 
 def _scanned(df, text, path: str, config: Config = Config(high_recall=True)):
     """Scanned texts of few, costly rows: spread over the cores first."""
-    files_ = df.select("k", text.alias("text"), F.lit(path).alias("file")).repartition(df.sparkSession.sparkContext.defaultParallelism)
+    files_ = S.spread(df.select("k", text.alias("text"), F.lit(path).alias("file")))
     return sinks.masked(S.scan_documents(files_, path_col="file", config=config)).select("k", "rule_id", "line", "column", "match", "confidence")
 
 
@@ -167,7 +167,7 @@ _BREAKS = "(length(quote) - length(replace(quote, chr(10), '')))"
 )
 def csv_quoted_records(spark, sf_dir):
     """Records with line breaks in quoted fields are passed over; the records after them still belong to their columns."""
-    rows = _record.rows(spark, sf_dir).select("k", "text", F.lit("a.csv").alias("file")).repartition(spark.sparkContext.defaultParallelism)
+    rows = S.spread(_record.rows(spark, sf_dir).select("k", "text", F.lit("a.csv").alias("file")))
     return S.scan_documents(rows, path_col="file", config=families.only("jp-bank-account")).select("k", "rule_id", "line", "column", "match", "confidence")
 
 
@@ -180,7 +180,7 @@ def scan_hunks(spark, sf_dir):
     t = _hunk.rows(spark, sf_dir)
     yes = lambda c: F.col(c) == "yes"
     t = t.select("k", F.lit("a.txt").alias("file"), "first_line", F.array("label", "d", "after").alias("texts"), F.array(yes("label_added"), yes("value_added"), yes("after_added")).alias("added"))
-    return S.scan_hunks(t.repartition(spark.sparkContext.defaultParallelism), config=families.only("jp-bank-account")).select("k", "rule_id", "line", "column", "match")
+    return S.scan_hunks(S.spread(t), config=families.only("jp-bank-account")).select("k", "rule_id", "line", "column", "match")
 
 
 _single = Grid("orders", "o_orderkey").pick("label", ("口座番号", "値")).pick("glue", (": ", "\n")).digits("d", 7, 10**6).add("line", "label || glue || d")
